@@ -46,8 +46,8 @@ def value_histograms(arrays: DataFrame, column: str, by: Sequence[str], bins: in
     ranges = arrays.groupBy(*by).agg(F.min(F.array_min(values)).alias("low"),
                                      F.max(F.array_max(values)).alias("high"))
     each = lookup_join(arrays.select(*by, values.alias("_values")), ranges, by, "inner")
-    share = F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))
-    bin_no = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    bin_no = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
     return (each.select(*by, "low", "high", F.explode("_values").alias("v"))
             .select(*by, "low", "high", bin_no.alias("bin"))
             .groupBy(*by, "low", "high", "bin").agg(F.count("*").alias("n")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,7 +45,8 @@ class _Stopper(StatefulProcessor):
                         continue
                 if len(losses) < rule.patience:
                     continue
-                mean = sum(losses) / rule.patience
+                # Plain left-to-right addition, as a window sum adds.
+                mean = reduce(add, losses) / rule.patience
                 improved = mean < best - rule.min_delta
                 best, best_at, counter = (mean, checkpoint, 0) if improved else (best, best_at, counter + 1)
                 stopped = counter >= rule.limit
