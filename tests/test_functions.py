@@ -37,14 +37,26 @@ def test_byte_codecs_match_python(spark, texts):
     rows = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "i int, t string").withColumns(
         {"a": codecs.encode_bytes("t"), "b": codecs.encode_bytes_expr("t")})
-    for r in df.withColumn("back", codecs.decode_bytes("a")).collect():
+    back = df.withColumns({"back": codecs.decode_bytes("a"), "plain": codecs.decode_bytes_expr("a")})
+    for r in back.collect():
         assert r["a"] == r["b"] == list(texts[r["i"]].encode())
-        assert r["back"] == texts[r["i"]]
+        assert r["back"] == r["plain"] == texts[r["i"]]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.binary(max_size=12)), min_size=1, max_size=20))
+def test_decoding_broken_bytes_matches_python(spark, blobs):
+    rows = [(i, None if b is None else list(b)) for i, b in enumerate(blobs)]
+    df = spark.createDataFrame(rows, "i int, ids array<int>").coalesce(1)
+    for r in df.select("i", codecs.decode_bytes("ids").alias("t")).collect():
+        b = blobs[r["i"]]
+        assert r["t"] == (None if b is None else b.decode("utf-8", "replace"))
 
 
 def test_decode_bytes_replaces_and_wraps(spark):
-    got = one(spark, [([255, 65],), ([320],), ([],)], "i array<int>", codecs.decode_bytes("i"))
-    assert [g[0] for g in got] == ["�A", "@", ""]
+    for decode in (codecs.decode_bytes, codecs.decode_bytes_expr):
+        got = one(spark, [([255, 65],), ([320],), ([],)], "i array<int>", decode("i"))
+        assert [g[0] for g in got] == ["�A", "@", ""]
 
 
 def test_codepoints(spark):

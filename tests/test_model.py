@@ -44,14 +44,18 @@ def test_order_and_vocabulary_must_fit_64_bits(spark):
         ngrams.fit_ngrams(texts(spark, ["a"]), "text", 5, 50257)
 
 
-def test_loss_of_unseen_text(spark):
+@pytest.mark.parametrize("max_rows", [1000, 0])
+def test_loss_of_unseen_text(spark, max_rows):
     df = texts(spark, ["aab"])
-    loss = ngrams.cross_entropy(texts(spark, ["ac", "zz", "aa"]), "doc_id", "text", ngrams.fit_ngrams(df, "text"))
+    loss = ngrams.cross_entropy(texts(spark, ["ac", "zz", "aa", "x", "", "aab"]), "doc_id", "text",
+                                ngrams.fit_ngrams(df, "text"), max_rows=max_rows)
     got = {r["doc_id"]: r["loss"] for r in loss.collect()}
-    # Context "a" was seen twice, "z" never.
-    assert got == pytest.approx({0: -math.log(1 / 258), 1: -math.log(1 / 256), 2: -math.log(2 / 258)})
+    # Context "a" was seen twice, "z" never; texts of one token predict nothing.
+    assert got == pytest.approx({0: -math.log(1 / 258), 1: -math.log(1 / 256), 2: -math.log(2 / 258),
+                                 5: -math.log(2 / 258)})
     total = ngrams.total_loss(loss).first()
-    assert total["n_pairs"] == 3 and total["loss"] == pytest.approx(sum(got.values()) / 3)
+    assert total["n_pairs"] == 5
+    assert total["loss"] == pytest.approx((got[0] + got[1] + got[2] + 2 * got[5]) / 5)
 
 
 def test_top_k_keeps_ties_and_sums_to_one(spark):

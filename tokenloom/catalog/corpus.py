@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.catalog.inputs import TOY_RANKS, documents, log_points, raw_records, runs
+from tokenloom.catalog.inputs import TOY_RANKS, documents, log_points, raw_records, runs, texts
 from tokenloom.functions import codecs, text
 from tokenloom.functions.sql import register_sql
 from tokenloom.operators import budgets, layout, stats
@@ -18,7 +18,8 @@ N_BYTES = F.octet_length
 
 
 def md5_ids(ids: Column | str) -> Column:
-    return F.md5(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","))
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    return F.md5(F.array_join(ids.cast("array<string>"), ","))
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,33 +128,33 @@ def take_samples(spark, sf):
 
 
 def crop_context(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_bytes("text").alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bytes("text").alias("ids"))
     return (ids.withColumn("ids", budgets.crop_context("ids", 512))
             .select("doc_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5")))
 
 
 def encode_bytes(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_bytes("text").alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bytes("text").alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))
 
 
 def encode_bytes_clamped(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_bytes("text", 100).alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bytes("text", 100).alias("ids"))
     return ids.select("doc_id", md5_ids("ids").alias("ids_md5"))
 
 
 def encode_bytes_builtin(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_bytes_expr("text", 100).alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bytes_expr("text", 100).alias("ids"))
     return ids.select("doc_id", md5_ids("ids").alias("ids_md5"))
 
 
 def encode_bpe(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))
 
 
 def bpe_token_frequency(spark, sf):
-    ids = documents(spark, sf).select(codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
+    ids = texts(spark, sf).select(codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
     counts = stats.token_counts(ids, "ids", 266)
     decoded = F.when((F.col("token_id") < 128) | (F.col("token_id") > 255),
                      codecs.decode_bpe(spark, F.array("token_id"), TOY_RANKS))
@@ -162,22 +163,22 @@ def bpe_token_frequency(spark, sf):
 
 
 def decode_bpe(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
     return ids.select("doc_id", F.md5(codecs.decode_bpe(spark, "ids", TOY_RANKS)).alias("text_md5"))
 
 
 def encode_codepoints(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_codepoints("text").alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_codepoints("text").alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))
 
 
 def decode_bytes(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_bytes("text").alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bytes("text").alias("ids"))
     return ids.select("doc_id", F.md5(codecs.decode_bytes("ids")).alias("text_md5"))
 
 
 def decode_codepoints(spark, sf):
-    ids = documents(spark, sf).select("doc_id", codecs.encode_codepoints("text").alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_codepoints("text").alias("ids"))
     return ids.select("doc_id", F.md5(codecs.decode_codepoints("ids")).alias("text_md5"))
 
 
@@ -238,7 +239,7 @@ def chunk_layout(spark, sf):
 
 def chunk_layout_ids(spark, sf):
     """The array form, on BPE ids."""
-    ids = documents(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
     chunks = layout.chunk_layout(ids, CHUNK, ["doc_id"])
     return chunks.select("chunk_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.text import PREPARER_FIELDS
 from tokenloom.plans.ordered import row_index
+from tokenloom.sources.records import spread_few_files
 
 # Run settings of seven model sizes; five carry logged runs' names.
 RUN_COLUMNS = ("run string, vocab_size int, block_size int, n_layers int, d_model int, n_heads int, "
@@ -36,6 +37,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and texts, spread for encoders and counters."""
+    return spread_few_files(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the text in one of six fields, the others null or empty."""
     d = documents(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.catalog.corpus import md5_ids
 from tokenloom.catalog.inputs import (documents, event_lines, gpu_lines, log_points, monitor_lines, runs,
-                                      table, train_lines)
+                                      table, texts, train_lines)
 from tokenloom.functions.codecs import encode_bytes
 from tokenloom.functions.numeric import apply_schedule, format_duration, lr_multiplier, perplexity
 from tokenloom.operators import early_stop, generate, instruct, metrics, ngrams, runlog, telemetry
@@ -83,15 +83,15 @@ def apply_formatter(spark, sf):
 # Next-token model ------------------------------------------------------------------
 
 def fit_ngrams(spark, sf):
-    return ngrams.fit_ngrams(documents(spark, sf), "text", 2)
+    return ngrams.fit_ngrams(texts(spark, sf), "text", 2)
 
 
 def fit_trigrams(spark, sf):
-    return ngrams.fit_ngrams(documents(spark, sf), "text", 3)
+    return ngrams.fit_ngrams(texts(spark, sf), "text", 3)
 
 
 def _losses(spark, sf):
-    docs = documents(spark, sf)
+    docs = texts(spark, sf)
     return ngrams.cross_entropy(docs, "doc_id", "text", written(ngrams.fit_ngrams(docs, "text"), "counts"))
 
 
@@ -119,7 +119,7 @@ def next_token_probs(spark, sf):
 
 
 def _model(spark, sf, temperature, top_k):
-    counts = written(ngrams.fit_ngrams(documents(spark, sf), "text"), "counts")
+    counts = written(ngrams.fit_ngrams(texts(spark, sf), "text"), "counts")
     return written(generate.continuations(counts, temperature, top_k), "model")
 
 

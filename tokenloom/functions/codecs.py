@@ -22,6 +22,11 @@ def encode_bytes(text: Column | str, vocab_size: int = 256) -> Column:
 
     An Arrow function: the string buffer is reinterpreted as a whole batch, no row loop.
     """
+    return octet_encoder(vocab_size)(text)
+
+
+def octet_encoder(vocab_size: int = 256):
+    """The encoder as a function that can also be registered for SQL."""
     top = vocab_size - 1
 
     def encode(texts: pa.Array) -> pa.Array:
@@ -35,7 +40,7 @@ def encode_bytes(text: Column | str, vocab_size: int = 256) -> Column:
                            mask=np.append(_null_mask(texts), False) if texts.null_count else None)
         return pa.ListArray.from_arrays(offsets, pa.array(ids))
 
-    return F.arrow_udf(encode, "array<int>")(text)
+    return F.arrow_udf(encode, "array<int>")
 
 
 def _null_mask(values: pa.Array) -> np.ndarray:
@@ -50,7 +55,29 @@ def encode_bytes_expr(text: Column | str, vocab_size: int = 256) -> Column:
 
 
 def decode_bytes(ids: Column | str) -> Column:
-    """``id % 256`` as bytes, decoded as UTF-8 with replacement characters."""
+    """``id % 256`` as bytes, decoded as UTF-8 with replacement characters.
+
+    A batch that is valid UTF-8 throughout is never touched row by row.
+    """
+
+    def decode(batch: pa.Array) -> pa.Array:
+        flat = batch.flatten().to_numpy(zero_copy_only=False)
+        octets = pa.py_buffer((flat % 256).astype(np.uint8))
+        bounds = np.zeros(len(batch) + 1, np.int64)
+        np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=bounds[1:])
+        valid = pa.py_buffer(np.packbits(~_null_mask(batch), bitorder="little")) if batch.null_count else None
+        raw = pa.Array.from_buffers(pa.large_binary(), len(batch), [valid, pa.py_buffer(bounds), octets])
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([None if b is None else b.decode("utf-8", "replace") for b in raw.to_pylist()],
+                            pa.string())
+
+    return F.arrow_udf(decode, "string")(ids)
+
+
+def decode_bytes_expr(ids: Column | str) -> Column:
+    """The same text by built-in expressions only."""
     digits = F.transform(ids, lambda i: F.lpad(F.hex(F.pmod(i, F.lit(256))), 2, "0"))
     return F.make_valid_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
 
@@ -96,12 +123,17 @@ def encode_bpe(spark: SparkSession, text: Column | str, ranks: Mapping[bytes, in
 
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _encoder(shared.value, pattern)
-        return pa.array([None if t is None else encoder.encode_ordinary(t) for t in texts.to_pylist()],
-                        pa.list_(pa.int32()))
+        parts = [_NO_IDS if t is None else encoder.encode_to_numpy(t, disallowed_special=())
+                 for t in texts.to_pylist()]
+        bounds = np.zeros(len(parts) + 1, np.int32)
+        np.cumsum([len(p) for p in parts], out=bounds[1:])
+        offsets = pa.array(bounds, mask=np.append(_null_mask(texts), False) if texts.null_count else None)
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([_NO_IDS, *parts]).astype(np.int32)))
 
     return F.arrow_udf(encode, "array<int>")(text)
 
 
+_NO_IDS = np.empty(0, np.uint32)
 _ENCODERS: dict[tuple[int, str], object] = {}
 
 

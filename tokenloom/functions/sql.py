@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+
+from tokenloom.functions.codecs import octet_encoder
 
 # SQL bodies of the formulas; they stay ordinary Catalyst expressions.
 SQL_FUNCTIONS = {
@@ -29,9 +28,5 @@ def register_sql(spark: SparkSession) -> list[str]:
     for signature, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
 
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else list(t.encode("utf-8")))
-
-    encode.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    spark.udf.register("encode_bytes", F.pandas_udf(encode, "array<int>"))
+    spark.udf.register("encode_bytes", octet_encoder())
     return [s.split("(")[0] for s in SQL_FUNCTIONS] + ["encode_bytes"]

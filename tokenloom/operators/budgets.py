@@ -24,7 +24,7 @@ def take_budget(df: DataFrame, key: Sequence[str], max_size: int | None,
     kept = df.where(F.length(column) > 0)
     if max_size is None:
         return kept
-    sized = running_sums(kept, key, {"_start": budget_unit(kind, column)},
+    sized = running_sums(kept, key, {"_start": budget_unit(kind, column)}, keys=df,
                          below=("_start", max_size))
     return sized.where((F.col("_start") < max_size) | (F.col("_start") == 0)).drop("_start")
 
@@ -37,7 +37,8 @@ def take_samples(df: DataFrame, key: Sequence[str], max_samples: int | None = No
         return kept
     if max_samples <= TOP_K_ROWS:
         return kept.orderBy(*key).limit(max_samples)
-    numbered = running_sums(kept, key, {"_i": F.lit(1).cast("bigint")}, below=("_i", max_samples))
+    numbered = running_sums(kept, key, {"_i": F.lit(1).cast("bigint")}, keys=df,
+                            below=("_i", max_samples))
     return numbered.where(F.col("_i") < max_samples).drop("_i")
 
 

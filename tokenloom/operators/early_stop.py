@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.plans.joins import lookup_join
 from tokenloom.plans.ordered import (OWN, SEGMENT, SEGMENT_ROWS, largest_group, own_rows,
                                      reach_partition, reach_windows, row_index, with_segments)
+from tokenloom.session import written
 
 EVALUATION = ("run string, iteration bigint, recent_avg double, improved boolean, best_loss double, "
               "best_iteration bigint, counter int, stopped boolean")
@@ -67,8 +68,10 @@ def early_stopping(points: DataFrame, rule: StopRule = StopRule(), size: int = S
     cut: the state at a border is fully given by which of the last ``limit`` evaluations
     is the best one, so each segment first reports where every such entry leads, the
     borders of a run are chained, and the segments are then walked in parallel.
+
+    The evaluations are stored once, because several passes read them.
     """
-    evals = evaluations(points, rule, size)
+    evals = written(evaluations(points, rule, size), "evaluations")
     if largest_group(evals, ["run"]) <= size:
         return evals.groupBy("run").applyInPandas(_walker(rule), EVALUATION)
     numbered = row_index(evals, ["iteration"], "k", ["run"])

@@ -43,7 +43,7 @@ def chunk_layout(docs: DataFrame, chunk_size: int, key: Sequence[str], column: s
     binary = dict(docs.dtypes)[column] == "binary"
     n = F.octet_length(column) if binary else F.size(column)
     sized = docs.select(*key, column, n.cast("bigint").alias("_n")).where(F.col("_n") > 0)
-    placed = (global_offsets(sized, key, "_n", "_at", keep_bucket=True)
+    placed = (global_offsets(sized, key, "_n", "_at", keys=docs, keep_bucket=True)
               .withColumns({"_first": F.expr(f"_at div {chunk_size}"),
                             "_last": F.expr(f"(_at + _n - 1) div {chunk_size}")}))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.plans.joins import lookup_join
+from tokenloom.plans.joins import BROADCAST_ROWS, fits, lookup_join
 
 
 def _codes(values: pa.Array, n: int, vocab: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +66,7 @@ def fit_ngrams(df: DataFrame, column: str, n: int = 2, vocab: int = 256) -> Data
 def row_ngrams(df: DataFrame, key: str, column: str, n: int = 2, vocab: int = 256) -> DataFrame:
     """The same counts per row of the input, identified by ``key``."""
     _check(n, vocab)
-    schema = T.StructType([df.schema[key], *T._parse_datatype_string(
+    schema = T.StructType([df.schema[key], *T.StructType.fromDDL(
         "context bigint, token_id int, n bigint").fields])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +87,19 @@ def row_ngrams(df: DataFrame, key: str, column: str, n: int = 2, vocab: int = 25
 
 
 def cross_entropy(df: DataFrame, key: str, column: str, counts: DataFrame, n: int = 2,
-                  vocab: int = 256, add_k: float = 1.0) -> DataFrame:
+                  vocab: int = 256, add_k: float = 1.0, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mean negative log-likelihood per row under add-k smoothed counts.
 
-    The lookups are broadcast only while their checked size allows it. A row's n-grams
-    leave one task together, so the final sum shuffles about one record per row.
+    A count table within ``max_rows`` is broadcast and each row is scored where it is
+    read: nothing is shuffled. A larger table is joined with the rows' n-grams on salted
+    keys; those of one row leave one task together, so the final sum shuffles little.
     """
+    if fits(counts, max_rows):
+        return _scored_in_tasks(df, key, column, counts, n, vocab, add_k)
     pairs = counts.select("context", "token_id", F.col("n").alias("_pair"))
     contexts = counts.groupBy("context").agg(F.sum("n").alias("_context"))
-    seen = lookup_join(row_ngrams(df, key, column, n, vocab), pairs, ["context", "token_id"])
-    seen = lookup_join(seen, contexts, ["context"])
+    seen = lookup_join(row_ngrams(df, key, column, n, vocab), pairs, ["context", "token_id"], max_rows=max_rows)
+    seen = lookup_join(seen, contexts, ["context"], max_rows=max_rows)
     p = ((F.coalesce("_pair", F.lit(0)) + F.lit(add_k))
          / (F.coalesce("_context", F.lit(0)) + F.lit(add_k * vocab)))
     return (seen.groupBy(key)
@@ -104,6 +107,39 @@ def cross_entropy(df: DataFrame, key: str, column: str, counts: DataFrame, n: in
             .select(key, "n_pairs", (F.col("_nll") / F.col("n_pairs")).alias("loss")))
 
 
+def _scored_in_tasks(df: DataFrame, key: str, column: str, counts: DataFrame, n: int, vocab: int,
+                     add_k: float) -> DataFrame:
+    _check(n, vocab)
+    table = counts.select((F.col("context") * vocab + F.col("token_id")).alias("code"), "n").toPandas()
+    table = table.sort_values("code")
+    codes, times = table["code"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
+    contexts, first = np.unique(codes // vocab, return_index=True)
+    totals = np.add.reduceat(times, first) if len(times) else times
+    shared = df.sparkSession.sparkContext.broadcast((codes, times, contexts, totals))
+    schema = T.StructType([df.schema[key], *T.StructType.fromDDL("n_pairs bigint, loss double").fields])
+
+    def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], 0.0)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes_, times_, contexts_, totals_ = shared.value
+        for batch in batches:
+            wanted, rows = _codes(batch.column(1), n, vocab)
+            p = ((look_up(codes_, times_, wanted) + add_k)
+                 / (look_up(contexts_, totals_, wanted // vocab) + add_k * vocab))
+            pairs = np.bincount(rows, minlength=len(batch))
+            nll = np.bincount(rows, weights=-np.log(p), minlength=len(batch))
+            kept = np.flatnonzero(pairs)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(kept)), pa.array(pairs[kept].astype(np.int64)),
+                 pa.array(nll[kept] / pairs[kept])], [key, "n_pairs", "loss"])
+
+    return df.select(key, column).mapInArrow(score, schema)
+
+
 def total_loss(per_row: DataFrame) -> DataFrame:
     """Corpus loss: rows weigh as much as they have predictions."""
     return per_row.agg(F.sum("n_pairs").alias("n_pairs"),

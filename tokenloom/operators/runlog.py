@@ -10,7 +10,7 @@ from tokenloom.plans.ordered import SEGMENT_ROWS, own_rows, reach_partition, rea
 
 # What the trainer prints, what the monitor looks for, and the glyphs and
 # window lengths of the monitor.
-TRAIN_LINE = (r"^Iter\s+(\d+)/(\d+) \| Loss: ([\d.]+|nan|inf) \| PPL: ([\d.]+|nan|inf) "
+TRAIN_LINE = (r"^Iter\s+(\d+)/(\d+) \| Loss: (\d+\.?\d*|nan|inf) \| PPL: ([\d.]+|nan|inf) "
               r"\| LR: ([\d.e+-]+) \| ([\d,]+) tok/s")
 MONITOR_ITERATION = r"Iteration (\d+)/(\d+)"
 MONITOR_LOSS = r"Loss: ([\d.]+)"
@@ -38,17 +38,22 @@ def _number(text: Column, kind: str = "double") -> Column:
 
 
 def parse_train_lines(lines: DataFrame) -> DataFrame:
-    """Points from the trainer's own progress lines."""
-    get = {name: _part(TRAIN_LINE, i + 1) for i, name in enumerate(
+    """Points from the trainer's own progress lines.
+
+    One replacement turns a matching line into its six fields; the regular expression is
+    not run again for every field.
+    """
+    fields = F.split(F.regexp_replace("line", TRAIN_LINE + ".*$", "$1 $2 $3 $4 $5 $6"), " ")
+    get = {name: F.get("_fields", F.lit(i)) for i, name in enumerate(
         ("iteration", "total", "loss", "ppl", "lr", "tok"))}
     return (lines.where(F.col("line").rlike(TRAIN_LINE))
+            .select("run", "line_no", fields.alias("_fields"))
             .select("run", "line_no",
                     _number(get["iteration"], "bigint").alias("iteration"),
                     _number(get["total"], "bigint").alias("total"),
                     _number(get["loss"]).alias("loss"), _number(get["ppl"]).alias("ppl"),
                     _number(get["lr"]).alias("lr"), F.lit(None).cast("double").alias("time_per_iter"),
-                    _number(F.replace(get["tok"], F.lit(","), F.lit("")), "bigint").alias("tok_per_s"))
-            .where(F.col("iteration").isNotNull() & F.col("total").isNotNull() & F.col("loss").isNotNull()))
+                    _number(F.replace(get["tok"], F.lit(","), F.lit("")), "bigint").alias("tok_per_s")))
 
 
 def parse_monitor_lines(lines: DataFrame) -> DataFrame:

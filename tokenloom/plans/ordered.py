@@ -21,9 +21,15 @@ OWN = "_own"
 SEGMENT_ROWS = 1_000_000
 
 
+MAX_BUCKETS = 20_000
+
+
 def bucket_count(df: DataFrame) -> int:
-    """Four buckets per shuffle partition, so that hashing them spreads evenly."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Four buckets per shuffle partition, so that hashing them spreads evenly.
+
+    The cap keeps the quantile sketch and the list of bounds small at any setting.
+    """
+    return min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
 
 
 def _as_double(df: DataFrame, key: str) -> Column:
@@ -36,12 +42,16 @@ def _as_double(df: DataFrame, key: str) -> Column:
     return F.col(key).cast("double")
 
 
-def with_buckets(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
-    """Add an order-preserving bucket number for a numeric, date or timestamp key."""
+def with_buckets(df: DataFrame, key: str, buckets: int | None = None,
+                 keys: DataFrame | None = None) -> DataFrame:
+    """Add an order-preserving bucket number for a numeric, date or timestamp key.
+
+    ``keys`` may name a cheaper table with about the same keys to take the bounds from.
+    """
     n = buckets or bucket_count(df)
     as_double = _as_double(df, key)
     probabilities = [i / n for i in range(1, n)]
-    bounds = df.select(as_double.alias("k")).approxQuantile("k", probabilities, 0.25 / n)
+    bounds = (df if keys is None else keys).select(as_double.alias("k")).approxQuantile("k", probabilities, 0.25 / n)
     splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
     if len(splits) < 3:
         return df.withColumn(BUCKET, F.lit(0))
@@ -59,6 +69,7 @@ def running_sums(
     *,
     bucket: Column | None = None,
     buckets: int | None = None,
+    keys: DataFrame | None = None,
     below: tuple[str, int] | None = None,
     keep_bucket: bool = False,
 ) -> DataFrame:
@@ -73,7 +84,8 @@ def running_sums(
     in the result. Group columns must not be null.
     """
     group = list(group)
-    cut = with_buckets(df, order[0], buckets) if bucket is None else df.withColumn(BUCKET, bucket)
+    cut = (with_buckets(df, order[0], buckets, keys) if bucket is None
+           else df.withColumn(BUCKET, bucket))
     names = {out: f"_v{i}" for i, out in enumerate(values)}
     for out, name in names.items():
         cut = cut.withColumn(name, values[out])

@@ -36,8 +36,14 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_telemetry(lines: DataFrame, column: str = "line") -> DataFrame:
-    """GPU records of at least five numbers; lines that fail anywhere are dropped."""
-    parts = F.split(F.trim(column), GPU_SEPARATOR)
-    numbers = [F.get(parts, F.lit(i)).try_cast("double").alias(name) for i, name in enumerate(GPU_FIELDS)]
+    """GPU records of at least five numbers; lines that fail anywhere are dropped.
+
+    The numbers are parsed as one array, so that the filter and the output columns share
+    a single split of the line.
+    """
+    parts = F.slice(F.split(F.trim(column), GPU_SEPARATOR), 1, len(GPU_FIELDS))
+    numbers = F.array_compact(F.transform(parts, lambda p: p.try_cast("double")))
     others = [c for c in lines.columns if c != column]
-    return lines.select(*others, *numbers).dropna(subset=list(GPU_FIELDS))
+    return (lines.select(*others, numbers.alias("_numbers"))
+            .where(F.size("_numbers") == len(GPU_FIELDS))
+            .select(*others, *[F.get("_numbers", F.lit(i)).alias(name) for i, name in enumerate(GPU_FIELDS)]))

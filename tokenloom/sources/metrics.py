@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Length of a stored sample, and of one shown on a console.
@@ -28,5 +28,16 @@ def shape_samples(df: DataFrame) -> DataFrame:
                      shown.alias("display"))
 
 
+def generation_note(prompt: Column | str, generated: Column | str) -> Column:
+    """A sample as the Markdown text that metric boards show."""
+    return F.concat(F.lit("**Prompt:** "), prompt, F.lit("\n\n**Generated:**\n```python\n"), generated,
+                    F.lit("\n```"))
+
+
+def auto_run_name(started: Column | str) -> Column:
+    """Name of a run that was given none: its start time."""
+    return F.date_format(started, "'run_'yyyyMMdd_HHmmss")
+
+
 def append_samples(df: DataFrame, path: str) -> None:
     shape_samples(df).write.mode("append").partitionBy("run").parquet(path)

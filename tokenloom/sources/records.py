@@ -38,3 +38,12 @@ def read_text_files(spark: SparkSession, path: str, max_chars: int | None = None
 
 def synthetic_corpus(spark: SparkSession, n: int = 1000) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("doc_id"), F.lit(SYNTHETIC_SNIPPET).alias("text"))
+
+
+def spread_few_files(df: DataFrame, *key: str) -> DataFrame:
+    """Spread a table with fewer input splits than cores by its key, for heavy work per row.
+
+    A large table has more splits than that and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
