@@ -148,20 +148,21 @@ def make_batches(windows: DataFrame, batch_size: int, grad_accum: int = 1) -> Da
         "updates": (step + 1) % grad_accum == 0})
 
 
-def inspect_samples(starts: DataFrame, chunks: DataFrame, chunk_size: int, length: int = 512) -> DataFrame:
+def inspect_samples(starts: DataFrame, chunks: DataFrame, chunk_size: int, length: int = 512,
+                    decode: Callable[[str], Column] = decode_bytes) -> DataFrame:
     """Sampled windows as text: the first 500 characters and whether more followed."""
-    text = decode_bytes("ids")
     return (gather_tokens(starts, chunks, chunk_size, length)
             .select("sample_id", F.col("start").alias("range_start"),
-                    (F.col("start") + length).alias("range_end"), text.alias("_text"))
+                    (F.col("start") + length).alias("range_end"), decode("ids").alias("_text"))
             .select("sample_id", "range_start", "range_end",
                     F.left("_text", F.lit(SAMPLE_CHARS)).alias("text"),
                     (F.length("_text") > SAMPLE_CHARS).alias("truncated")))
 
 
-def sample_records(starts: DataFrame, chunks: DataFrame, chunk_size: int, length: int = 512) -> DataFrame:
+def sample_records(starts: DataFrame, chunks: DataFrame, chunk_size: int, length: int = 512,
+                   decode: Callable[[str], Column] = decode_bytes) -> DataFrame:
     """Sample records: the first 100 ids, their text and the start index."""
-    shown = F.slice("ids", 1, RECORD_IDS)
-    return (gather_tokens(starts, chunks, chunk_size, length)
-            .select("sample_id", shown.alias("token_ids"), F.col("start").alias("start_index"),
-                    decode_bytes(shown).alias("text")))
+    shown = gather_tokens(starts, chunks, chunk_size, length).withColumn(
+        "token_ids", F.slice("ids", 1, RECORD_IDS))
+    return shown.select("sample_id", "token_ids", F.col("start").alias("start_index"),
+                        decode("token_ids").alias("text"))
