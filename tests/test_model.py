@@ -44,8 +44,9 @@ def test_order_and_vocabulary_must_fit_64_bits(spark):
         ngrams.fit_ngrams(texts(spark, ["a"]), "text", 5, 50257)
 
 
-@pytest.mark.parametrize("max_rows", [1000, 0])
-def test_loss_of_unseen_text(spark, max_rows):
+@pytest.mark.parametrize("max_rows, dense", [(1000, 1 << 20), (1000, 0), (0, 0)])
+def test_loss_of_unseen_text(spark, max_rows, dense, monkeypatch):
+    monkeypatch.setattr(ngrams, "DENSE_CODES", dense)
     df = texts(spark, ["aab"])
     loss = ngrams.cross_entropy(texts(spark, ["ac", "zz", "aa", "x", "", "aab"]), "doc_id", "text",
                                 ngrams.fit_ngrams(df, "text"), max_rows=max_rows)

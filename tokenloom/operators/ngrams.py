@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from tokenloom.plans.joins import BROADCAST_ROWS, fits, lookup_join
 
+DENSE_CODES = 1 << 20
+
 
 def _codes(values: pa.Array, n: int, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of a batch that stay inside one row: their numbers and their rows.
@@ -118,20 +120,27 @@ def _scored_in_tasks(df: DataFrame, key: str, column: str, counts: DataFrame, n:
     shared = df.sparkSession.sparkContext.broadcast((codes, times, contexts, totals))
     schema = T.StructType([df.schema[key], *T.StructType.fromDDL("n_pairs bigint, loss double").fields])
 
+    # A small code space is scored through one dense table, a larger one by binary search.
+    dense = vocab ** n <= DENSE_CODES
+
     def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         if not len(keys):
             return np.zeros(len(wanted))
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], 0.0)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def losses(wanted: np.ndarray) -> np.ndarray:
         codes_, times_, contexts_, totals_ = shared.value
+        p = ((look_up(codes_, times_, wanted) + add_k)
+             / (look_up(contexts_, totals_, wanted // vocab) + add_k * vocab))
+        return -np.log(p)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = losses(np.arange(vocab ** n)) if dense else None
         for batch in batches:
             wanted, rows = _codes(batch.column(1), n, vocab)
-            p = ((look_up(codes_, times_, wanted) + add_k)
-                 / (look_up(contexts_, totals_, wanted // vocab) + add_k * vocab))
             pairs = np.bincount(rows, minlength=len(batch))
-            nll = np.bincount(rows, weights=-np.log(p), minlength=len(batch))
+            nll = np.bincount(rows, weights=table[wanted] if dense else losses(wanted), minlength=len(batch))
             kept = np.flatnonzero(pairs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(kept)), pa.array(pairs[kept].astype(np.int64)),
