@@ -74,6 +74,11 @@ def test_bpe_round_trip_and_merges(spark):
     back = spark.createDataFrame([("the nation's ÿ",)], "t string").select(
         codecs.decode_bpe(spark, codecs.encode_bpe(spark, "t", TOY_RANKS), TOY_RANKS))
     assert back.first()[0] == "the nation's ÿ"
+    rows = one(spark, [([261, 32, 195, 169],), (None,), ([],), ([265, 195],)], "i array<int>",
+               codecs.decode_bpe(spark, "i", TOY_RANKS))
+    assert [r[0] for r in rows] == ["the é", None, "", "tion�"]
+    with pytest.raises(Exception, match="no entry"):
+        one(spark, [([999],)], "i array<int>", codecs.decode_bpe(spark, "i", TOY_RANKS))
 
 
 def test_bpe_needs_a_vocabulary(spark, tmp_path):

@@ -62,20 +62,28 @@ def decode_bytes(ids: Column | str) -> Column:
 
     def decode(batch: pa.Array) -> pa.Array:
         flat = batch.flatten().to_numpy(zero_copy_only=False)
-        octets = pa.py_buffer((flat % 256).astype(np.uint8))
-        bounds = np.zeros(len(batch) + 1, np.int64)
-        np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=bounds[1:])
-        valid = pa.py_buffer(np.packbits(~_null_mask(batch), bitorder="little")) if batch.null_count else None
-        raw = pa.Array.from_buffers(pa.large_binary(), len(batch), [valid, pa.py_buffer(bounds), octets])
-        try:
-            return raw.cast(pa.large_string()).cast(pa.string())
-        except pa.ArrowInvalid:
-            return pa.array([None if b is None else b.decode("utf-8", "replace") for b in raw.to_pylist()],
-                            pa.string())
+        return _utf8_rows(batch, pa.py_buffer((flat % 256).astype(np.uint8)), _row_bounds(batch))
 
     return F.arrow_udf(decode, "string")(ids)
 
 
+def _row_bounds(batch: pa.Array) -> np.ndarray:
+    """Where each list of a batch starts in its flattened values."""
+    sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _utf8_rows(batch: pa.Array, octets: pa.Buffer, bounds: np.ndarray) -> pa.Array:
+    """Texts from one run of bytes, null where the batch is."""
+    valid = pa.py_buffer(np.packbits(~_null_mask(batch), bitorder="little")) if batch.null_count else None
+    raw = pa.Array.from_buffers(pa.large_binary(), len(batch), [valid, pa.py_buffer(bounds), octets])
+    try:
+        return raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in raw.to_pylist()],
+                        pa.string())
+
+
 def decode_bytes_expr(ids: Column | str) -> Column:
     """The same text by built-in expressions only."""
     digits = F.transform(ids, lambda i: F.lpad(F.hex(F.pmod(i, F.lit(256))), 2, "0"))
@@ -149,14 +157,26 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
 
 
 def decode_bpe(spark: SparkSession, ids: Column | str, ranks: Mapping[bytes, int]) -> Column:
-    """Ids back to text through the vocabulary, with replacement characters."""
-    shared = spark.sparkContext.broadcast({i: t for t, i in _checked(ranks).items()})
+    """Ids back to text through the vocabulary, with replacement characters.
+
+    Taking all ids of a batch from the vocabulary lays their bytes out in order; an id
+    without an entry is an error.
+    """
+    known = {i: t for t, i in _checked(ranks).items()}
+    shared = spark.sparkContext.broadcast(
+        pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary()))
 
     def decode(batch: pa.Array) -> pa.Array:
+        flat = batch.flatten().to_numpy(zero_copy_only=False)
         table = shared.value
-        return pa.array([None if row is None else
-                         b"".join([table[i] for i in row]).decode("utf-8", "replace")
-                         for row in batch.to_pylist()], pa.string())
+        inside = not len(flat) or (flat.min() >= 0 and flat.max() < len(table))
+        tokens = table.take(pa.array(flat)) if inside else None
+        if tokens is None or tokens.null_count:
+            raise ValueError("an id has no entry in the vocabulary")
+        if not len(tokens):
+            return _utf8_rows(batch, pa.py_buffer(b""), _row_bounds(batch))
+        at = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)
+        return _utf8_rows(batch, tokens.buffers()[2], at[_row_bounds(batch)])
 
     return F.arrow_udf(decode, "string")(ids)
 

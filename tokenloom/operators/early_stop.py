@@ -165,7 +165,7 @@ def early_stop_savings(evals: DataFrame, runs: DataFrame, rule: StopRule = StopR
     """Iterations run against planned, the share saved and the cost of both."""
     end = (evals.groupBy("run")
            .agg(F.max("iteration").alias("ended_at"), F.max("stopped").alias("stopped")))
-    joined = lookup_join(runs.select("run", F.col("iterations").alias("planned")), end, ["run"])
+    joined = runs.select("run", F.col("iterations").alias("planned")).join(end, "run", "left")
     ran = F.when(F.coalesce("stopped", F.lit(False)), F.col("ended_at")).otherwise(F.col("planned"))
     per_iteration = seconds_per_iteration / 3600 * hourly_rate
     return (joined.withColumn("iterations_run", ran)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.numeric import lr_multiplier
 from tokenloom.plans.joins import lookup_join
 from tokenloom.plans.ordered import running_sums
+from tokenloom.session import written
 
 
 def lr_audit(points: DataFrame, runs: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def l2_norm(arrays: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
 def value_histograms(arrays: DataFrame, column: str, by: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width histogram of all array values of a group, between its extremes."""
     values = F.col(column).cast("array<double>")
-    ranges = arrays.groupBy(*by).agg(F.min(F.array_min(values)).alias("low"),
-                                     F.max(F.array_max(values)).alias("high"))
+    # Stored once: its size is checked before the join reads it.
+    ranges = written(arrays.groupBy(*by).agg(F.min(F.array_min(values)).alias("low"),
+                                             F.max(F.array_max(values)).alias("high")), "ranges")
     each = lookup_join(arrays.select(*by, values.alias("_values")), ranges, by, "inner")
     share = F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
     bin_no = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")

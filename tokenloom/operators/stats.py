@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.codecs import token_label
+from tokenloom.plans.joins import lookup_join
 
 
 def corpus_totals(df: DataFrame, n_tokens: Column, n_chars: Column | None = None,
@@ -87,7 +88,7 @@ def throughput(points: DataFrame, runs: DataFrame, total_tokens: int | None = No
     block_size and grad_accum_steps. Micro-batches are counted; the effective figure
     multiplies by gradient accumulation.
     """
-    joined = points.join(runs, "run")
+    joined = lookup_join(points, runs, ["run"], "inner")
     seen = (F.col("iteration") * F.col("batch_size") * F.col("block_size")).cast("bigint")
     result = joined.select(
         "run", "iteration", seen.alias("tokens_seen"),

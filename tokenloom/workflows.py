@@ -32,6 +32,9 @@ def prepare(records: DataFrame, key: Sequence[str], path: str, name: str, config
     docs = resolve_text(records, fields, "text").select(*key, "text")
     docs = budgets.take_budget(docs, key, max_size, "byte_level" if kind == "byte" else "tiktoken_gpt2")
     docs = budgets.take_samples(docs, key, max_samples)
+    if max_size is not None or max_samples:
+        # The layout and the metadata both read the selection, so it is made once.
+        docs = written(docs, "selected")
     if kind == "byte" and eos_id is None:
         chunks, n_tokens = layout.byte_chunks(docs, chunk_size, key, vocab_size=vocab_size), F.octet_length("text")
     else:
