@@ -48,7 +48,7 @@ def read_split(spark, sf):
 
 def read_text_files(spark, sf):
     path = scratch_path(spark, "files")
-    documents(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    texts(spark, sf).write.partitionBy("doc_id").text(path)
     files = records.read_text_files(spark, f"{path}/*/*.txt")
     return files.select(F.regexp_extract("source_file", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"),
                         F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))

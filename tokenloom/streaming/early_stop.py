@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
@@ -16,50 +15,55 @@ STATE = ("losses array<double>, last_iteration bigint, best double, best_at bigi
          "counter int, stopped boolean")
 
 
-class _Stopper(StatefulProcessor):
-    """State per run: the last losses, the best mean, the counter and the stop flag."""
+def _stopper(rule: StopRule) -> StatefulProcessor:
+    """The state machine of one run: last losses, best mean, counter and stop flag.
 
-    def __init__(self, rule: StopRule) -> None:
-        self.rule = rule
+    The class is local so that it travels by value: the process that prepares a stateful
+    query on the driver does not see files shipped to the workers.
+    """
+    every, patience, limit, min_delta = rule.checkpoint_interval, rule.patience, rule.limit, rule.min_delta
+    state_schema = STATE
+    names = [c.split()[0] for c in EVALUATION.split(", ")]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stop", STATE)
+    class Stopper(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("stop", state_schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rule = self.rule
-        losses, seen, best, best_at, counter, stopped = (
-            self.state.get() if self.state.exists() else ([], -1, float("inf"), None, 0, False))
-        losses = list(losses)
-        out = []
-        arrived = pd.concat(list(rows)).sort_values("iteration")
-        for at, loss in zip(arrived["iteration"].tolist(), arrived["loss"].tolist()):
-            if stopped or at <= seen:
-                continue
-            # Checkpoints between two logged points see the losses before the second one.
-            first = (seen // rule.checkpoint_interval + 1) * rule.checkpoint_interval if seen >= 0 else at
-            due = [*range(first, at, rule.checkpoint_interval)] if seen >= 0 else []
-            for checkpoint in [*due, at]:
-                if checkpoint == at:
-                    losses, seen = [*losses, loss][-rule.patience:], at
-                    if at % rule.checkpoint_interval:
-                        continue
-                if len(losses) < rule.patience:
+        def handleInputRows(self, key, rows, timerValues):
+            losses, seen, best, best_at, counter, stopped = (
+                self.state.get() if self.state.exists() else ([], -1, float("inf"), None, 0, False))
+            losses = list(losses)
+            out = []
+            arrived = pd.concat(list(rows)).sort_values("iteration")
+            for at, loss in zip(arrived["iteration"].tolist(), arrived["loss"].tolist()):
+                if stopped or at <= seen:
                     continue
-                # Plain left-to-right addition, as a window sum adds.
-                mean = reduce(add, losses) / rule.patience
-                improved = mean < best - rule.min_delta
-                best, best_at, counter = (mean, checkpoint, 0) if improved else (best, best_at, counter + 1)
-                stopped = counter >= rule.limit
-                out.append((key[0], checkpoint, mean, improved, best, best_at, counter, stopped))
-                if stopped:
-                    break
-        self.state.update((losses, seen, best, best_at, counter, stopped))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in EVALUATION.split(", ")])
-        frame["best_iteration"] = frame["best_iteration"].astype("Int64")
-        yield frame
+                # Checkpoints between two logged points see the losses before the second one.
+                due = [] if seen < 0 else list(range((seen // every + 1) * every, at, every))
+                for checkpoint in [*due, at]:
+                    if checkpoint == at:
+                        losses, seen = [*losses, loss][-patience:], at
+                        if at % every:
+                            continue
+                    if len(losses) < patience:
+                        continue
+                    # Plain left-to-right addition, as a window sum adds.
+                    mean = reduce(add, losses) / patience
+                    improved = mean < best - min_delta
+                    best, best_at, counter = (mean, checkpoint, 0) if improved else (best, best_at, counter + 1)
+                    stopped = counter >= limit
+                    out.append((key[0], checkpoint, mean, improved, best, best_at, counter, stopped))
+                    if stopped:
+                        break
+            self.state.update((losses, seen, best, best_at, counter, stopped))
+            frame = pd.DataFrame(out, columns=names)
+            frame["best_iteration"] = frame["best_iteration"].astype("Int64")
+            yield frame
+
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return Stopper()
 
 
 def stream_early_stopping(points: DataFrame, rule: StopRule = StopRule()) -> DataFrame:
@@ -71,5 +75,5 @@ def stream_early_stopping(points: DataFrame, rule: StopRule = StopRule()) -> Dat
     store.
     """
     return (points.select("run", "iteration", "loss").groupBy("run")
-            .transformWithStateInPandas(statefulProcessor=_Stopper(rule), outputStructType=EVALUATION,
+            .transformWithStateInPandas(statefulProcessor=_stopper(rule), outputStructType=EVALUATION,
                                         outputMode="Append", timeMode="None"))
