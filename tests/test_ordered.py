@@ -39,6 +39,28 @@ def test_running_sums_by_group(spark):
         seen[g] = total + v, count + 1
 
 
+def test_null_groups_and_null_keys_are_kept(spark):
+    rows = [(None if i % 3 else "g", None if i == 5 else i, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, k long, t long")
+    got = {r["t"]: r["i"] for r in ordered.row_index(df, ["k", "t"], "i", ["g"]).collect()}
+    for name in (None, "g"):
+        ranked = sorted((t for g, _, t in rows if g == name), key=lambda t: (t != 5, t))
+        assert [got[t] for t in ranked] == list(range(len(ranked)))
+    laid = ordered.own_rows(ordered.reach_windows(df, ["g"], ["k", "t"], before=1, size=2))
+    assert laid.count() == 60
+
+
+def test_text_is_no_order_key(spark):
+    with pytest.raises(TypeError):
+        ordered.row_index(spark.createDataFrame([("a",)], "k string"), ["k"], "i")
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "g string, k long")
+    assert ordered.row_index(empty, ["k"], "i", ["g"]).count() == 0
+    assert ordered.row_index(empty, ["k"], "i").count() == 0
+
+
 def test_a_hot_group_is_spread_over_buckets(spark):
     df = spark.createDataFrame([("hot", i) for i in range(4000)], "g string, k long")
     largest = ordered.with_buckets(df, "k").groupBy("g", ordered.BUCKET).count().agg(F.max("count")).first()[0]

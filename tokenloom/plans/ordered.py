@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+GROUP = "_group"
 SEGMENT = "_segment"
 OWN = "_own"
 SEGMENT_ROWS = 1_000_000
@@ -35,6 +36,8 @@ def bucket_count(df: DataFrame) -> int:
 def _as_double(df: DataFrame, key: str) -> Column:
     """A number that rises with the key, whatever the session time zone."""
     kind = dict(df.dtypes)[key]
+    if kind == "string" or kind.startswith(("array", "map", "struct", "binary")):
+        raise TypeError(f"order key {key} must be a number, date or timestamp, not {kind}")
     if kind == "date":
         return F.unix_date(key).cast("double")
     if kind == "timestamp_ntz":
@@ -57,7 +60,7 @@ def with_buckets(df: DataFrame, key: str, buckets: int | None = None,
         return df.withColumn(BUCKET, F.lit(0))
     cut = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep")
     return (cut.transform(df.withColumn("_k", as_double))
-            .withColumn(BUCKET, F.col("_b").cast("int"))
+            .withColumn(BUCKET, F.coalesce(F.col("_b").cast("int"), F.lit(-1)))
             .drop("_k", "_b"))
 
 
@@ -81,28 +84,31 @@ def running_sums(
     already monotone in the order. ``below=(out, limit)`` skips buckets that start at or
     beyond the limit before anything is shuffled; the caller still filters rows.
     ``keep_bucket`` leaves the bucket and the ``{out}_lo``/``{out}_hi`` sums at its ends
-    in the result. Group columns must not be null.
+    in the result. Null groups form a group, and null keys come first.
     """
-    group = list(group)
     cut = (with_buckets(df, order[0], buckets, keys) if bucket is None
            else df.withColumn(BUCKET, bucket))
     names = {out: f"_v{i}" for i, out in enumerate(values)}
+    by = []
+    if group:
+        # As a struct, so that the join on it also matches null groups.
+        cut, by = cut.withColumn(GROUP, F.struct(*group)), [GROUP]
     for out, name in names.items():
         cut = cut.withColumn(name, values[out])
-    totals = cut.groupBy(*group, BUCKET).agg(*[F.sum(v).alias(v) for v in names.values()])
-    before = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by, BUCKET).agg(*[F.sum(v).alias(v) for v in names.values()])
+    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *group, BUCKET,
+        *by, BUCKET,
         *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}c") for v in names.values()],
         *([F.col(v).alias(f"{v}t") for v in names.values()] if keep_bucket else []))
-    if not group and bucket is None:
+    if not by and bucket is None:
         # One row per bucket: bounded by the bucket count, whatever the table size.
         carry = F.broadcast(carry)
-    joined = cut.join(carry, [*group, BUCKET])
+    joined = cut.join(carry, [*by, BUCKET])
     if below:
         start = F.col(f"{names[below[0]]}c")
         joined = joined.where((start < below[1]) | (start == 0))
-    inside = (Window.partitionBy(*group, BUCKET).orderBy(*order)
+    inside = (Window.partitionBy(*by, BUCKET).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     kept = [F.col(BUCKET)] if keep_bucket else []
     for out, v in names.items():
