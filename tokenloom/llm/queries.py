@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding
+from . import forced_bpe, sharding
 
 SHARDS = 40
 
@@ -18,7 +21,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(_table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS)
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; ``TOKENIZER_DIR`` names another folder than the default."""
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    coded = forced_bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text",
+                                    vocabulary("word_bpe_49k.json"), decoded="decoded")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op5_bpe": op5_bpe,
 }
 SQL: dict[str, str] = {}

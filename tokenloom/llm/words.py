@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import SparkSession
 
 #: The same words as a regular expression, for SQL functions.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ODD = [np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * i | 1) for i in range(3)] + [
-    np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)]
+#: Odd multipliers, one for each word of a gram.
+_ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(5)]
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -57,3 +58,9 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     return np.unique(gram_hashes(hashes, tuple(range(min(size, len(hashes))))))
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 1000) -> None:
+    """Bound what a Python worker holds at once: texts can be very long, so bytes count too."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
