@@ -2,7 +2,7 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never end up in
 one token, so the text between two such pairs encodes on its own. White space occurs in
-no token at all; inside a word the table of pairs marks further cuts. Fragments repeat far
+no token at all; inside a word the table of pairs marks further cuts. Words repeat far
 more often than texts, so each is merged once per worker and looked up from then on.
 
 The vocabulary file is read once on the driver and broadcast: its size is fixed by the
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .words import small_batches
 
-#: Fragments and chunks kept in a worker; the table is emptied when it is full.
+#: Words and chunks kept in a worker; a table is emptied when it is full.
 CACHE_ENTRIES = 500_000
 #: Rank of a pair that is never merged.
 _NEVER = 1 << 62
@@ -76,7 +76,11 @@ class Coder:
 
     def __init__(self, spec: dict):
         self.vocab, self.suffix = spec["vocab"], spec["suffix"]
-        self.ranks = {pair: i for i, pair in enumerate(spec["merges"])}
+        # Merges on numbers: a pair as one integer, its rank, and the token that a rank makes.
+        self.ranks, self.made = {}, []
+        for rank, (a, b) in enumerate(spec["merges"]):
+            self.ranks[self.vocab[a] << 32 | self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         self.letters = dict(enumerate(byte_letters()))
         self.words = regex.compile(spec["pattern"])
         self.special = spec["special"]
@@ -90,77 +94,80 @@ class Coder:
             inside.update(map("".join, itertools.pairwise(plain)))
         self.inside = inside
         self.chunks: dict[str, bytes] = {}
-        self.fragments: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def cut(self, letters: str) -> list[str]:
         """Fragments of one word: cut wherever two letters occur together in no token."""
         places = [i for i, pair in enumerate(map("".join, itertools.pairwise(letters)), 1) if pair not in self.inside]
         return [letters[i:j] for i, j in zip([0, *places], [*places, len(letters)])]
 
+    def _start(self, fragment: str, ends: bool) -> list[int]:
+        """Token of every letter. A letter without one is left out, as without an unknown token."""
+        letters = list(fragment)
+        if ends:
+            letters[-1] += self.suffix
+        return [self.vocab[letter] for letter in letters if letter in self.vocab]
+
     def _merged(self, fragment: str, ends: bool) -> bytes:
         """Ids of one fragment: lowest rank first, leftmost of equals, as the merges were learned."""
-        parts = list(fragment)
-        if ends:
-            parts[-1] += self.suffix
-        ranks = self.ranks
-        found = [ranks.get(pair, _NEVER) for pair in itertools.pairwise(parts)]
+        parts = self._start(fragment, ends)
+        ranks, made = self.ranks, self.made
+        found = [ranks.get(a << 32 | b, _NEVER) for a, b in itertools.pairwise(parts)]
         while found and (least := min(found)) != _NEVER:
             i = found.index(least)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            parts[i:i + 2] = [made[least]]
             del found[i]
             if i:
-                found[i - 1] = ranks.get((parts[i - 1], parts[i]), _NEVER)
+                found[i - 1] = ranks.get(parts[i - 1] << 32 | parts[i], _NEVER)
             if i < len(found):
-                found[i] = ranks.get((parts[i], parts[i + 1]), _NEVER)
-        # Letters without an entry are left out, as a model without an unknown token does.
-        ids = [self.vocab[p] for p in parts if p in self.vocab]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _fragment(self, fragment: str, ends: bool) -> bytes:
-        if len(fragment) > 256:
-            return self._merged_long(fragment, ends)
-        key = fragment + self.suffix if ends else fragment
-        found = self.fragments.get(key)
-        if found is None:
-            if len(self.fragments) >= CACHE_ENTRIES:
-                self.fragments.clear()
-            found = self.fragments[key] = self._merged(fragment, ends)
-        return found
+                found[i] = ranks.get(parts[i] << 32 | parts[i + 1], _NEVER)
+        return struct.pack(f"<{len(parts)}I", *parts)
 
     def _merged_long(self, fragment: str, ends: bool) -> bytes:
         """The same result for a long fragment, with a heap of pairs: n log n instead of n squared."""
-        parts: list[str | None] = list(fragment)
-        if ends:
-            parts[-1] += self.suffix
+        parts: list[int] = self._start(fragment, ends)
         n = len(parts)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         ranks = self.ranks
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(itertools.pairwise(parts)) if (r := ranks.get((a, b))) is not None]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(itertools.pairwise(parts))
+                if (r := ranks.get(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = right[i] if parts[i] == a else n
             if j >= n or parts[j] != b:
                 continue
-            parts[i], parts[j] = a + b, None
+            parts[i], parts[j] = self.made[rank], -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if (r := ranks.get((parts[i], parts[k]))) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
-            if (h := left[i]) >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
-                heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return np.array([self.vocab[p] for p in parts if p in self.vocab], "<u4").tobytes()
+            for x, y in ((left[i], i), (i, k)):
+                if x >= 0 and y < n and (r := ranks.get(parts[x] << 32 | parts[y])) is not None:
+                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
+        kept = [p for p in parts if p >= 0]
+        return struct.pack(f"<{len(kept)}I", *kept)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word: of its fragments one after the other."""
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        pieces = self.cut(letters)
+        last = len(pieces) - 1
+        return b"".join([(self._merged if len(p) <= 256 else self._merged_long)(p, i == last)
+                         for i, p in enumerate(pieces)])
 
     def _plain_chunk(self, chunk: str) -> bytes:
         # Lower case letter by letter: without the context rule for a final sigma.
         chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         out = []
         for word in self.words.findall(chunk):
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            pieces = self.cut(letters)
-            out += [self._fragment(p, False) for p in pieces[:-1]]
-            out.append(self._fragment(pieces[-1], True))
+            found = self.known.get(word)
+            if found is None:
+                found = self._word(word)
+                if len(word) <= CACHE_CHARS:
+                    if len(self.known) >= CACHE_ENTRIES:
+                        self.known.clear()
+                    self.known[word] = found
+            out.append(found)
         return b"".join(out)
 
     def _chunk(self, chunk: str) -> bytes:
