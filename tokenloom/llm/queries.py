@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forced_bpe, sharding
+from . import forced_bpe, near_dedup, sharding
 
 SHARDS = 40
 
@@ -34,8 +34,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their four-word shingles."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", words=4)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op5_bpe": op5_bpe,
+    "op10_near_dedup": op10_near_dedup,
 }
 SQL: dict[str, str] = {}
