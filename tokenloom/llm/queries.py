@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forced_bpe, near_dedup, sharding, toxicity
+from . import forced_bpe, near_dedup, secrets, sharding, toxicity
 
 SHARDS = 40
 
@@ -21,6 +21,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(_table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, found through a fresh ledger."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.update_ledger(docs, "text", secrets.new_ledger(spark))
+    found = secrets.findings_by_path(docs, "doc_id", "text", ledger)
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    text = secrets.span_text(F.col("spans"))
+    return found.select("doc_id", *[number(r.kind) for r in secrets.RULES],
+                        F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file; ``TOKENIZER_DIR`` names another folder than the default."""
     return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
@@ -54,6 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_secrets": op2_secrets,
     "op5_bpe": op5_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
