@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forced_bpe, near_dedup, secrets, sharding, toxicity
+from . import forced_bpe, merkle, near_dedup, secrets, sharding, toxicity
 
 SHARDS = 40
 
@@ -48,6 +48,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited form."""
+    return merkle.fingerprints_with_edits(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def fold(key: str, folds: int) -> Column:
     """CRC-32 of the key as text, modulo ``folds``; a null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
     "op5_bpe": op5_bpe,
+    "op7_merkle": op7_merkle,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
