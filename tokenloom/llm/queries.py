@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forced_bpe, merkle, near_dedup, secrets, sharding, toxicity
+from . import forced_bpe, lattice_lm, merkle, near_dedup, secrets, sharding, toxicity
 
 SHARDS = 40
 
@@ -40,6 +40,12 @@ def vocabulary(name: str) -> str:
     return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginal probabilities of all documents; every seventh fold is held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice_lm.score_documents(docs, "doc_id", "text", fold("doc_id", 7) != 2, vocabulary("piece_bpe_32k.model"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     coded = forced_bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text",
@@ -74,6 +80,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
+    "op4_lattice_lm": op4_lattice_lm,
     "op5_bpe": op5_bpe,
     "op7_merkle": op7_merkle,
     "op9_toxicity": op9_toxicity,
