@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forced_bpe, lattice_lm, merkle, near_dedup, secrets, sharding, toxicity
+from . import forced_bpe, lattice_lm, merkle, near_dedup, pivot_index, secrets, sharding, toxicity
 
 SHARDS = 40
 
@@ -54,6 +54,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors for every hundredth one."""
+    return pivot_index.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited form."""
     return merkle.fingerprints_with_edits(_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -82,6 +87,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_bpe": op5_bpe,
+    "op6_top_k": op6_top_k,
     "op7_merkle": op7_merkle,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
