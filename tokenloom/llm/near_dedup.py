@@ -9,11 +9,13 @@ each of the smallest hashes of their union with probability 0.8, so:
   per member. The chance that a link shares none is below 0.4 ** 20 = 1e-8 when at least half
   of one sketch is cold (for sets no larger than a sketch it is zero).
 * Classes of which at least half of the sketch is *hot* are large families of copies, or texts
-  that consist mostly of a widespread passage. They meet on three neighbouring sketch values
-  and their size. In each such list all members are compared with one hub. Once the groups
-  found so far are known, members outside the list's main group are compared with all members
-  that are in another group; members of one group need no comparison. So a family of copies
-  costs a few comparisons per member, and no link between groups is missed.
+  that consist mostly of a widespread passage. Their whole sets are ordered by how many of these
+  classes hold a shingle, rarest first; linked sets must meet in the first fifth or so of that
+  order, and not too late in it. In each such list all members are compared with one hub, the
+  member with the fewest rare shingles. Once the groups found so far are known, members outside
+  the list's main group are compared with those in other groups that they meet early enough;
+  members of one group need no comparison. So a family of copies costs a few comparisons per
+  member, and no link between groups is missed.
 * Candidates whose union sketch estimates a similarity six standard deviations below the
   threshold are dropped; all others are confirmed on the full sets.
 
@@ -39,7 +41,6 @@ from .words import shingle_set, small_batches
 SKETCH = 48
 COLD = 20
 LIST = 64
-RUN = 3
 _PAD = np.uint64(2**64 - 1)
 
 
@@ -96,51 +97,68 @@ def cold_pairs(lists: DataFrame, percent: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
-def hot_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """Mostly hot classes under runs of neighbouring sketch values and two classes of size.
+def hot_classes(lists: DataFrame) -> DataFrame:
+    """Classes of which at least half of the sketch is hot."""
+    hot = F.size(F.filter("entries", lambda e: e["hot"]))
+    return lists.where(hot * 2 >= F.col("k")).select("cls")
+
 
-    Sizes that may link are in the same size class or in adjacent ones. Sets up to twice the run
-    meet on shorter runs too, because one foreign hash can break up all of the others.
+def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """For whole sets the shingles in which a set that links must meet, and their places.
+
+    Shingles are in order of how many of the sets hold them. ``place`` counts the shingles before
+    one in its set, those that no other set holds included. ``common`` tells how widespread the
+    first shingles of the set are.
     """
-    hot = F.size(F.filter("entries", lambda e: e["hot"]))
-    mostly = lists.where((hot * 2 >= F.col("k")) & (F.col("n") * 100 >= F.lit(percent)))
-    step = math.log(100 / percent) if percent < 100 else math.log(2)
-    place = F.floor(F.log("n") / F.lit(step))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            sizes = [len(s) for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes))),
+                 pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate(found))],
+                ["cls", "n", "value"])
+
+    values = sets.mapInArrow(run, "cls binary, n bigint, value bigint")
+    held = values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
+    ordered = values.join(held, "value").groupBy("cls", "n").agg(
+        F.sort_array(F.collect_list(F.struct("held", "value"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    first = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
+    kept = ordered.withColumn("alone", alone).withColumn("shared", F.slice("shared", F.lit(1), F.greatest(first, F.lit(0))))
+    common = F.aggregate("shared", F.col("alone").cast("bigint"), lambda t, e: t + e["held"]) / F.col("n")
+    return kept.select("cls", "n", "alone", common.alias("common"), F.posexplode("shared").alias("at", "entry")).select(
+        "cls", "n", "common", (F.col("alone") + F.col("at")).alias("place"), F.col("entry.value").alias("list"))
 
-    def run(length: int, when: Column) -> Column:
-        def at(i: Column) -> Column:
-            ends = F.element_at("entries", i + length)
-            near = ends["pos"] - F.element_at("entries", i + 1)["pos"] == length - 1
-            return F.when(near, F.xxhash64(F.transform(F.slice("entries", i + 1, length), lambda e: e["value"])))
-        last = F.size("entries") - length
-        return F.when(when & (last >= 0), F.array_compact(F.transform(F.sequence(F.lit(0), last), at))).otherwise(
-            F.array().cast("array<bigint>"))
 
-    runs = F.concat(run(RUN, F.lit(True)), run(RUN - 1, F.col("n") < 2 * RUN))
-    return (mostly.select("cls", "n", F.explode(F.array_distinct(runs)).alias("run"), place.alias("place"))
-            .withColumn("place", F.explode(F.array(F.col("place"), F.col("place") + 1)))
-            .select("cls", "n", F.xxhash64("run", "place").alias("list")))
+def _meet_early(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
+    """Sets that meet first at these places can still share enough shingles to link."""
+    left = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
+    return left * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    hubs = lists.groupBy("list").agg(F.min(F.struct("cls", "n")).alias("hub"))
-    return (lists.join(hubs, "list").where(F.col("cls") != F.col("hub.cls"))
-            .select(F.col("hub.cls").alias("a"), F.col("hub.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-            .where(_may_link("na", "nb", percent)).select("a", "b").distinct())
+    hubs = lists.groupBy("list").agg(F.max(F.struct("common", "cls", "n", "place")).alias("hub")).select(
+        "list", F.col("hub.cls").alias("h"), F.col("hub.n").alias("nh"), F.col("hub.place").alias("ph"))
+    return (lists.join(hubs, "list").where((F.col("cls") != F.col("h")) & _meet_early("n", "place", "nh", "ph", percent))
+            .select(F.least("cls", "h").alias("a"), F.greatest("cls", "h").alias("b")).distinct())
 
 
 def remaining_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of a hot list that are in different groups; one of them is outside the list's main group."""
     grouped = (lists.join(labels, lists["cls"] == labels["node"], "left")
-               .select("cls", "n", "list", F.coalesce("label", "cls").alias("label")))
+               .select("cls", "n", "place", "list", F.coalesce("label", "cls").alias("label")))
     sizes = grouped.groupBy("list", "label").agg(F.count("*").alias("size"))
     main = (sizes.groupBy("list").agg(F.max(F.struct("size", "label")).alias("main"), F.count("*").alias("groups"))
             .where("groups > 1").select("list", F.col("main.label").alias("main")))
     mixed = grouped.join(main, "list")
     outside = mixed.where(F.col("label") != F.col("main")).select(
-        F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "list")
-    others = mixed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "list")
-    return (outside.join(others, "list").where((F.col("la") != F.col("lb")) & _may_link("na", "nb", percent))
+        F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("label").alias("la"), "list")
+    others = mixed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"),
+                          F.col("label").alias("lb"), "list")
+    return (outside.join(others, "list").where((F.col("la") != F.col("lb")) & _meet_early("na", "ia", "nb", "ib", percent))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -247,11 +265,13 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, words: int = 5, per
     rows = written(sketched(docs, key, text, words), "sketches")
     classes = written(class_table(rows), "classes")
     lists = written(inverted_lists(classes), "lists")
-    hot = written(hot_lists(lists, percent), "hot")
-    pairs = written(estimated(cold_pairs(lists, percent).unionAll(hub_pairs(hot, percent)).distinct(),
-                              classes, percent), "pairs")
-    nodes = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).unionAll(hot.select("cls")).distinct()
+    hot = hot_classes(lists)
+    cold = written(estimated(cold_pairs(lists, percent), classes, percent), "pairs")
+    nodes = cold.select(F.col("a").alias("cls")).unionAll(cold.select("b")).unionAll(hot).distinct()
     sets = written(full_sets(docs, key, text, words, classes, nodes), "sets")
+    prefixes = written(prefix_lists(sets.join(hot, "cls", "left_semi"), percent), "prefixes")
+    hubs = hub_pairs(prefixes, percent).join(cold, ["a", "b"], "left_anti")
+    pairs = cold.unionAll(written(estimated(hubs, classes, percent), "pairs"))
     # The best candidate of every class first: they join most of a group, and pairs inside a group need no proof.
     sides = pairs.select("a", "b", "estimate", F.col("a").alias("node")).unionAll(
         pairs.select("a", "b", "estimate", F.col("b")))
@@ -266,7 +286,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, words: int = 5, per
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = components(links)
-    tested = remaining_pairs(hot, labels, percent).join(pairs, ["a", "b"], "left_anti")
+    tested = remaining_pairs(prefixes, labels, percent).join(pairs, ["a", "b"], "left_anti")
     last = written(confirmed(estimated(tested, classes, percent), sets, percent), "links")
     if not last.isEmpty():
         labels = components(links.unionAll(last))
