@@ -88,7 +88,7 @@ def _learn(z: np.ndarray, n: np.ndarray, rows: Iterable[tuple[np.ndarray, int, f
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, *,
                   folds: int, held_out: int, settings: Settings) -> DataFrame:
-    """Features of at most ``settings.sample`` labelled documents outside the held-out fold.
+    """Texts and labels of at most ``settings.sample`` labelled documents outside the held-out fold.
 
     The fold is the CRC-32 of the key as text modulo ``folds``. The sample is the smallest hashes
     of the keys; a key with several different labels is not used. Keys and labels decide what is
@@ -100,34 +100,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
               .groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
               .where("label = other").select("id", "label"))
     picked = marked.orderBy(F.xxhash64("id", F.lit(settings.seed)), "id").limit(settings.sample)
-    small_batches(docs.sparkSession)
-    bits, shards, seed = settings.bits, settings.shards, settings.seed
     read = (docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
             .join(F.broadcast(picked), "id")
             # Of repeated keys one text is used, so that nothing counts twice.
             .groupBy("id", "label").agg(F.min("text").alias("text")))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t, bits) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "label", "features"])
-
-    fields = T.StructType([read.schema["id"], read.schema["label"], T.StructField("features", T.ArrayType(T.IntegerType()))])
-    return (read.select("id", "label", "text").mapInArrow(run, fields)
-            .withColumn("turn", F.xxhash64("id", F.lit(seed + 1)))
-            .withColumn("shard", F.pmod(F.col("turn"), F.lit(shards)).cast("int")))
+    return (read.withColumn("turn", F.xxhash64("id", F.lit(settings.seed + 1)))
+            .withColumn("shard", F.pmod(F.col("turn"), F.lit(settings.shards)).cast("int")))
 
 
 def fit(rows: DataFrame, settings: Settings) -> Model:
-    """Train on feature rows. A class weighs with the root of how rare it is.
+    """Train on labelled texts. A class weighs with the root of how rare it is.
+
+    Features are made again in each round: they take several times the space of the texts.
 
     Without rows of both classes there is nothing to tell apart: all weights stay zero and
     every score is the share of label 1 (0 without rows).
     """
     s = settings
     spark = rows.sparkSession
-    rows = written(rows, "features")
+    rows = written(rows, "labelled")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
@@ -146,7 +137,7 @@ def fit(rows: DataFrame, settings: Settings) -> Model:
             z[at], n[at] = z0, n0
             before_z, before_n = z.copy(), n.copy()
             group = group.sort_values(["turn", "id"])
-            _learn(z, n, ((f, y, weight[y]) for f, y in zip(group["features"], group["label"])), s)
+            _learn(z, n, ((features(t, s.bits), y, weight[y]) for t, y in zip(group["text"], group["label"])), s)
             moved = np.flatnonzero(n != before_n).astype(np.int32)
             return pd.DataFrame({"feature": moved, "z": (z - before_z)[moved], "n": (n - before_n)[moved]})
 
