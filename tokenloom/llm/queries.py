@@ -7,7 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forced_bpe, lattice_lm, merkle, near_dedup, pivot_index, secrets, sharding, toxicity
+from ..session import scratch_path
+from . import forced_bpe, lattice_lm, merkle, mixing, near_dedup, pivot_index, secrets, sharding, sql, token_rollup, toxicity
 
 SHARDS = 40
 
@@ -35,6 +36,22 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
 
 
+#: Found token shares are raised to this power to make the targets of the mixture.
+TEMPER = 0.9
+
+
+def margins() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell, token count, rate of being kept and whether it is."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), "doc_id",
+                       margins(), mixing.word_count(F.col("text")), TEMPER, keep_all=True)
+    return mixed.select("doc_id", "_cell.source", "_cell.lang", "_cell.topic", F.col("_tokens").alias("n_tokens"),
+                        F.round("_rate", 6).alias("rate"), F.col("_kept").alias("kept"))
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file; ``TOKENIZER_DIR`` names another folder than the default."""
     return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
@@ -64,6 +81,29 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints_with_edits(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents; toxic ones leave; poor ones are counted anew, by words
+    with a letter; and bytes are counted as a second tokenizer. The second batch is sent twice.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    marks = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    toxic = docs.drop("text").join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    store, text = scratch_path(spark, "rollup"), F.col("text")
+    lettered = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*"))
+    staying = docs.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    poor = staying.join(marks.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    batches = {
+        "1-all": token_rollup.changes(docs, "insert", "doc_id", "words-1", mixing.word_count(text)),
+        "2-toxic": token_rollup.changes(toxic, "delete", "doc_id", "words-1", F.lit(0)),
+        "3-poor": token_rollup.changes(poor, "revise", "doc_id", "words-1", lettered),
+        "4-bytes": token_rollup.changes(staying, "insert", "doc_id", "bytes-1", F.octet_length(text)),
+    }
+    for name, changed in batches.items():
+        token_rollup.apply_batch(spark, store, name, changed)
+    token_rollup.apply_batch(spark, store, "2-toxic", batches["2-toxic"])
+    return token_rollup.totals(spark, store)
+
+
 def fold(key: str, folds: int) -> Column:
     """CRC-32 of the key as text, modulo ``folds``; a null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
@@ -85,11 +125,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
+    "op3_mixing": op3_mixing,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_bpe": op5_bpe,
     "op6_top_k": op6_top_k,
     "op7_merkle": op7_merkle,
+    "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
-SQL: dict[str, str] = {}
+SQL = sql.statements(TEMPER, mixing.SWEEPS)

@@ -89,13 +89,13 @@ def assign_shards(df: DataFrame, key: str, shards: int, out: str = "shard") -> D
 
 
 def shard_manifest(df: DataFrame, key: str, text: str, shards: int, *, grown: int | None = None,
-                   overhead: int = 16, chunk: int = 100_000) -> DataFrame:
+                   overhead: int = 16, chunk: int = 100_000, buckets: int = 256) -> DataFrame:
     """One row per row of ``df``: key, size, checksum, shard, place in the shard.
 
     Size is the text's UTF-8 bytes (none for null) plus ``overhead``; ``text_crc32`` is the
     unsigned CRC-32 of the bytes. ``slot`` counts from 0 without gaps in each shard, by
-    bucket of the key's hash, key, size and checksum; rows that agree in all of these are
-    interchangeable. ``grown_shard`` is the shard for ``grown`` shards (default one more).
+    bucket, key, size and checksum, where the bucket is the sum of key number and checksum modulo
+    ``buckets``; rows that agree in all of these are interchangeable. ``grown_shard`` is the shard for ``grown`` shards (default one more).
     Other columns of ``df`` are not read, whatever their names. The text never leaves its
     task: equal rows are counted before the shuffle and spread out again after it, in chunks,
     so neither a hot shard nor a hot key is held by one task.
@@ -113,15 +113,14 @@ def shard_manifest(df: DataFrame, key: str, text: str, shards: int, *, grown: in
         F.array_max(F.filter("_path", lambda b: b < shards)).cast("int").alias("_shard"),
         F.array_max("_path").cast("int").alias("_grown"))
     counted = rows.groupBy("_shard", "_grown", "_key", "_size", "_crc").agg(F.count("*").alias("_n"))
-    # Eight buckets of a shard for every shuffle partition: a bucket never depends on the data's size.
-    per_shard = max(1, 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_size", "_crc"), F.lit(per_shard)))
+    number = key_number(counted, "_key")
+    counted = counted.withColumn("_bucket", (F.pmod(number, F.lit(buckets)) + F.col("_crc") % buckets) % buckets)
     totals = counted.groupBy("_shard", "_bucket").agg(F.sum("_n").alias("_total"))
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_shard", "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = (Window.partitionBy("_shard", "_bucket").orderBy("_key", "_size", "_crc")
               .rowsBetween(Window.unboundedPreceding, -1))
-    # One row per shard and bucket: a number set by the configuration, not by the data.
+    # One row per shard and bucket: a number set by the parameters, not by the data.
     placed = counted.join(F.broadcast(starts), ["_shard", "_bucket"]).withColumn(
         "_first", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     repeated = (placed.where(F.col("_n") > chunk)
