@@ -1,8 +1,72 @@
-"""A corpus from raw documents to token ids, as stages that each read what the one before kept."""
+"""A corpus from raw documents to token ids, as stages that each read what the one before kept.
 
-STAGES = []
+Each stage applies one operator to all rows it gets; its result is stored as Parquet and read again
+by the next. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom.llm import forced_bpe, mixing, near_dedup, queries, secrets, toxicity
+from tokenloom.session import ship_package, written
+
+#: A document is rejected from this score on.
+REJECTED = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, learned from the labelled ones among them, does not hold for toxic."""
+    ship_package(spark)
+    model = toxicity.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, "text", model, out="_toxicity")
+    return scored.where(F.col("_toxicity") < REJECTED).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group that shares four fifths of its five-word shingles."""
+    ship_package(spark)
+    return near_dedup.deduplicated(docs, "doc_id", "text")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced; ``n_chars`` is the length of the text that is left."""
+    ship_package(spark)
+    ledger = secrets.update_ledger(docs, "text", secrets.new_ledger(spark))
+    clean = secrets.redact(docs, "text", ledger)
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token shares of sources, languages and topics are tempered."""
+    ship_package(spark)
+    return mixing.mix(docs, "doc_id", queries.margins(), mixing.word_count(F.col("text")), queries.TEMPER)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document (little-endian, 32 bits each), and a digest of the decoded text."""
+    ship_package(spark)
+    coded = forced_bpe.encode_texts(docs, "text", queries.vocabulary("word_bpe_49k.json"), decoded="decoded")
+    return coded.select("doc_id", "source", "lang", "n_tokens", "ids",
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixture", mix_sources),
+    ("tokens", encode),
+]
+
+#: No SQL: scores, sketches and merges are beyond it. A brute-force version tests the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -252,15 +252,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: its key, ``n_shingles``, ``component_id`` and ``kept``.
-
-    Documents whose sets of ``words``-word shingles satisfy ``100 * intersection >= percent *
-    union`` are linked; ``component_id`` is the smallest key reachable. A text with fewer words
-    is one shingle; one without words (or null) has none, is linked with nothing and keeps its
-    own key. Rows without a key take part through their text; a component of such rows alone has
-    a null id. Repeated rows give repeated results. Other columns of ``docs`` are not read. An
-    empty table gives an empty result.
+def grouped(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """Per row its key ``id``, text hash ``h``, set size ``n``, class ``cls`` (null without words) and
+    ``least``: key and text hash of the first row of its group, null keys last.
     """
     rows = written(sketched(docs, key, text, words), "sketches")
     classes = written(class_table(rows), "classes")
@@ -290,12 +284,43 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, words: int = 5, per
     last = written(confirmed(estimated(tested, classes, percent), sets, percent), "links")
     if not last.isEmpty():
         labels = components(links.unionAll(last))
-    named = classes.select("cls", F.struct("no_id", "id").alias("first"))
+    named = classes.select("cls", F.struct("no_id", "id", "h").alias("first"))
     linked = named.join(labels, named["cls"] == labels["node"]).select("cls", "first", "label")
-    least = linked.groupBy("label").agg(F.min("first.no_id").alias("no_id"), F.min("first").alias("least"))
-    of_class = linked.join(least, "label").select("cls", F.col("least.id").alias("component"))
-    assigned = named.join(of_class, "cls", "left").select("cls", F.coalesce("component", "first.id").alias("component"))
-    found = rows.select("id", "n", "cls").join(assigned, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component"))
+    least = linked.groupBy("label").agg(F.min("first").alias("least"))
+    of_class = linked.join(least, "label").select("cls", "least")
+    assigned = named.join(of_class, "cls", "left").select("cls", F.coalesce("least", "first").alias("least"))
+    return rows.select("id", "h", "n", "cls").join(assigned, "cls", "left")
+
+
+def near_duplicates(docs: DataFrame, key: str, text: str, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: its key, ``n_shingles``, ``component_id`` and ``kept``.
+
+    Documents whose sets of ``words``-word shingles satisfy ``100 * intersection >= percent *
+    union`` are linked; ``component_id`` is the smallest key reachable. A text with fewer words
+    is one shingle; one without words (or null) has none, is linked with nothing and keeps its
+    own key. Rows without a key take part through their text; a component of such rows alone has
+    a null id. Repeated rows give repeated results. Other columns of ``docs`` are not read. An
+    empty table gives an empty result.
+    """
+    found = grouped(docs, key, text, words, percent)
+    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("least.id"))
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, key: str, text: str, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of every group, the one with the smallest key, with all its columns.
+
+    Rows equal in key and text count as one document. Texts without words are in no group and stay.
+    """
+    found = written(grouped(docs, key, text, words, percent).select("id", "h", "cls", "least"), "groups")
+    first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h"))
+    kept = found.where(F.col("cls").isNull() | first).groupBy("id", "h").agg(F.count("*").alias("rows"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*names).alias("_row"), F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h"))
+    joined = packed.join(kept, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")))
+    single = joined.where("rows = 1").select("_row")
+    if kept.where("rows > 1").isEmpty():
+        return single.select("_row.*")
+    repeated = joined.where("rows > 1").groupBy("_id", "_h").agg(F.any_value("_row").alias("_row")).select("_row")
+    return single.unionAll(repeated).select("_row.*")

@@ -85,18 +85,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents; toxic ones leave; poor ones are counted anew, by words
     with a letter; and bytes are counted as a second tokenizer. The second batch is sent twice.
     """
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    marks = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    toxic = docs.drop("text").join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    store, text = scratch_path(spark, "rollup"), F.col("text")
+    text = F.col("text")
     lettered = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*"))
-    staying = docs.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    poor = staying.join(marks.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    # Counts are taken where the texts are read; the joins carry numbers only.
+    counts = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", mixing.word_count(text).alias("words"), lettered.alias("lettered"),
+        F.octet_length(text).alias("bytes"))
+    marks = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    gone, bad = (marks.where(rule).select("doc_id") for rule in ("toxic = 1", "quality = 0"))
+    staying = counts.join(gone, "doc_id", "left_anti")
+    store = scratch_path(spark, "rollup")
     batches = {
-        "1-all": token_rollup.changes(docs, "insert", "doc_id", "words-1", mixing.word_count(text)),
-        "2-toxic": token_rollup.changes(toxic, "delete", "doc_id", "words-1", F.lit(0)),
-        "3-poor": token_rollup.changes(poor, "revise", "doc_id", "words-1", lettered),
-        "4-bytes": token_rollup.changes(staying, "insert", "doc_id", "bytes-1", F.octet_length(text)),
+        "1-all": token_rollup.changes(counts, "insert", "doc_id", "words-1", F.col("words")),
+        "2-toxic": token_rollup.changes(counts.join(gone, "doc_id", "left_semi"), "delete", "doc_id", "words-1", F.lit(0)),
+        "3-poor": token_rollup.changes(staying.join(bad, "doc_id", "left_semi"), "revise", "doc_id", "words-1", F.col("lettered")),
+        "4-bytes": token_rollup.changes(staying, "insert", "doc_id", "bytes-1", F.col("bytes")),
     }
     for name, changed in batches.items():
         token_rollup.apply_batch(spark, store, name, changed)
