@@ -9,11 +9,12 @@ from tokenloom.catalog.inputs import TOY_RANKS, documents, log_points, raw_recor
 from tokenloom.functions import codecs, text
 from tokenloom.functions.sql import register_sql
 from tokenloom.operators import budgets, layout, stats
-from tokenloom.session import scratch_path
+from tokenloom.session import scratch_path, written
 from tokenloom.sources import datasets, records
 
 CHUNK = 512
 BLOCK = 512
+FILES = 8
 N_BYTES = F.octet_length
 
 
@@ -48,17 +49,22 @@ def read_split(spark, sf):
 
 def read_text_files(spark, sf):
     path = scratch_path(spark, "files")
-    texts(spark, sf).write.partitionBy("doc_id").text(path)
+    docs = documents(spark, sf).select("doc_id", "text")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    placed = docs.withColumn("part", F.expr(f"doc_id * {FILES} div {last + 1}"))
+    (placed.repartition(FILES, "part").sortWithinPartitions("part", "doc_id")
+     .select("part", "text").write.partitionBy("part").text(path))
     files = records.read_text_files(spark, f"{path}/*/*.txt")
-    return files.select(F.regexp_extract("source_file", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"),
+    return files.select(F.regexp_extract("source_file", r"part=(\d+)", 1).cast("bigint").alias("part"),
                         F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def token_dataset(spark, sf):
     path = scratch_path(spark, "tokens")
     meta = datasets.dataset_metadata(documents(spark, sf), F.octet_length("text"), "documents", kind="byte")
-    datasets.write_token_dataset(_chunks(spark, sf), meta, path)
+    datasets.write_token_dataset(_chunks(spark, sf), meta, path, chunk_size=CHUNK)
     chunks, meta = datasets.read_token_dataset(spark, path)
+    datasets.stored_chunk_size(chunks, meta)
     return chunks.select("chunk_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))
 
 
@@ -79,7 +85,9 @@ def dataset_metadata(spark, sf):
 
 
 def dataset_size(spark, sf):
-    return datasets.dataset_size(spark, f"{sf}/documents.parquet")
+    path = scratch_path(spark, "lines")
+    documents(spark, sf).select("text").write.text(path)
+    return datasets.dataset_size(spark, path).select("bytes", F.round("mb", 6).alias("mb"))
 
 
 def samples_json(spark, sf):
@@ -156,8 +164,7 @@ def encode_bpe(spark, sf):
 def bpe_token_frequency(spark, sf):
     ids = texts(spark, sf).select(codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
     counts = stats.token_counts(ids, "ids", 266)
-    decoded = F.when((F.col("token_id") < 128) | (F.col("token_id") > 255),
-                     codecs.decode_bpe(spark, F.array("token_id"), TOY_RANKS))
+    decoded = codecs.decode_bpe(spark, F.array("token_id"), TOY_RANKS)
     return (stats.token_frequency(counts, 20, decoded)
             .select("token_id", "n", F.round("pct", 6).alias("pct"), "label"))
 
@@ -184,7 +191,7 @@ def decode_codepoints(spark, sf):
 
 def token_label(spark, sf):
     counts = stats.token_counts(documents(spark, sf), "text")
-    shown = F.when(F.col("token_id") < 128, codecs.decode_bytes(F.array("token_id")))
+    shown = codecs.decode_bytes(F.array("token_id"))
     return counts.select("token_id", "n", codecs.token_label("token_id", shown).alias("label"),
                          codecs.token_label("token_id").alias("bare_label"))
 
@@ -239,7 +246,8 @@ def chunk_layout(spark, sf):
 
 def chunk_layout_ids(spark, sf):
     """The array form, on BPE ids."""
-    ids = texts(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids"))
+    # Stored, as the layout reads lengths and values in separate passes.
+    ids = written(texts(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", TOY_RANKS).alias("ids")), "ids")
     chunks = layout.chunk_layout(ids, CHUNK, ["doc_id"])
     return chunks.select("chunk_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))
 

@@ -96,12 +96,19 @@ round(sum(octet_length(encode(text))) / count(*), 6) AS avg_tokens"""
 _FREQUENCY = "counts AS (SELECT id AS token_id, count(*) AS n FROM (SELECT unnest({ids}) AS id FROM {source}) GROUP BY 1)"
 _BYTE_COUNTS = _FREQUENCY.format(ids=BYTES, source="documents")
 _ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), chr(10), '\n'), chr(9), '\t'), chr(13), '\r')"
+# A single byte that is no character of its own decodes to the replacement character.
+_LABEL = (r"CASE WHEN token_id IN (9, 10, 13) OR token_id BETWEEN 32 AND 126 THEN " + _ESCAPED.format("chr(token_id)")
+          + r" ELSE '\x' || lower(lpad(to_hex(token_id), 2, '0')) END")
 
 SQL = {
     "s1_read_split": """SELECT doc_id, lang AS config, CASE WHEN n_chars > 1000 THEN 'train' ELSE 'validation' END AS split,
         md5(text) AS text_md5 FROM documents""",
-    "s2_read_text_files": """SELECT doc_id, length(t) AS chars, md5(t) AS text_md5
-        FROM (SELECT doc_id, regexp_replace(text || chr(10), '\\r\\n?', chr(10), 'g') AS t FROM documents)""",
+    "s2_read_text_files": """SELECT part, length(t) AS chars, md5(t) AS text_md5
+        FROM (SELECT doc_id * 8 // (SELECT max(doc_id) + 1 FROM documents) AS part,
+                     string_agg(regexp_replace(text || chr(10), '\\r\\n?', chr(10), 'g'), '' ORDER BY doc_id) AS t
+              FROM documents GROUP BY 1)""",
+    "s7_dataset_size": """SELECT b AS bytes, round(b / 1048576, 6) AS mb
+        FROM (SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS b FROM documents)""",
     "s4_s5_token_dataset": f"""WITH {STREAM} SELECT pos // 512 AS chunk_id, count(*) AS n,
         md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS ids_md5 FROM stream GROUP BY 1""",
     "s5_token_dataset_metadata": """SELECT 'documents' AS dataset_name, 'train' AS split, count(*) AS samples_processed,
@@ -134,15 +141,15 @@ SQL = {
     "k2_encode_bpe": f"WITH {BPE} SELECT doc_id, len(ids) AS n, {_md5('ids')} AS ids_md5 FROM bpe",
     "k2_bpe_token_frequency": f"""WITH {BPE}, {_FREQUENCY.format(ids='ids', source='bpe')},
         top AS (SELECT token_id, n, n / sum(n) OVER () * 100 AS pct FROM counts ORDER BY n DESC, token_id LIMIT 20)
-        SELECT token_id, n, round(pct, 6) AS pct, left(CASE WHEN token_id < 128 THEN {_ESCAPED.format('chr(token_id)')}
-          WHEN token_id > 255 THEN {TOY_MERGES}[token_id - 255] ELSE '<token_' || token_id || '>' END, 20) AS label FROM top""",
+        SELECT token_id, n, round(pct, 6) AS pct, left(CASE WHEN token_id < 128 THEN {_LABEL}
+          WHEN token_id > 255 THEN {TOY_MERGES}[token_id - 255] ELSE chr(65533) END, 20) AS label FROM top""",
     "k3_encode_codepoints": f"SELECT doc_id, length(text) AS n, {_md5(CODEPOINTS)} AS ids_md5 FROM documents",
     "k4_decode_bytes": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "k5_decode_bpe": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "k6_decode_codepoints": f"""SELECT doc_id, md5(array_to_string([chr(i) for i in {CODEPOINTS}], '')) AS text_md5
         FROM documents""",
     "k7_token_label": f"""WITH {_BYTE_COUNTS} SELECT token_id, n,
-        left(CASE WHEN token_id < 128 THEN {_ESCAPED.format('chr(token_id)')} ELSE '<token_' || token_id || '>' END, 20) AS label,
+        left(CASE WHEN token_id < 128 THEN {_LABEL} ELSE chr(65533) END, 20) AS label,
         left('<token_' || token_id || '>', 20) AS bare_label FROM counts""",
     "k8_tokenizer_label": """SELECT lang, count(*) AS docs, 'byte_level' AS byte_label, 'tiktoken_gpt2' AS bpe_label
         FROM documents GROUP BY lang""",
@@ -159,7 +166,7 @@ SQL = {
         (iteration * batch_size * block_size)::BIGINT AS tokens_seen,
         (iteration * batch_size * block_size * grad_accum_steps)::BIGINT AS effective_tokens,
         round(iteration * batch_size * block_size / (iteration * 1.25::DOUBLE), 6) AS tok_per_s,
-        round(iteration * batch_size * block_size / 46187514, 6) AS epochs FROM points JOIN runs USING (run)""",
+        round(iteration * batch_size * block_size / 46187514, 6) AS epochs FROM points LEFT JOIN runs USING (run)""",
     "w1_global_offsets": """WITH s AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)
         SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s""",
     "w2_chunk_layout": f"""WITH {STREAM} SELECT pos // 512 AS chunk_id, count(*) AS n,

@@ -289,7 +289,7 @@ def _metric_rows(spark, sf):
 
 
 def compare_runs(spark, sf):
-    return metrics.compare_runs(_metric_rows(spark, sf), "train/loss", RUN_TAGS)
+    return metrics.compare_runs(_metric_rows(spark, sf), "train/loss")
 
 
 def runs_with_config(spark, sf):

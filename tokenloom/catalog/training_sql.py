@@ -207,7 +207,7 @@ SQL = {
         FROM recent WHERE c >= 5""",
     "l11_lr_audit": f"""WITH {RUN_TABLE}, {POINTS}, j AS (SELECT run, iteration, points.lr AS logged, runs.lr::DOUBLE AS base,
           iteration // grad_accum_steps AS step, trunc(iterations * warmup_ratio::DOUBLE)::BIGINT AS warm, iterations AS total,
-          min_lr_ratio::DOUBLE AS floor_ratio FROM points JOIN runs USING (run)),
+          min_lr_ratio::DOUBLE AS floor_ratio FROM points LEFT JOIN runs USING (run)),
         m AS (SELECT *, base * CASE WHEN step < warm THEN step / warm ELSE
           floor_ratio + (1 - floor_ratio) * ((cos(pi() * (step - warm) / (total - warm)) + 1) / 2) END AS expected FROM j)
         SELECT run, iteration, step AS scheduler_step, round(expected, 12) AS expected_lr, round(abs(logged - expected), 12) AS abs_diff FROM m""",

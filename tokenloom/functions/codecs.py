@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ def octet_encoder(vocab_size: int = 256):
         octets = (np.empty(0, np.uint8) if data is None
                   else np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]])
         ids = np.minimum(octets, top).astype(np.int32) if top < 255 else octets.astype(np.int32)
+        if bounds[-1] - bounds[0] > np.iinfo(np.int32).max:
+            raise ValueError("a batch of texts exceeds 2 GiB; lower spark.sql.execution.arrow.maxBytesPerBatch")
         offsets = pa.array((bounds - bounds[0]).astype(np.int32),
                            mask=np.append(_null_mask(texts), False) if texts.null_count else None)
         return pa.ListArray.from_arrays(offsets, pa.array(ids))
@@ -130,30 +134,80 @@ def encode_bpe(spark: SparkSession, text: Column | str, ranks: Mapping[bytes, in
     shared = spark.sparkContext.broadcast(_checked(ranks))
 
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(shared.value, pattern)
-        parts = [_NO_IDS if t is None else encoder.encode_to_numpy(t, disallowed_special=())
-                 for t in texts.to_pylist()]
-        bounds = np.zeros(len(parts) + 1, np.int32)
-        np.cumsum([len(p) for p in parts], out=bounds[1:])
+        pieces = _pieces(shared.value, pattern)
+        parts = [_NO_IDS if t is None else pieces.ids(t) for t in texts.to_pylist()]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        if sizes.sum() > np.iinfo(np.int32).max:
+            raise ValueError("a batch has too many ids; lower spark.sql.execution.arrow.maxBytesPerBatch")
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         offsets = pa.array(bounds, mask=np.append(_null_mask(texts), False) if texts.null_count else None)
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([_NO_IDS, *parts]).astype(np.int32)))
 
     return F.arrow_udf(encode, "array<int>")(text)
 
 
-_NO_IDS = np.empty(0, np.uint32)
-_ENCODERS: dict[tuple[int, str], object] = {}
-
-
-def _encoder(ranks: dict[bytes, int], pattern: str):
-    """One encoder per worker and broadcast vocabulary."""
-    import tiktoken
-
+_NO_IDS = np.empty(0, np.int32)
+_KNOWN: dict[tuple[int, str], _Pieces] = {}
+
+
+class _Pieces:
+    """Splits texts by the pattern and merges each distinct piece once."""
+
+    LIMIT = 500_000
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.split = ranks, regex.compile(pattern)
+        self.merged: dict[str, list[int]] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        out: list[int] = []
+        for piece in self.split.findall(text):
+            found = self.merged.get(piece)
+            if found is None:
+                if len(self.merged) >= self.LIMIT:
+                    self.merged.clear()
+                found = self.merged[piece] = self._merge(piece.encode())
+            out += found
+        return np.array(out, np.int32)
+
+    def _merge(self, piece: bytes) -> list[int]:
+        """Join the neighbours whose token has the lowest rank, leftmost first, while there are any."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        n = len(piece)
+        # Node i stands for the token that starts at byte i; a heap holds the pairs that may join.
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs = []
+
+        def offer(i: int) -> None:
+            j = end[i]
+            if j < n and (rank := self.ranks.get(piece[i:end[j]])) is not None:
+                heapq.heappush(pairs, (rank, i, end[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        alive = [True] * n
+        while pairs:
+            rank, i, stop = heapq.heappop(pairs)
+            j = end[i]
+            if not alive[i] or j >= n or end[j] != stop:
+                continue
+            alive[j], end[i] = False, stop
+            if stop < n:
+                before[stop] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [self.ranks[piece[i:end[i]]] for i in range(n) if alive[i]]
+
+
+def _pieces(ranks: dict[bytes, int], pattern: str) -> _Pieces:
+    """One table of merged pieces per worker and broadcast vocabulary."""
     key = (id(ranks), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[key]
+    if key not in _KNOWN:
+        _KNOWN[key] = _Pieces(ranks, pattern)
+    return _KNOWN[key]
 
 
 def decode_bpe(spark: SparkSession, ids: Column | str, ranks: Mapping[bytes, int]) -> Column:
@@ -182,16 +236,22 @@ def decode_bpe(spark: SparkSession, ids: Column | str, ranks: Mapping[bytes, int
 
 
 def token_label(token_id: Column | str, text: Column | None = None) -> Column:
-    """Escaped token text cut to 20 characters; ``<token_id>`` where there is no text."""
+    """Escaped token text cut to 20 characters; ``<token_id>`` where there is no text.
+
+    Control and other characters that do not print are escaped as in a string literal. The
+    tables of tokens that are labelled have at most one row per vocabulary entry.
+    """
     token_id = F.col(token_id) if isinstance(token_id, str) else token_id
     bare = F.format_string("<token_%d>", token_id)
     if text is None:
         return F.left(bare, F.lit(LABEL_WIDTH))
-    escaped = text
-    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
+    escaped = F.arrow_udf(_escaped, "string")(text)
     return F.left(F.coalesce(escaped, bare), F.lit(LABEL_WIDTH))
 
 
+def _escaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else repr(t)[1:-1] for t in texts.to_pylist()], pa.string())
+
+
 def tokenizer_label(kind: str) -> Column:
     return F.lit(TOKENIZER_LABELS[kind])

@@ -51,12 +51,15 @@ def apply_schedule(step: Column | str, schedule: Callable[[int], float]) -> Colu
 
 
 def format_duration(seconds: Column | str) -> Column:
-    """Seconds, minutes, hours or days in the shortest fitting unit."""
+    """Seconds, minutes, hours or days in the shortest fitting unit; ties go to the even digit."""
     s = _c(seconds)
-    return (F.when(s < 60, F.format_string("%.0fs", s))
-            .when(s < 3600, F.format_string("%.0fm", s / 60))
-            .when(s / 3600 < 24, F.format_string("%.1fh", s / 3600))
-            .otherwise(F.format_string("%.1fd", s / 3600 / 24)))
+
+    def shown(value: Column, digits: int, unit: str) -> Column:
+        # format_number rounds the exact binary value half to even; its grouping commas go.
+        return F.concat(F.translate(F.format_number(value.cast("double"), digits), ",", ""), F.lit(unit))
+
+    return (F.when(s < 60, shown(s, 0, "s")).when(s < 3600, shown(s / 60, 0, "m"))
+            .when(s / 3600 < 24, shown(s / 3600, 1, "h")).otherwise(shown(s / 3600 / 24, 1, "d")))
 
 
 def progress_bar(value: Column | str, maximum: Column | float, width: int = 40) -> Column:

@@ -79,7 +79,9 @@ def early_stopping(points: DataFrame, rule: StopRule = StopRule(), size: int = S
     keys = ["run", SEGMENT]
     exits = cut.groupBy(*keys).applyInPandas(_exits(rule), f"run string, {SEGMENT} bigint, entry bigint, leaves bigint")
     entries = exits.groupBy("run").applyInPandas(_chain, f"run string, {SEGMENT} bigint, entry bigint")
-    reached = cut.join(entries, keys)
+    known = entries.select(F.col("run").alias("_run"), F.col(SEGMENT).alias("_at"), "entry")
+    # Null-safe, as a run without a name is a run too.
+    reached = cut.join(known, F.col("run").eqNullSafe(F.col("_run")) & (F.col(SEGMENT) == F.col("_at"))).drop("_run", "_at")
     return reached.groupBy(*keys).applyInPandas(_walker(rule), EVALUATION)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.codecs import decode_bytes, encode_bytes
 from tokenloom.operators.budgets import crop_context
 from tokenloom.plans.joins import fits, salted_join
-from tokenloom.session import pinned
+from tokenloom.session import pinned, written
 
 # Fixed value: the newline id of the GPT-2 vocabulary, which ends a test completion.
 NEWLINE_ID = 198
@@ -69,6 +69,8 @@ def generate(prompts: DataFrame, model: DataFrame, n: int = 2, vocab: int = 256,
     prompt run in one task; beyond it every step is one join of all prompts with the
     model, with a reliable checkpoint every few steps. Both give the same ids.
     """
+    if model.where(F.col("context") == BACKOFF).isEmpty():
+        raise ValueError("the model is empty: it has no distribution for unseen contexts")
     if "max_new" not in prompts.columns:
         prompts = prompts.withColumn("max_new", F.lit(max_new))
     state = prompts.select("prompt_id", "ids", "max_new")
@@ -149,14 +151,21 @@ def run_prompt_suite(suite: DataFrame, model: DataFrame, n: int = 2, vocab: int
                      stop_id: int | None = NEWLINE_ID) -> DataFrame:
     """Complete named prompts ``(name, prompt, max_tokens)``; a failing one reports its error.
 
-    A prompt without any token cannot be continued.
+    A prompt without any token cannot be continued. The draws of a prompt follow from its name,
+    text and limit, so equal rows get equal texts; a null name is a name of its own.
     """
     usable = F.coalesce(F.length("prompt") > 0, F.lit(False))
-    prompts = suite.where(usable).select(
-        F.col("name").alias("prompt_id"), "prompt", F.col("max_tokens").alias("max_new"),
-        encode_bytes("prompt", vocab).alias("ids"))
+    entry = suite.select("name", "prompt", "max_tokens", F.to_json(F.struct("name", "prompt", "max_tokens")).alias("_entry"))
+    repeated = entry.groupBy("name").agg(F.count_distinct("_entry").alias("_n"))
+    # A name that stands for one prompt seeds its draws alone.
+    keyed = (entry.alias("e").join(repeated.alias("r"), F.expr("e.name <=> r.name"))
+             .select("e.*", F.when((F.col("_n") == 1) & F.col("e.name").isNotNull(), F.col("e.name"))
+                     .otherwise(F.col("_entry")).alias("_id")))
+    keyed = written(keyed, "suite")
+    prompts = keyed.where(usable).groupBy(F.col("_id").alias("prompt_id")).agg(
+        F.any_value("prompt").alias("prompt"), F.any_value("max_tokens").alias("max_new")).select(
+        "prompt_id", "max_new", encode_bytes("prompt", vocab).alias("ids"))
     done = completed_text(generate(prompts, model, n, vocab, seed=seed, stop_id=stop_id))
-    texts = done.select(F.col("prompt_id").alias("name"), F.col("text").alias("output"))
+    texts = done.select(F.col("prompt_id").alias("_id"), F.col("text").alias("output"))
     error = F.when(~usable, F.lit("empty prompt"))
-    return (suite.join(texts, "name", "left")
-            .select("name", "prompt", "output", error.alias("error")))
+    return keyed.join(texts, "_id", "left").select("name", "prompt", "output", error.alias("error"))

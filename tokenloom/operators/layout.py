@@ -106,7 +106,9 @@ def sample_starts(spark: SparkSession, n: int, total: int, block: int, seed: int
     if room <= 0:
         raise ValueError(f"the stream has {total} tokens, too few for windows of {block}")
     ids = spark.range(n).withColumnRenamed("id", "sample_id")
-    start = (((F.col("sample_id") * LCG_MULTIPLIER + LCG_INCREMENT) % room) if seed is None
+    # In decimals: the product passes 64 bits beyond some 8e9 samples.
+    wide = F.col("sample_id").cast("decimal(20,0)") * F.lit(LCG_MULTIPLIER).cast("decimal(10,0)") + F.lit(LCG_INCREMENT)
+    start = ((wide % F.lit(room).cast("decimal(20,0)")) if seed is None
              else F.floor(F.rand(seed) * room))
     return ids.withColumn("start", start.cast("bigint"))
 
@@ -115,7 +117,8 @@ def gather_tokens(starts: DataFrame, chunks: DataFrame, chunk_size: int, length:
     """``length`` tokens from each start, by an equi-join on chunk id.
 
     A window no longer than a chunk plus one token touches at most two chunks. Only its
-    own part of a chunk is carried into the second shuffle.
+    own part of a chunk is carried into the second shuffle. A chunk that is missing, or
+    shorter than the window needs, is an error.
     """
     if length > chunk_size + 1:
         raise ValueError("chunks must be at least as long as the window")
@@ -125,10 +128,14 @@ def gather_tokens(starts: DataFrame, chunks: DataFrame, chunk_size: int, length:
     end = F.least(F.col("start") + length - F.col("chunk_id") * chunk_size, F.lit(chunk_size))
     part = F.struct(F.col("chunk_id").alias("c"),
                     F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
-    return (wanted.join(chunks, "chunk_id")
-            .select("sample_id", "start", part.alias("part"))
-            .groupBy("sample_id", "start").agg(*_assembled())
-            .select("sample_id", "start", _joined().alias("ids")))
+    whole = (wanted.join(chunks, "chunk_id")
+             .select("sample_id", "start", part.alias("part"))
+             .groupBy("sample_id", "start").agg(*_assembled())
+             .select("sample_id", "start", _joined().alias("ids")))
+    found = starts.select("sample_id", "start").join(whole.drop("start"), "sample_id", "left")
+    short = F.raise_error(F.format_string("sample %d lacks tokens of its window", "sample_id"))
+    return found.select("sample_id", "start", F.when(F.size(F.coalesce("ids", F.array().cast("array<int>"))) == length,
+                                                     F.col("ids")).otherwise(short.cast("array<int>")).alias("ids"))
 
 
 def gather_windows(starts: DataFrame, chunks: DataFrame, chunk_size: int, block: int) -> DataFrame:

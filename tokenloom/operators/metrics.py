@@ -17,9 +17,10 @@ def lr_audit(points: DataFrame, runs: DataFrame) -> DataFrame:
     """Logged against expected learning rate.
 
     The schedule spans all iterations but advances once per ``grad_accum_steps`` of them.
-    ``runs`` has lr, iterations, warmup_ratio, min_lr_ratio and grad_accum_steps.
+    ``runs`` has lr, iterations, warmup_ratio, min_lr_ratio and grad_accum_steps. Points of a
+    run without settings stay, with nulls.
     """
-    joined = lookup_join(points.select("run", "iteration", F.col("lr").alias("logged_lr")), runs, ["run"], "inner")
+    joined = lookup_join(points.select("run", "iteration", F.col("lr").alias("logged_lr")), runs, ["run"])
     step = F.expr("iteration div grad_accum_steps")
     warmup = (F.col("iterations") * F.col("warmup_ratio")).cast("bigint")
     expected = F.col("lr") * lr_multiplier(step, warmup, F.col("iterations"), F.col("min_lr_ratio"))
@@ -55,10 +56,10 @@ def value_histograms(arrays: DataFrame, column: str, by: Sequence[str], bins: in
             .groupBy(*by, "low", "high", "bin").agg(F.count("*").alias("n")))
 
 
-def compare_runs(metrics: DataFrame, tag: str, runs: Sequence[str]) -> DataFrame:
-    """One row per step with one column per run."""
-    return (metrics.where(F.col("tag") == tag).groupBy("step").pivot("run", list(runs))
-            .agg(F.max("value")))
+def compare_runs(metrics: DataFrame, tag: str, runs: Sequence[str] | None = None) -> DataFrame:
+    """One row per step with one column per run: the named ones, or all that logged the metric."""
+    found = metrics.where(F.col("tag") == tag).groupBy("step")
+    return (found.pivot("run") if runs is None else found.pivot("run", list(runs))).agg(F.max("value"))
 
 
 def run_name(n_layers: Column | str = "n_layers", d_model: Column | str = "d_model") -> Column:

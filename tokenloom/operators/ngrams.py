@@ -90,14 +90,17 @@ def row_ngrams(df: DataFrame, key: str, column: str, n: int = 2, vocab: int = 25
 
 def cross_entropy(df: DataFrame, key: str, column: str, counts: DataFrame, n: int = 2,
                   vocab: int = 256, add_k: float = 1.0, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mean negative log-likelihood per row under add-k smoothed counts.
+    """Mean negative log-likelihood per key under add-k smoothed counts.
 
-    A count table within ``max_rows`` is broadcast and each row is scored where it is
+    One row per key that has an n-gram, null included; rows that share a key are summed. A count table within ``max_rows`` is broadcast and each row is scored where it is
     read: nothing is shuffled. A larger table is joined with the rows' n-grams on salted
     keys; those of one row leave one task together, so the final sum shuffles little.
     """
     if fits(counts, max_rows):
-        return _scored_in_tasks(df, key, column, counts, n, vocab, add_k)
+        each = _scored_in_tasks(df, key, column, counts, n, vocab, add_k)
+        return (each.groupBy(key)
+                .agg(F.sum("n_pairs").alias("n_pairs"), F.sum(F.col("loss") * F.col("n_pairs")).alias("_nll"))
+                .select(key, "n_pairs", (F.col("_nll") / F.col("n_pairs")).alias("loss")))
     pairs = counts.select("context", "token_id", F.col("n").alias("_pair"))
     contexts = counts.groupBy("context").agg(F.sum("n").alias("_context"))
     seen = lookup_join(row_ngrams(df, key, column, n, vocab), pairs, ["context", "token_id"], max_rows=max_rows)

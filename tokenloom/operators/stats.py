@@ -86,9 +86,9 @@ def throughput(points: DataFrame, runs: DataFrame, total_tokens: int | None = No
 
     ``points`` has run, iteration and elapsed seconds; ``runs`` has batch_size,
     block_size and grad_accum_steps. Micro-batches are counted; the effective figure
-    multiplies by gradient accumulation.
+    multiplies by gradient accumulation. Points of a run without settings stay, with nulls.
     """
-    joined = lookup_join(points, runs, ["run"], "inner")
+    joined = lookup_join(points, runs, ["run"])
     seen = (F.col("iteration") * F.col("batch_size") * F.col("block_size")).cast("bigint")
     result = joined.select(
         "run", "iteration", seen.alias("tokens_seen"),

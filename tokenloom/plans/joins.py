@@ -22,6 +22,8 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: Sequence[str], how: str
     A table within ``max_rows`` is broadcast. A larger one is shuffled with ``salts``
     copies of every key, so that one hot key is shared by as many tasks.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("a lookup join is inner or left")
     if fits(table, max_rows):
         return facts.join(F.broadcast(table), list(on), how)
     return salted_join(facts, table, on, how, salts)

@@ -30,10 +30,18 @@ def file_metadata(files: DataFrame, n_tokens: Column, vocab_size: int = 50257,
 
 
 def write_token_dataset(chunks: DataFrame, metadata: DataFrame | None, path: str,
-                        mode: str = "errorifexists") -> None:
-    """Chunk table as Parquet, metadata as readable JSON next to it."""
-    chunks.write.mode(mode).parquet(f"{path}/tokens")
+                        mode: str = "errorifexists", chunk_size: int | None = None) -> None:
+    """Chunk table as Parquet, metadata as readable JSON next to it.
+
+    Chunks are stored in order of their number, so that readers of a few windows skip most
+    of them. ``chunk_size`` becomes part of the metadata.
+    """
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
+     .write.mode(mode).parquet(f"{path}/tokens"))
     if metadata is not None:
+        if chunk_size is not None:
+            metadata = metadata.withColumn("chunk_size", F.lit(chunk_size))
         metadata.coalesce(1).write.mode(mode).option("ignoreNullFields", False).json(f"{path}/metadata")
 
 
@@ -49,11 +57,30 @@ def read_token_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
         return chunks, None
 
 
-def dataset_size(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Bytes and MiB of the stored files."""
-    files = spark.read.format(fmt).load(path).select("_metadata.file_path", "_metadata.file_size")
-    return (files.distinct()
-            .agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+def stored_chunk_size(chunks: DataFrame, metadata: DataFrame | None, given: int | None = None) -> int:
+    """The chunk size of a stored corpus, checked against the chunks themselves.
+
+    All chunks but the last have that size. A corpus that does not say so, and for which none
+    is given, cannot be read: windows would silently come from the wrong places.
+    """
+    noted = metadata.first()["chunk_size"] if metadata is not None and "chunk_size" in metadata.columns else None
+    size = given if noted is None else noted
+    if size is None:
+        raise ValueError("the corpus does not record its chunk size; name it")
+    if given is not None and given != size:
+        raise ValueError(f"the corpus has chunks of {size} tokens, not {given}")
+    found = chunks.agg(F.max("chunk_id").alias("last"), F.count("*").alias("n"),
+                       F.max(F.when(F.col("chunk_id") == 0, F.size("ids"))).alias("first"),
+                       F.max(F.size("ids")).alias("longest")).first()
+    if found["n"] and (found["longest"] > size or (found["last"] > 0 and found["first"] != size)):
+        raise ValueError(f"the chunks are not of {size} tokens")
+    return size
+
+
+def dataset_size(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes and MiB of the stored files, from their listing: no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return (files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
             .withColumn("mb", F.col("bytes") / (1024 * 1024)))
 
 

@@ -13,13 +13,18 @@ def read_split(spark: SparkSession, path: str, config: str | None = None,
                split: str | None = "train", fmt: str = "parquet") -> DataFrame:
     """One split of a landed dataset laid out as ``config=…/split=…`` partitions.
 
-    The filters are on partition columns, so other splits are never listed as input.
+    The filters are on partition columns, so other splits are never listed as input. A split
+    that the dataset does not have is an error.
     """
     df = spark.read.format(fmt).load(path)
     if config is not None:
         df = df.where(F.col("config") == config)
-    if split is not None and "split" in df.columns:
+    if split is not None:
+        if "split" not in df.columns:
+            raise ValueError(f"the dataset has no splits, so there is no split {split!r}")
         df = df.where(F.col("split") == split)
+        if df.isEmpty():
+            raise ValueError(f"the dataset has no split {split!r}")
     return df
 
 

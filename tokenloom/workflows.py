@@ -41,7 +41,7 @@ def prepare(records: DataFrame, key: Sequence[str], path: str, name: str, config
         docs = _tokenized(spark, docs, vocab_size, ranks, eos_id)
         chunks, n_tokens = layout.chunk_layout(docs, chunk_size, key), F.size("ids")
     metadata = datasets.dataset_metadata(docs, n_tokens, name, config, split, vocab_size, kind)
-    datasets.write_token_dataset(chunks, metadata, path)
+    datasets.write_token_dataset(chunks, metadata, path, chunk_size=chunk_size)
 
 
 def _tokenized(spark: SparkSession, docs: DataFrame, vocab_size: int, ranks: Mapping[bytes, int] | None,
@@ -55,9 +55,10 @@ def _tokenized(spark: SparkSession, docs: DataFrame, vocab_size: int, ranks: Map
 
 def inspect(spark: SparkSession, path: str, num_samples: int = 5, sample_length: int = 512, k: int = 20,
             ranks: Mapping[bytes, int] | None = None, seed: int | None = None,
-            chunk_size: int = CHUNK_SIZE) -> dict[str, DataFrame | None]:
+            chunk_size: int | None = None) -> dict[str, DataFrame | None]:
     """Metadata, statistics, random decoded samples and token frequencies of a stored corpus."""
     chunks, metadata = datasets.read_token_dataset(spark, path)
+    chunk_size = datasets.stored_chunk_size(chunks, metadata, chunk_size)
     counts = stats.token_counts(chunks, "ids")
     starts = layout.sample_starts(spark, num_samples, layout.stream_length(chunks), sample_length, seed)
     label = None if ranks is None else decode_bpe(spark, F.array("token_id"), ranks)
@@ -68,9 +69,10 @@ def inspect(spark: SparkSession, path: str, num_samples: int = 5, sample_length:
 
 
 def batches(spark: SparkSession, path: str, steps: int, batch_size: int, block_size: int, grad_accum: int = 1,
-            seed: int | None = None, chunk_size: int = CHUNK_SIZE) -> DataFrame:
+            seed: int | None = None, chunk_size: int | None = None) -> DataFrame:
     """Random training windows of a stored corpus with step, row and optimizer step."""
-    chunks, _ = datasets.read_token_dataset(spark, path)
+    chunks, metadata = datasets.read_token_dataset(spark, path)
+    chunk_size = datasets.stored_chunk_size(chunks, metadata, chunk_size)
     starts = layout.sample_starts(spark, steps * batch_size, layout.stream_length(chunks), block_size, seed)
     return layout.make_batches(layout.gather_windows(starts, chunks, chunk_size, block_size), batch_size, grad_accum)
 
