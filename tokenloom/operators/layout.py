@@ -97,6 +97,15 @@ def stream_length(chunks: DataFrame) -> int:
     return chunks.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
 
 
+def repeatable_start(sample_id: Column, room: int) -> Column:
+    """The start that belongs to a sample id, below ``room``.
+
+    In decimals, as the product passes 64 bits beyond some 8e9 samples.
+    """
+    wide = sample_id.cast("decimal(20,0)") * F.lit(LCG_MULTIPLIER).cast("decimal(10,0)") + F.lit(LCG_INCREMENT)
+    return (wide % F.lit(room).cast("decimal(20,0)")).cast("bigint")
+
+
 def sample_starts(spark: SparkSession, n: int, total: int, block: int, seed: int | None = None) -> DataFrame:
     """``n`` window starts with replacement, uniform in ``[0, total - block)``.
 
@@ -106,9 +115,7 @@ def sample_starts(spark: SparkSession, n: int, total: int, block: int, seed: int
     if room <= 0:
         raise ValueError(f"the stream has {total} tokens, too few for windows of {block}")
     ids = spark.range(n).withColumnRenamed("id", "sample_id")
-    # In decimals: the product passes 64 bits beyond some 8e9 samples.
-    wide = F.col("sample_id").cast("decimal(20,0)") * F.lit(LCG_MULTIPLIER).cast("decimal(10,0)") + F.lit(LCG_INCREMENT)
-    start = ((wide % F.lit(room).cast("decimal(20,0)")) if seed is None
+    start = (repeatable_start(F.col("sample_id"), room) if seed is None
              else F.floor(F.rand(seed) * room))
     return ids.withColumn("start", start.cast("bigint"))
 
