@@ -37,6 +37,8 @@ HEAD = 65_536
 #: Distinct words that a task counts before it hands them on.
 TABLE = 200_000
 ROUNDS = 3
+#: Words that a recursion takes at once: its array steps cost the same for few words as for many.
+BATCH = 50_000
 #: Words up to this length go through arrays, longer ones through a loop of their own.
 ARRAY_LENGTH = 40
 _START = "▁"
@@ -269,6 +271,7 @@ def fit_pieces(table: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces
     What comes back to the driver has a row per piece of the vocabulary at most.
     """
     spark = table.sparkSession
+    small_batches(spark, rows=BATCH)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(pieces)
 
@@ -347,6 +350,7 @@ def totals(table: DataFrame) -> Totals:
 
 def scored_words(table: DataFrame, pieces: Pieces, sums: Totals) -> DataFrame:
     """The word table with the model's and the base model's log10 probability of each word."""
+    small_batches(table.sparkSession, rows=BATCH)
     shared = table.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
