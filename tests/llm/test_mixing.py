@@ -50,3 +50,35 @@ def test_hard_rows(hard):
     sample = mixing.mix(hard, "doc_id", queries.margins(), tokens, 0.5)
     assert sample.columns == hard.columns and sample.count() == sum(r._kept for r in every)
     assert mixing.mix(hard.limit(0), "doc_id", queries.margins(), tokens, 0.5).count() == 0
+
+
+def test_one_odd_document_does_not_thin_the_rest(spark):
+    """Rates against raking in plain Python, without and with one document of a source and language of its own."""
+    def rates(rows):
+        cells = {}
+        for _, s, g in rows:
+            cells[s, g] = cells.get((s, g), 0) + 50
+        found = [{v: sum(t for c, t in cells.items() if c[i] == v) for v in {c[i] for c in cells}} for i in (0, 1)]
+        goals = [{v: t ** 0.9 / sum(x ** 0.9 for x in sums.values()) for v, t in sums.items()} for sums in found]
+        share = {c: t / sum(cells.values()) for c, t in cells.items()}
+        for _ in range(mixing.SWEEPS):
+            for i, goal in enumerate(goals):
+                sums = {v: sum(x for c, x in share.items() if c[i] == v) for v in goal}
+                share = {c: x * goal[c[i]] / sums[c[i]] for c, x in share.items()}
+        left, total = mixing.SPARE * sum(cells.values()), 0
+        for ratio, tokens in sorted(((share[c] / t, t) for c, t in cells.items()), reverse=True):
+            total += tokens
+            if total > left:
+                return {c: min(1.0, share[c] / t / ratio) for c, t in cells.items()}
+
+    rows = [(i, "abc"[min(i % 7, 2)], "xy"[i % 5 == 0]) for i in range(3000)]
+    text, kept = F.array_join(F.array_repeat(F.lit("word"), 50), " "), []
+    for sample in (rows, [*rows, (3000, "odd", "odder")]):
+        docs = spark.createDataFrame(sample, "doc_id long, source string, lang string").withColumn("text", text)
+        every = mixing.mix(docs, "doc_id", {"source": F.col("source"), "lang": F.col("lang")},
+                           mixing.word_count(F.col("text")), 0.9, keep_all=True).collect()
+        want = rates(sample)
+        assert [r._rate for r in every] == pytest.approx([want[r.source, r.lang] for r in every])
+        kept.append(sum(r._rate for r in every if r.source != "odd") / len(rows))
+    assert every[-1]._rate == 1.0 and every[-1].source == "odd"
+    assert abs(kept[0] - kept[1]) < 0.005

@@ -5,6 +5,10 @@ occurs. In a sweep each margin in turn scales its cells so that their sums reach
 no sum is further than a tolerance from its target. The ratio of a cell's fitted to its found share
 is the weight of its documents; over the largest ratio it is a probability of being kept, so that the
 expected token shares are the fitted ones. Documents are only ever compared with their own cell.
+
+No document is repeated, so a cell that is lifted far would thin all others. Where targets are tempered
+found shares, the most lifted cells that hold at most ``SPARE`` of the tokens together are kept whole
+instead, and stay below their targets; how much is kept then does not depend on single odd documents.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from .words import WORD
 
 SWEEPS = 40
 TOLERANCE = 1e-9
+#: Share of the tokens whose cells may stay below their tempered targets, so that the rest is not thinned for them.
+SPARE = 0.01
 
 
 def word_count(text: Column) -> Column:
@@ -89,11 +95,15 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEP
     return current
 
 
-def keep_rates(raked: DataFrame) -> DataFrame:
-    """Cells with ``rate``: fitted over found share, divided by the largest such ratio."""
+def keep_rates(raked: DataFrame, spare: float = 0.0) -> DataFrame:
+    """Cells with ``rate``: fitted over found share, divided by the largest such ratio, at most one.
+
+    The largest ratio is taken without the cells at the top that hold a share ``spare`` of the tokens.
+    """
     ratio = F.col("share") / F.col("tokens")
-    most = raked.agg(F.max(ratio)).first()[0]
-    return raked.withColumn("rate", ratio / F.lit(most or 1.0))
+    largest = F.percentile(ratio, F.lit(1.0 - spare), F.col("tokens")) if spare else F.max(ratio)
+    most = raked.where(ratio > 0).agg(largest).first()[0]
+    return raked.withColumn("rate", F.least(ratio / F.lit(most or 1.0), F.lit(1.0)))
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -103,10 +113,11 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, key: str, margins: Mapping[str, Column], tokens: Column, targets: Mapping[str, DataFrame] | float,
-        seed: int = 0, keep_all: bool = False) -> DataFrame:
+        seed: int = 0, keep_all: bool = False, spare: float | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns; with ``keep_all`` every row and its decision.
 
-    ``targets``: a table per margin, or a power that tempers the found shares. A row is kept if the
+    ``targets``: a table per margin, or a power that tempers the found shares. Tables are met as they
+    are, tempered shares but for ``spare`` (see ``keep_rates``) of the tokens. A row is kept if the
     draw of its key is below its cell's rate, so rows repeated under one key share one fate, as null
     keys do. Documents without tokens weigh nothing and are kept. With ``keep_all`` the columns
     ``_cell`` (the margins' values), ``_tokens``, ``_rate`` and ``_kept`` are added. The margins,
@@ -122,7 +133,9 @@ def mix(docs: DataFrame, key: str, margins: Mapping[str, Column], tokens: Column
         wanted = {n: targets[m].select(F.col(m).alias(n), "target") for n, m in zip(names, margins)}
     else:
         wanted = {n: tempered_targets(cells, n, targets) for n in names}
-    rates = keep_rates(rake(cells, wanted)).select(*[F.col(n).alias(f"c_{n}") for n in names], "rate")
+    if spare is None:
+        spare = 0.0 if isinstance(targets, Mapping) else SPARE
+    rates = keep_rates(rake(cells, wanted), spare).select(*[F.col(n).alias(f"c_{n}") for n in names], "rate")
     on = F.lit(True)
     for n in names:
         on = on & F.col(n).eqNullSafe(F.col(f"c_{n}"))

@@ -45,9 +45,12 @@ def margins() -> dict[str, Column]:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its cell, token count, rate of being kept and whether it is."""
+    """Every document with its cell, token count, rate of being kept and whether it is.
+
+    The SQL divides by the largest ratio of all cells, so no cell is spared here; the pipeline's stage spares.
+    """
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), "doc_id",
-                       margins(), mixing.word_count(F.col("text")), TEMPER, keep_all=True)
+                       margins(), mixing.word_count(F.col("text")), TEMPER, keep_all=True, spare=0.0)
     return mixed.select("doc_id", "_cell.source", "_cell.lang", "_cell.topic", F.col("_tokens").alias("n_tokens"),
                         F.round("_rate", 6).alias("rate"), F.col("_kept").alias("kept"))
 
