@@ -1,5 +1,6 @@
 """Results that must not depend on size, and stored corpora that cannot be misread."""
 
+import hashlib
 import random
 
 import pytest
@@ -7,6 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tokenloom import workflows
+from tokenloom.catalog import corpus
 from tokenloom.functions import codecs, numeric
 from tokenloom.operators import early_stop, generate, layout, metrics, ngrams, stats
 from tokenloom.sources import datasets, records
@@ -138,3 +140,17 @@ def test_bpe_equals_a_reference_encoder(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     rows = df.select("t", codecs.encode_bpe(spark, "t", ranks).alias("ids")).collect()
     assert all(r.ids == (None if r.t is None else library.encode_ordinary(r.t)) for r in rows)
+
+
+def test_text_files_grow_in_number_with_the_text(spark, tmp_path, monkeypatch):
+    """One outlying id puts all other documents into the first part, yet no file is large."""
+    rows = [(i, f"text {i} " * 20 + ("\r" if i % 3 else "")) for i in range(300)] + [(10**9, "far")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, read = [], records.read_text_files
+    monkeypatch.setattr(records, "read_text_files", lambda *a: seen.append(read(*a)) or seen[-1])
+    monkeypatch.setattr(corpus, "FILE_BYTES", 2000, raising=False)
+    got = {r.part: (r.chars, r.text_md5) for r in corpus.read_text_files(spark, str(tmp_path)).collect()}
+    parts = {0: "".join(t.rstrip("\r") + "\n" for _, t in rows[:-1]), 7: "far\n"}
+    assert got == {p: (len(t), hashlib.md5(t.encode()).hexdigest()) for p, t in parts.items()}
+    sizes = [len(r.text) for r in seen[0].collect()]
+    assert len(sizes) > len(parts[0]) // 2500 and max(sizes) < 2500

@@ -9,12 +9,15 @@ from tokenloom.catalog.inputs import TOY_RANKS, documents, log_points, raw_recor
 from tokenloom.functions import codecs, text
 from tokenloom.functions.sql import register_sql
 from tokenloom.operators import budgets, layout, stats
+from tokenloom.plans.ordered import BUCKET
 from tokenloom.session import scratch_path, written
 from tokenloom.sources import datasets, records
 
 CHUNK = 512
 BLOCK = 512
-FILES = 8
+PARTS = 8
+#: Text of a file; one that ends with a longer document holds that whole.
+FILE_BYTES = 4 << 20
 N_BYTES = F.octet_length
 
 
@@ -48,15 +51,22 @@ def read_split(spark, sf):
 
 
 def read_text_files(spark, sf):
+    """Documents as files of some MB, each read back as one row; digests of the files of a part in a row."""
     path = scratch_path(spark, "files")
     docs = documents(spark, sf).select("doc_id", "text")
     last = docs.agg(F.max("doc_id")).first()[0]
-    placed = docs.withColumn("part", F.expr(f"doc_id * {FILES} div {last + 1}"))
-    (placed.repartition(FILES, "part").sortWithinPartitions("part", "doc_id")
-     .select("part", "text").write.partitionBy("part").text(path))
-    files = records.read_text_files(spark, f"{path}/*/*.txt")
-    return files.select(F.regexp_extract("source_file", r"part=(\d+)", 1).cast("bigint").alias("part"),
-                        F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))
+    if last is None:
+        return spark.createDataFrame([], "part bigint, chars bigint, text_md5 string")
+    starts = layout.global_offsets(docs.withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)) + 1),
+                                   ["doc_id"], "n", keep_bucket=True)
+    # A bucket is one task's, so files that end with it need no shuffle of the text beyond that of the offsets.
+    placed = starts.select("doc_id", "text", F.expr(f"doc_id * {PARTS} div {last + 1}").alias("part"),
+                           F.expr(f"start div {FILE_BYTES}").alias("file"), F.col(BUCKET).alias("piece"))
+    keys = ["part", "file", "piece"]
+    placed.sortWithinPartitions(*keys, "doc_id").select(*keys, "text").write.partitionBy(*keys).text(path)
+    read = records.read_text_files(spark, f"{path}/*/*/*/*.txt")
+    number = [F.regexp_extract("source_file", rf"{c}=(\d+)", 1).cast("bigint").alias(c) for c in keys]
+    return text.joined_digests(read.select(*number, "text"), "part", ["file", "piece"], PARTS)
 
 
 def token_dataset(spark, sf):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +52,36 @@ def text_lengths(df: DataFrame, column: str = "text") -> DataFrame:
                            "utf8_bytes": F.octet_length(column).cast("bigint")})
 
 
+def joined_digests(df: DataFrame, group: str, order: Sequence[str], groups: int, column: str = "text") -> DataFrame:
+    """Characters and MD5 of the texts of each group (a bigint) joined in order.
+
+    The joined text never exists as a value: a digest goes on from row to row. As it can only be
+    taken in order, a group is one task's work.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([chars], pa.int64()),
+                                               pa.array([digest.hexdigest()])], [group, "chars", f"{column}_md5"])
+
+        at, chars, digest = None, 0, None
+        for batch in batches:
+            for own, n, octets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if digest is None or own != at:
+                    if digest is not None:
+                        yield row()
+                    at, chars, digest = own, 0, hashlib.md5(usedforsecurity=False)
+                if n is not None:
+                    chars += n
+                    digest.update(octets.as_buffer())
+        if digest is not None:
+            yield row()
+
+    rows = (df.select(F.col(group).cast("bigint"), *order, F.length(column).cast("bigint").alias("_n"),
+                      F.col(column).cast("binary").alias("_octets"))
+            .repartition(groups, group).sortWithinPartitions(group, *order))
+    return rows.select(group, "_n", "_octets").mapInArrow(run, f"{group} bigint, chars bigint, {column}_md5 string")
+
+
 def budget_unit(kind: str, column: str = "text") -> Column:
     """What a size budget counts: characters under BPE, bytes under byte-level tokens."""
     return (F.octet_length(column) if kind == "byte_level" else F.length(column)).cast("bigint")
