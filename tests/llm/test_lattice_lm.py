@@ -51,6 +51,25 @@ def test_expected_counts_add_up_and_training_helps(pieces):
     assert lattice_lm.Lattice(trained).word_logs(WORDS).sum() > before
 
 
+def test_long_words_count_as_short_ones_do(pieces, monkeypatch):
+    lattice, found = lattice_lm.Lattice(pieces), []
+    for length in (lattice_lm.ARRAY_LENGTH, 0):
+        monkeypatch.setattr(lattice_lm, "ARRAY_LENGTH", length)
+        counts, spelled = (np.zeros(len(lattice.names[0])), np.zeros(len(lattice.names[1]))), Counter()
+        lattice.word_logs(WORDS, counts, spelled)
+        found.append((*counts, spelled))
+    assert found[1][0] == pytest.approx(found[0][0]) and found[1][1] == pytest.approx(found[0][1])
+    assert dict(found[1][2]) == pytest.approx({c: x for c, x in found[0][2].items()})
+
+
+def test_training_learns_from_words_of_any_length(spark, pieces):
+    long = ["日本語の文章には空白がありません" * 4, "https://example.org/" + "thinking/" * 9, "é" * 50]
+    docs = spark.createDataFrame([(w,) for w in long], "text string")
+    fitted = lattice_lm.fit_pieces(lattice_lm.word_counts(docs, "text", F.lit(True)), pieces, rounds=1)
+    before, after = (lattice_lm.Lattice(p).word_logs(long) for p in (pieces, fitted))
+    assert all(len(w) > lattice_lm.ARRAY_LENGTH for w in long) and (after > before).all()
+
+
 def tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 

@@ -102,6 +102,7 @@ class Lattice:
             self.index.append((keys[order], np.arange(len(names), dtype=np.int32)[order]))
             self.score.append(np.array([table[p] for p in names]))
         self.names = list(pieces.inner), list(pieces.start)
+        self.places = tuple({p: i for i, p in enumerate(names)} for names in self.names)
         self.chars: dict[int, tuple[float, bool]] = {}
 
     @staticmethod
@@ -152,7 +153,7 @@ class Lattice:
         for length, places in by_length.items():
             if length > ARRAY_LENGTH:
                 for i in places:
-                    out[i] = self._long_word(found[i])
+                    out[i] = self._long_word(found[i], counts, spelled)
                 continue
             joined = "".join([found[i] for i in places])
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(places), length)
@@ -199,17 +200,18 @@ class Lattice:
                 share = np.exp(forward[i, used] + by_bytes[used, i] + backward[i + 1, used] - total[used])
                 for c, x in zip(codes[used, i].tolist(), share.tolist()):
                     spelled[c] += x
-        counts[1][self.names[1].index("")] += float(np.exp(forward[0] + backward[0] - total).sum())
+        counts[1][self.places[1][""]] += float(np.exp(forward[0] + backward[0] - total).sum())
         return total
 
-    def _long_word(self, word: str) -> float:
-        """The same forward recursion for one word of any length."""
+    def _long_word(self, word: str, counts: tuple[np.ndarray, ...] | None = None, spelled: Counter | None = None) -> float:
+        """The same recursions for one word of any length."""
         n, p = len(word), self.pieces
         forward = [-math.inf] * (n + 1)
         forward[0] = p.start[""]
-        for length in self.lengths[1]:
-            if 0 < length <= n and (s := p.start.get(word[:length])) is not None:
-                forward[length] = s
+        starts = [(length, s) for length in self.lengths[1]
+                  if 0 < length <= n and (s := p.start.get(word[:length])) is not None]
+        for length, s in starts:
+            forward[length] = s
         for i in range(n):
             a = forward[i]
             if a == -math.inf:
@@ -219,11 +221,40 @@ class Lattice:
                     break
                 s = p.inner.get(word[i:i + length])
                 if s is not None:
-                    forward[i + length] = float(np.logaddexp(forward[i + length], a + s))
+                    forward[i + length] = _log_sum(forward[i + length], a + s)
             s = self.spelled(ord(word[i]))
             if s != -math.inf:
-                forward[i + 1] = float(np.logaddexp(forward[i + 1], a + s))
-        return forward[n] + p.stop
+                forward[i + 1] = _log_sum(forward[i + 1], a + s)
+        total = forward[n] + p.stop
+        if counts is None:
+            return total
+        backward = [-math.inf] * n + [p.stop]
+        for i in range(n - 1, -1, -1):
+            a = forward[i] - total
+            for length in self.lengths[0]:
+                if i + length > n:
+                    break
+                piece = word[i:i + length]
+                s = p.inner.get(piece)
+                if s is not None:
+                    s += backward[i + length]
+                    counts[0][self.places[0][piece]] += math.exp(a + s)
+                    backward[i] = _log_sum(backward[i], s)
+            s = self.spelled(ord(word[i]))
+            if s != -math.inf:
+                s += backward[i + 1]
+                spelled[ord(word[i])] += math.exp(a + s)
+                backward[i] = _log_sum(backward[i], s)
+        for length, s in starts:
+            counts[1][self.places[1][word[:length]]] += math.exp(s + backward[length] - total)
+        counts[1][self.places[1][""]] += math.exp(forward[0] + backward[0] - total)
+        return total
+
+
+def _log_sum(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
 def as_text(word: bytes) -> str:
@@ -281,7 +312,7 @@ def fit_pieces(table: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces
             spelled: Counter = Counter()
             seen = 0
             for batch in batches:
-                found = [w for w in map(as_text, batch.column(0).to_pylist()) if len(w) <= ARRAY_LENGTH]
+                found = [as_text(w) for w in batch.column(0).to_pylist()]
                 lattice.word_logs(found, counts, spelled)
                 seen += len(found)
             kinds, names, values = ["stop"], [""], [float(seen)]
