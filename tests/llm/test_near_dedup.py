@@ -98,3 +98,8 @@ def test_hard_rows(hard, spark):
 
 def rows_text(rows, key):
     return next(t for i, t in rows if i == key)
+
+
+def test_every_word_of_a_long_shingle_counts():
+    one, other = (shingle_set(f"a b c d e f g {last}".encode(), 8) for last in "hi")
+    assert len(one) == len(other) == 1 and one[0] != other[0]

@@ -13,8 +13,11 @@ from pyspark.sql import SparkSession
 #: The same words as a regular expression, for SQL functions.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Odd multipliers, one for each word of a gram.
-_ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(5)]
+
+
+def _odd(i: int) -> np.uint64:
+    """The odd multiplier of the i-th word of a gram."""
+    return np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1))
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -44,8 +47,8 @@ def gram_hashes(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     for offset in offsets:
         seed = seed * 31 + offset + 1
     total = np.full(n, seed, np.uint64)
-    for odd, offset in zip(_ODD, offsets):
-        total += hashes[offset:offset + n] * odd
+    for i, offset in enumerate(offsets):
+        total += hashes[offset:offset + n] * _odd(i)
     return mixed(total)
 
 
