@@ -50,9 +50,61 @@ def test_null_groups_and_null_keys_are_kept(spark):
     assert laid.count() == 60
 
 
-def test_text_is_no_order_key(spark):
+def test_a_map_is_no_order_key(spark):
     with pytest.raises(TypeError):
-        ordered.row_index(spark.createDataFrame([("a",)], "k string"), ["k"], "i")
+        ordered.row_index(spark.createDataFrame([({"a": 1},)], "k map<string,int>"), ["k"], "i")
+
+
+def bucket_sizes(df):
+    return [r[1] for r in df.groupBy(ordered.BUCKET).count().collect()]
+
+
+def checked_order(spark, df, order):
+    """Row numbers equal Spark's own order, and buckets rise with it."""
+    placed = ordered.with_buckets(df, order)
+    rows = placed.orderBy(*order).select(ordered.BUCKET).collect()
+    assert [r[0] for r in rows] == sorted(r[0] for r in rows)
+    return bucket_sizes(placed)
+
+
+def test_text_keys(spark):
+    names = ["", "a", "a\u0000", "ab", "b", 'q"uote\\', "é", "\U0001F600", None, *[f"dir/{i % 7}/file{i}.txt" for i in range(3000)]]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "k string, t int").repartition(5)
+    sizes = checked_order(spark, df, ["k"])
+    assert len(sizes) > 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = {r["t"]: r["i"] for r in ordered.row_index(df, ["k"], "i").collect()}
+    want = [i for _, i in sorted(((n is not None, (n or "").encode()), i) for i, n in enumerate(names))]
+    assert [got[t] for t in want] == list(range(len(names)))
+
+
+def test_half_of_the_rows_under_one_first_key(spark):
+    rows = [("same" if i % 2 else f"k{i}", i if i % 3 else None, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "a string, b int, t int").repartition(6)
+    sizes = checked_order(spark, df, ["a", "b", "t"])
+    assert len(sizes) > 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_ties_are_split_by_a_row_hash(spark):
+    rows = [(None if i % 2 else i, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, t int").repartition(6)
+    placed = ordered.with_buckets(df, ["k"])
+    sizes = bucket_sizes(placed)
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = [r["i"] for r in ordered.row_index(df, ["k"], "i").orderBy("i").collect()]
+    assert got == list(range(6000))
+
+
+def test_close_large_keys_spread(spark):
+    df = spark.range(4000).select((F.lit(2**60) + F.col("id")).alias("k"), "id").repartition(5)
+    sizes = checked_order(spark, df, ["k"])
+    assert len(sizes) > 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert ordered.row_index(df, ["k"], "i").where("i <> id").count() == 0
+
+
+def test_numbers_that_json_writes_as_words(spark):
+    values = [float("-inf"), -0.0, 0.0, 1e-300, 0.1, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values * 40)], "k double, t int")
+    checked_order(spark, df, ["k", "t"])
 
 
 def test_empty_table(spark):

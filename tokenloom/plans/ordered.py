@@ -1,67 +1,107 @@
 """Windows over an ordered table without one task holding a whole group.
 
 A window ``PARTITION BY run`` (or with no partition at all) puts every row of the
-group into one task. The helpers here cut the order into quantile buckets whose bounds
-are literals, so the bucket of a row depends on its key alone: retried tasks and the
-second pass over the table always agree. A group holding any share of the rows is
-spread over all buckets, and no bucket exceeds about ``rows / buckets``.
+group into one task. The helpers here cut the order into buckets whose bounds are
+splitters: a sorted sample of whole key tuples, compared exactly and in full. The
+splitters are literals, so the bucket of a row depends on its key alone: retried tasks
+and the second pass over the table always agree. A group holding any share of the rows
+is spread over all buckets, and so are rows that share the first key, as long as a later
+key tells them apart. Where whole tuples repeat so often that they would fill buckets, a
+hash of the row is taken as one key more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 GROUP = "_group"
 SEGMENT = "_segment"
 OWN = "_own"
+TIE = "_tie"
 SEGMENT_ROWS = 1_000_000
 
-
 MAX_BUCKETS = 20_000
+#: Sampled key tuples per bucket: buckets then differ by some 15 % in size.
+SAMPLED = 48
 
 
 def bucket_count(df: DataFrame) -> int:
     """Four buckets per shuffle partition, so that hashing them spreads evenly.
 
-    The cap keeps the quantile sketch and the list of bounds small at any setting.
+    The cap keeps the sample and the table of splitters small at any setting.
     """
     return min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
 
 
-def _as_double(df: DataFrame, key: str) -> Column:
-    """A number that rises with the key, whatever the session time zone."""
-    kind = dict(df.dtypes)[key]
-    if kind == "string" or kind.startswith(("array", "map", "struct", "binary")):
-        raise TypeError(f"order key {key} must be a number, date or timestamp, not {kind}")
-    if kind == "date":
-        return F.unix_date(key).cast("double")
-    if kind == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', `{key}`)").cast("double")
-    return F.col(key).cast("double")
+def _plain_key(df: DataFrame, key: str) -> Column:
+    """The key in a type that JSON holds exactly and that sorts alike, in any session time zone."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        raise TypeError(f"order key {key} cannot be a {kind.simpleString()}: it has no order")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(key)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(key)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', `{key}`)")
+    if isinstance(kind, T.FloatType):
+        return F.col(key).cast("double")
+    return F.col(key)
+
+
+def _key_tuple(df: DataFrame, order: Sequence[str]) -> Column:
+    return F.struct(*[_plain_key(df, k).alias(f"k{i}") for i, k in enumerate(order)])
 
 
-def with_buckets(df: DataFrame, key: str, buckets: int | None = None,
+def splitters(df: DataFrame, order: Sequence[str], buckets: int) -> tuple[Column, int, bool]:
+    """At most ``buckets - 1`` key tuples that cut the order into about equal parts.
+
+    Returned are a sorted literal array of structs, its length, and whether one tuple filled
+    several parts. Every row has the same chance to be sampled; the sample is bounded by the
+    number of buckets, not by the table.
+    """
+    keys = df.select(_key_tuple(df, order).alias("k"))
+    rows = keys.count()
+    wanted = SAMPLED * buckets
+    sample = keys if rows <= wanted else keys.sample(fraction=wanted / rows, seed=7)
+    found = [r[0] for r in sample.orderBy("k").select(F.to_json("k")).collect()]
+    picked = [found[i * len(found) // buckets] for i in range(1, buckets)] if found else []
+    distinct = list(dict.fromkeys(picked))
+    literal = F.sort_array(F.from_json(F.lit(f"[{','.join(distinct)}]"), T.ArrayType(keys.schema["k"].dataType)))
+    # A tuple that is three parts' bound fills two of them; of fewer rows than parts none is hot.
+    hot = rows > buckets and any(a == b for a, b in zip(picked, picked[2:]))
+    return literal, len(distinct), hot
+
+
+def _place(key: Column, bounds: Column, n: int) -> Column:
+    """How many of the ``n`` sorted bounds are at most the key: a binary search by rising bits."""
+    steps = F.lit([1 << i for i in reversed(range(max(n, 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= n) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at))
+
+
+def with_buckets(df: DataFrame, order: str | Sequence[str], buckets: int | None = None,
                  keys: DataFrame | None = None) -> DataFrame:
-    """Add an order-preserving bucket number for a numeric, date or timestamp key.
+    """Add a bucket number that rises with the order of the keys; null keys come first.
 
-    ``keys`` may name a cheaper table with about the same keys to take the bounds from.
+    Keys are of any type that can be sorted. ``keys`` may name a cheaper table with about
+    the same keys to take the splitters from. Where whole tuples are too frequent, a column
+    ``_tie`` is added, a hash of the row that splits them and belongs to the order as its
+    last key; rows that are equal in every column stay together.
     """
+    order = [order] if isinstance(order, str) else list(order)
     n = buckets or bucket_count(df)
-    as_double = _as_double(df, key)
-    probabilities = [i / n for i in range(1, n)]
-    bounds = (df if keys is None else keys).select(as_double.alias("k")).approxQuantile("k", probabilities, 0.25 / n)
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(BUCKET, F.lit(0))
-    cut = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep")
-    return (cut.transform(df.withColumn("_k", as_double))
-            .withColumn(BUCKET, F.coalesce(F.col("_b").cast("int"), F.lit(-1)))
-            .drop("_k", "_b"))
+    bounds, found, hot = splitters(df if keys is None else keys, order, n)
+    if hot:
+        df = df.withColumn(TIE, F.xxhash64(*df.columns))
+        order = [*order, TIE]
+        bounds, found, _ = splitters(df, order, n)
+    return df.withColumn(BUCKET, _place(_key_tuple(df, order), bounds, found) if found else F.lit(0))
 
 
 def running_sums(
@@ -80,14 +120,14 @@ def running_sums(
 
     Pass 1 sums every (group, bucket) with map-side combine and turns those few totals
     into the sum carried into each bucket. Pass 2 runs a window inside the bucket and
-    adds the carry. ``bucket`` replaces the quantile buckets by an expression that is
+    adds the carry. ``bucket`` replaces the sampled buckets by an expression that is
     already monotone in the order. ``below=(out, limit)`` skips buckets that start at or
     beyond the limit before anything is shuffled; the caller still filters rows.
     ``keep_bucket`` leaves the bucket and the ``{out}_lo``/``{out}_hi`` sums at its ends
     in the result. Null groups form a group, and null keys come first.
     """
-    cut = (with_buckets(df, order[0], buckets, keys) if bucket is None
-           else df.withColumn(BUCKET, bucket))
+    cut = with_buckets(df, order, buckets, keys) if bucket is None else df.withColumn(BUCKET, bucket)
+    order = [*order, TIE] if TIE in cut.columns and TIE not in df.columns else order
     names = {out: f"_v{i}" for i, out in enumerate(values)}
     by = []
     if group:
