@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import forced_bpe, lattice_lm, merkle, mixing, near_dedup, pivot_index, secrets, sharding, sql, token_rollup, toxicity
+from . import forced_bpe, lattice_lm, manifest, merkle, mixing, near_dedup, pivot_index, secrets, sharding, sql, token_rollup, toxicity
 
 SHARDS = 40
 
@@ -128,6 +128,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", words=4)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; every third one is checked after its text was lower-cased.
+
+    A document without an id is not tampered with.
+    """
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    seen = F.when(changed, manifest.leaf([*fields, lower]))
+    rows = manifest.manifest(_table(spark, sf_dir, "documents"), "doc_id", "lang",
+                             {"leaf": manifest.leaf([*fields, F.col("text")]), "seen": seen})
+    folded = manifest.folded(F.coalesce("seen", "leaf"), F.col("witness"))
+    return rows.select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("witness")).alias("proof_sha256"),
+                       folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
@@ -139,5 +155,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
+    "op11_manifest": op11_manifest,
 }
 SQL = sql.statements(TEMPER, mixing.SWEEPS)
