@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import forced_bpe, lattice_lm, manifest, merkle, mixing, near_dedup, pivot_index, secrets, sharding, sql, token_rollup, toxicity
+from . import forced_bpe, lattice_lm, manifest, merkle, mixing, near_dedup, pivot_index, secrets, sharding, sql, suffix_match, token_rollup, toxicity
 
 SHARDS = 40
 
@@ -144,6 +144,15 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items, and those items."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = suffix_match.marked(docs, "text", _table(spark, sf_dir, "benchmark"))
+    return rows.select("_row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                       (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
@@ -156,5 +165,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
     "op11_manifest": op11_manifest,
+    "op12_decontamination": op12_decontamination,
 }
 SQL = sql.statements(TEMPER, mixing.SWEEPS)

@@ -154,6 +154,92 @@ SELECT source, lang, tokenizer, count(*) AS documents, sum(tokens)::BIGINT AS to
 """
 
 
+#: CRC-32 of every byte value.
+_CRC = """crc_table AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v
+    FROM range(256) r(b)))"""
+
+
+def _manifest(levels: int = 7) -> str:
+    """Trees of up to 8 ** levels leaves, level by level: ``node`` is the original, ``fold`` the recomputed digest."""
+    def field(c: str) -> str:
+        return f"coalesce(concat(strlen({c}::VARCHAR), ':', {c}::VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(concat(" + ", ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars")) + f", {field(text)}))"
+
+    def tree(name: str, group: str) -> str:
+        """Siblings of every node on its way up. A group of one node is done and has no run."""
+        steps = ""
+        for n in range(levels):
+            a, b = f"{name}{n}", f"{name}{n + 1}"
+            steps += f""",
+  {a}r AS (SELECT {group} AS g, i // 8 AS up, list(node ORDER BY i) AS run, max(many) AS many
+           FROM (SELECT *, count(*) OVER (PARTITION BY {group}) > 1 AS many FROM {a}) GROUP BY ALL),
+  {b} AS (SELECT g AS {group}, up AS i, CASE WHEN many THEN sha256(array_to_string(run, '')) ELSE run[1] END AS node FROM {a}r)"""
+        return steps
+
+    def walk(source: str, name: str, group: str) -> str:
+        steps, last = "", source
+        for n in range(levels):
+            steps += f""",
+  {name}w{n} AS (SELECT w.* REPLACE (
+      w.i // 8 AS i,
+      CASE WHEN many THEN sha256(concat(array_to_string(run[1:w.i % 8], ''), fold, array_to_string(run[w.i % 8 + 2:], ''))) ELSE fold END AS fold,
+      CASE WHEN many THEN concat(proof, array_to_string(run[1:w.i % 8], ''), array_to_string(run[w.i % 8 + 2:], '')) ELSE proof END AS proof)
+    FROM {last} w JOIN {name}{n}r r ON w.{group} IS NOT DISTINCT FROM r.g AND w.i // 8 = r.up)"""
+            last = f"{name}w{n}"
+        return steps
+
+    return f"""
+WITH {_CRC},
+hashed AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf, {leaf("lowered")} AS seen,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || h)::BIGINT FOR h IN
+               regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..')]),
+             lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 3 = 0 AS changed
+  FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents), crc_table),
+a0 AS (SELECT doc_id, lang, leaf, leaf AS node, CASE WHEN changed THEN seen ELSE leaf END AS fold, '' AS proof,
+              row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed){tree("a", "lang")},
+subroots AS (SELECT lang, node AS subroot FROM a{levels}),
+b0 AS (SELECT 0 AS one, lang, subroot AS node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM subroots){tree("b", "one")}{walk("a0", "a", "lang")},
+joined AS (SELECT w.doc_id, w.leaf, w.fold, w.proof, b0.i, b0.node AS subroot, 0 AS one
+           FROM aw{levels - 1} w JOIN b0 ON w.lang IS NOT DISTINCT FROM b0.lang){walk("joined", "b", "one")}
+SELECT doc_id, leaf, subroot, b{levels}.node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = b{levels}.node AS verified
+FROM bw{levels - 1} JOIN b{levels} USING (one)
+"""
+
+
+#: Windows are compared as joined words, a length of windows at a time.
+_OP12 = """
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, w, least(len(w), 10) AS width FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS words
+  FROM items),
+places AS (
+  SELECT doc_id, width, unnest(range(1, len(w) - width + 2)) AS at,
+         unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS words
+  FROM lowered, (SELECT DISTINCT width FROM items) WHERE len(w) >= width),
+found AS (SELECT doc_id, item_id, at, width FROM places JOIN windows USING (width, words)),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (
+           SELECT doc_id, unnest(range(at, at + width)) AS place FROM (SELECT DISTINCT doc_id, at, width FROM found)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+          FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def statements(temper: float, sweeps: int) -> dict[str, str]:
     return {"op1_sharding": _OP1, "op2_secrets": _OP2, "op3_mixing": _mixing(temper, sweeps), "op6_top_k": _OP6,
-            "op8_token_counts": _OP8, "op10_near_dedup": _OP10}
+            "op8_token_counts": _OP8, "op10_near_dedup": _OP10, "op11_manifest": _manifest(),
+            "op12_decontamination": _OP12}
