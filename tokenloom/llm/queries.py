@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import forced_bpe, lattice_lm, manifest, merkle, mixing, near_dedup, pivot_index, secrets, sharding, sql, suffix_match, token_rollup, toxicity
+from . import cross_align, forced_bpe, lattice_lm, manifest, merkle, mixing, near_dedup, pivot_index, secrets, sharding, sql, suffix_match, token_rollup, toxicity
 
 SHARDS = 40
 
@@ -45,19 +44,16 @@ def margins() -> dict[str, Column]:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its cell, token count, rate of being kept and whether it is.
-
-    The SQL divides by the largest ratio of all cells, so no cell is spared here; the pipeline's stage spares.
-    """
+    """Every document with its cell, token count, rate of being kept and whether it is."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), "doc_id",
-                       margins(), mixing.word_count(F.col("text")), TEMPER, keep_all=True, spare=0.0)
+                       margins(), mixing.word_count(F.col("text")), TEMPER, keep_all=True)
     return mixed.select("doc_id", "_cell.source", "_cell.lang", "_cell.topic", F.col("_tokens").alias("n_tokens"),
                         F.round("_rate", 6).alias("rate"), F.col("_kept").alias("kept"))
 
 
 def vocabulary(name: str) -> str:
-    """Path of a public vocabulary file; ``TOKENIZER_DIR`` names another folder than the default."""
-    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+    """Path of a public vocabulary file; the operators take any other path."""
+    return public_tokenizers.path(name)
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +149,12 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens that end together in two tokenizers, and counts of the id pairs that overlap."""
+    return cross_align.link_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("byte_bpe_50k.json"),
+                                   public_tokenizers.PATTERN, vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
@@ -166,5 +168,6 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_manifest": op11_manifest,
     "op12_decontamination": op12_decontamination,
+    "op13_alignment": op13_alignment,
 }
-SQL = sql.statements(TEMPER, mixing.SWEEPS)
+SQL = sql.statements(TEMPER, mixing.SWEEPS, mixing.TOLERANCE, mixing.SPARE)

@@ -72,17 +72,27 @@ FROM documents LEFT JOIN listed USING (doc_id)
 """
 
 
-def _mixing(power: float, sweeps: int) -> str:
-    def fitted(table: str, margin: str) -> str:
-        return (f"SELECT * REPLACE (share * target_{margin} / sum(share) OVER (PARTITION BY {margin}) AS share) "
+def _mixing(power: float, sweeps: int, tolerance: float, spare: float) -> str:
+    """Sweeps stop by the rule of the operator: when no sum was further from its target than the tolerance.
+
+    The largest ratio leaves out the cells at the top that hold the share ``spare`` of the tokens: it is
+    the percentile of the ratios, each counted once a token, between two neighbours where it falls between.
+    """
+    margins = ("source", "lang", "topic")
+
+    def fitted(table: str, m: str) -> str:
+        found = f"sum(share) OVER (PARTITION BY {m})"
+        return (f"SELECT * REPLACE (share * target_{m} / {found} AS share, greatest(away, abs(target_{m} - {found})) AS away) "
                 f"FROM ({table})")
 
-    step = "SELECT * FROM sweep WHERE n < " + str(sweeps)
-    for margin in ("source", "lang", "topic"):
-        step = fitted(step, margin)
+    step = f"SELECT * REPLACE (0.0::DOUBLE AS away) FROM sweep WHERE n < {sweeps} AND worst > {tolerance}"
+    for m in margins:
+        step = fitted(step, m)
     targets = ", ".join(f"""
   target_{m}s AS (SELECT {m}, pow(f, {power}) / sum(pow(f, {power})) OVER () AS target_{m}
-                  FROM (SELECT {m}, sum(tokens) AS f FROM cells GROUP BY {m}) WHERE f > 0)""" for m in ("source", "lang", "topic"))
+                  FROM (SELECT {m}, sum(tokens) AS f FROM cells GROUP BY {m}) WHERE f > 0)""" for m in margins)
+    joined = " ".join(f"JOIN target_{m}s ON cells.{m} IS NOT DISTINCT FROM target_{m}s.{m}" for m in margins)
+    names = ", ".join(f"cells.{m}" for m in margins)
     return f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS text,
@@ -94,17 +104,23 @@ docs AS (
                  WHEN tokens >= 2000 THEN 'long' ELSE 'prose' END AS topic FROM marked),
 cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM docs GROUP BY ALL),{targets},
 sweep AS (
-  SELECT 0 AS n, source, lang, topic, tokens, tokens::DOUBLE / sum(tokens) OVER () AS share, target_source, target_lang, target_topic
-  FROM cells JOIN target_sources USING (source) JOIN target_langs USING (lang) JOIN target_topics USING (topic)
-  WHERE tokens > 0
+  SELECT 0 AS n, {names}, tokens, tokens::DOUBLE / sum(tokens) OVER () AS share, target_source, target_lang, target_topic,
+         0.0::DOUBLE AS away, 'inf'::DOUBLE AS worst
+  FROM cells {joined} WHERE tokens > 0
   UNION ALL
-  SELECT n + 1, source, lang, topic, tokens, share, target_source, target_lang, target_topic FROM ({step})),
-rates AS (
-  SELECT source, lang, topic, share / tokens / max(share / tokens) OVER () AS rate FROM sweep WHERE n = {sweeps})
-SELECT doc_id, source, lang, topic, tokens AS n_tokens, round(r, 6) AS rate,
-       ('0x' || substr(md5(concat(doc_id, ':0')), 1, 13))::BIGINT / 4503599627370496.0 < r AS kept
-FROM (SELECT docs.*, CASE WHEN tokens = 0 THEN 1.0 ELSE coalesce(rate, 0.0) END AS r
-      FROM docs LEFT JOIN rates USING (source, lang, topic))
+  SELECT n + 1, source, lang, topic, tokens, share, target_source, target_lang, target_topic, away, max(away) OVER () FROM ({step})),
+raked AS (SELECT *, share / tokens AS ratio FROM sweep WHERE n = (SELECT max(n) FROM sweep)),
+counted AS (SELECT ratio, sum(tokens) OVER (ORDER BY ratio) AS upto FROM raked WHERE ratio > 0),
+place AS (SELECT (sum(tokens) - 1)::DOUBLE * (1.0::DOUBLE - {spare}) AS at FROM raked WHERE ratio > 0),
+ends AS (SELECT at, (SELECT min(ratio) FROM counted WHERE upto > floor(at)) AS low,
+                (SELECT min(ratio) FROM counted WHERE upto > ceil(at)) AS high FROM place),
+most AS (SELECT CASE WHEN low = high THEN low ELSE (ceil(at) - at) * low + (at - floor(at)) * high END AS top FROM ends),
+rates AS (SELECT source, lang, topic, least(ratio / top, 1.0) AS rate FROM raked, most)
+SELECT doc_id, docs.source, docs.lang, docs.topic, tokens AS n_tokens,
+       round(CASE WHEN tokens = 0 THEN 1.0 ELSE coalesce(rate, 0.0) END, 6) AS rate,
+       ('0x' || substr(md5(concat(doc_id, ':0')), 1, 13))::BIGINT / 4503599627370496.0
+         < CASE WHEN tokens = 0 THEN 1.0 ELSE coalesce(rate, 0.0) END AS kept
+FROM docs LEFT JOIN rates ON {" AND ".join(f"docs.{m} IS NOT DISTINCT FROM rates.{m}" for m in margins)}
 """
 
 
@@ -239,7 +255,7 @@ FROM lowered LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
-def statements(temper: float, sweeps: int) -> dict[str, str]:
-    return {"op1_sharding": _OP1, "op2_secrets": _OP2, "op3_mixing": _mixing(temper, sweeps), "op6_top_k": _OP6,
+def statements(temper: float, sweeps: int, tolerance: float, spare: float) -> dict[str, str]:
+    return {"op1_sharding": _OP1, "op2_secrets": _OP2, "op3_mixing": _mixing(temper, sweeps, tolerance, spare), "op6_top_k": _OP6,
             "op8_token_counts": _OP8, "op10_near_dedup": _OP10, "op11_manifest": _manifest(),
             "op12_decontamination": _OP12}
