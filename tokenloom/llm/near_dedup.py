@@ -13,14 +13,20 @@ each of the smallest hashes of their union with probability 0.8, so:
   classes hold a shingle, rarest first; linked sets must meet in the first fifth or so of that
   order, and not too late in it. In each such list all members are compared with one hub, the
   member with the fewest rare shingles. Once the groups found so far are known, members outside
-  the list's main group are compared with those in other groups that they meet early enough;
-  members of one group need no comparison. So a family of copies costs a few comparisons per
-  member, and no link between groups is missed.
-* Candidates whose union sketch estimates a similarity six standard deviations below the
-  threshold are dropped; all others are confirmed on the full sets.
+  the list's main group are compared with those in other groups: the smaller set through its short
+  *index* prefix (the places where it can still link with a set no smaller), the larger through the
+  whole prefix, within blocks of similar size, if they meet early enough. Texts that share a passage
+  without being alike have it behind their index prefix and do not meet. Members of one group need no
+  comparison. So a family of copies costs a few comparisons per member, and no link between groups is
+  missed.
+* Candidates whose union sketch estimates a similarity ``DEVIATIONS`` standard deviations below
+  the threshold are dropped (at 0.8 those that share at most 19 of 48 values; the chance that a
+  link does is 1.1e-9); all others are confirmed on the full sets.
 
 Values are counted over all classes. Every step is a join or an aggregate with partial sums;
-hot join keys are left to the skew handling of adaptive execution.
+hot join keys are left to the skew handling of adaptive execution. Tables of classes grow with
+the data, so their joins are merges by hint: none is collected to the driver for a broadcast
+because it happens to be small.
 """
 
 from __future__ import annotations
@@ -41,6 +47,7 @@ from .words import shingle_set, small_batches
 SKETCH = 48
 COLD = 20
 LIST = 64
+DEVIATIONS = 6.8
 _PAD = np.uint64(2**64 - 1)
 
 
@@ -79,7 +86,7 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     values = classes.select("cls", "n", F.size("sketch").alias("k"), F.posexplode("sketch").alias("pos", "value"))
     members = values.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     entry = F.struct("pos", "value", (F.col("members") > LIST).alias("hot"))
-    return (values.join(members, "value").groupBy("cls")
+    return (values.join(members.hint("merge"), "value").groupBy("cls")
             .agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sort_array(F.collect_list(entry)).alias("entries")))
 
 
@@ -93,7 +100,7 @@ def cold_pairs(lists: DataFrame, percent: int) -> DataFrame:
     members = lists.select("cls", "n", F.explode(cold).alias("value"))
     left = members.select(F.col("cls").alias("a"), F.col("n").alias("na"), "value")
     right = members.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "value")
-    return (left.join(right, "value").where((F.col("a") < F.col("b")) & _may_link("na", "nb", percent))
+    return (left.join(right.hint("merge"), "value").where((F.col("a") < F.col("b")) & _may_link("na", "nb", percent))
             .select("a", "b").distinct())
 
 
@@ -123,7 +130,7 @@ def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
 
     values = sets.mapInArrow(run, "cls binary, n bigint, value bigint")
     held = values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
-    ordered = values.join(held, "value").groupBy("cls", "n").agg(
+    ordered = values.join(held.hint("merge"), "value").groupBy("cls", "n").agg(
         F.sort_array(F.collect_list(F.struct("held", "value"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     first = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
@@ -142,24 +149,39 @@ def _meet_early(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
     hubs = lists.groupBy("list").agg(F.max(F.struct("common", "cls", "n", "place")).alias("hub")).select(
         "list", F.col("hub.cls").alias("h"), F.col("hub.n").alias("nh"), F.col("hub.place").alias("ph"))
-    return (lists.join(hubs, "list").where((F.col("cls") != F.col("h")) & _meet_early("n", "place", "nh", "ph", percent))
+    return (lists.join(hubs.hint("merge"), "list").where((F.col("cls") != F.col("h")) & _meet_early("n", "place", "nh", "ph", percent))
             .select(F.least("cls", "h").alias("a"), F.greatest("cls", "h").alias("b")).distinct())
 
 
 def remaining_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a hot list that are in different groups; one of them is outside the list's main group."""
-    grouped = (lists.join(labels, lists["cls"] == labels["node"], "left")
+    """Pairs of a hot list that are in different groups; one of them is outside the list's main group.
+
+    Of two sets that link, the smaller one (n shingles) shares at least ``2t / (1 + t) * n`` of them,
+    so they first meet within its index prefix. Sizes differ by a factor of at most ``1 / t``, so they
+    are in one block of a logarithmic scale or in neighbouring ones.
+    """
+    grouped = (lists.join(labels.hint("merge"), lists["cls"] == labels["node"], "left")
                .select("cls", "n", "place", "list", F.coalesce("label", "cls").alias("label")))
     sizes = grouped.groupBy("list", "label").agg(F.count("*").alias("size"))
     main = (sizes.groupBy("list").agg(F.max(F.struct("size", "label")).alias("main"), F.count("*").alias("groups"))
             .where("groups > 1").select("list", F.col("main.label").alias("main")))
-    mixed = grouped.join(main, "list")
-    outside = mixed.where(F.col("label") != F.col("main")).select(
-        F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("label").alias("la"), "list")
-    others = mixed.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"),
-                          F.col("label").alias("lb"), "list")
-    return (outside.join(others, "list").where((F.col("la") != F.col("lb")) & _meet_early("na", "ia", "nb", "ib", percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # The base is a hair above the largest factor, so that rounding cannot part two sets by two blocks.
+    block = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9)))
+    mixed = written(grouped.join(main.hint("merge"), "list").select(
+        "list", "cls", "n", "place", "label", (F.col("label") == F.col("main")).alias("in_main"), block.alias("block")), "mixed")
+    index = mixed.where(F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)).select(
+        "list", "block", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"),
+        F.col("label").alias("la"), F.col("in_main").alias("ma"))
+    probe = mixed.select("list", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), F.col("cls").alias("b"),
+                         F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("label").alias("lb"), F.col("in_main").alias("mb"))
+
+    def met(i: DataFrame, p: DataFrame) -> DataFrame:
+        # A shuffle in any case: no side is collected, and a hot list is split by adaptive execution.
+        return (i.join(p.hint("merge"), ["list", "block"])
+                .where((F.col("na") <= F.col("nb")) & (F.col("la") != F.col("lb")) & _meet_early("na", "ia", "nb", "ib", percent))
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+    return met(index.where("NOT ma"), probe).unionAll(met(index.where("ma"), probe.where("NOT mb"))).distinct()
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,7 +198,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidates with the estimate of their union sketch, without those far below the threshold."""
     share = percent / 100
-    least = share - 6 * math.sqrt(share * (1 - share) / SKETCH)
+    least = share - DEVIATIONS * math.sqrt(share * (1 - share) / SKETCH)
 
     def padded(column: pa.ListArray) -> np.ndarray:
         sizes = np.diff(column.offsets.to_numpy())
@@ -192,16 +214,16 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     left = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(run, "a binary, b binary, estimate double")
 
 
 def full_sets(docs: DataFrame, key: str, text: str, size: int, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """The whole shingle set of each of the given classes, made again from one text of the class."""
-    wanted = classes.join(nodes, "cls", "left_semi").select("id", "h")
+    wanted = classes.join(nodes.hint("merge"), "cls", "left_semi").select("id", "h")
     read = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"),
                        F.col(f"`{text}`").cast("binary").alias("text")).alias("d")
-    found = read.join(wanted.alias("w"), F.expr("d.id <=> w.id AND d.h = w.h"), "left_semi").select("text")
+    found = read.join(wanted.hint("merge").alias("w"), F.expr("d.id <=> w.id AND d.h = w.h"), "left_semi").select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +249,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(run, "a binary, b binary")
 
 
@@ -241,11 +263,11 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = written(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
-        around = (edges.join(labels.select(F.col("node").alias("other"), "label"), "other")
+        around = (edges.join(labels.select(F.col("node").alias("other"), "label").hint("merge"), "other")
                   .groupBy("node").agg(F.min("label").alias("near")))
-        nearer = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("near"))
+        nearer = labels.join(around.hint("merge"), "node").select("node", "label", F.least("label", "near").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("next"))
-        labels = written(nearer.join(jump, "near").select(
+        labels = written(nearer.join(jump.hint("merge"), "near").select(
             "node", F.least("near", "next").alias("label"), (F.least("near", "next") != F.col("label")).alias("moved")),
             "labels")
         if labels.where("moved").isEmpty():
@@ -263,8 +285,8 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, percent: int) -> D
     cold = written(estimated(cold_pairs(lists, percent), classes, percent), "pairs")
     nodes = cold.select(F.col("a").alias("cls")).unionAll(cold.select("b")).unionAll(hot).distinct()
     sets = written(full_sets(docs, key, text, words, classes, nodes), "sets")
-    prefixes = written(prefix_lists(sets.join(hot, "cls", "left_semi"), percent), "prefixes")
-    hubs = hub_pairs(prefixes, percent).join(cold, ["a", "b"], "left_anti")
+    prefixes = written(prefix_lists(sets.join(hot.hint("merge"), "cls", "left_semi"), percent), "prefixes")
+    hubs = hub_pairs(prefixes, percent).join(cold.hint("merge"), ["a", "b"], "left_anti")
     pairs = cold.unionAll(written(estimated(hubs, classes, percent), "pairs"))
     # The best candidate of every class first: they join most of a group, and pairs inside a group need no proof.
     sides = pairs.select("a", "b", "estimate", F.col("a").alias("node")).unionAll(
@@ -274,22 +296,22 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, percent: int) -> D
     labels = components(links)
     left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    apart = (pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
+    apart = (pairs.join(best.hint("merge"), ["a", "b"], "left_anti").join(left.hint("merge"), "a", "left").join(right.hint("merge"), "b", "left")
              .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
     more = written(confirmed(apart, sets, percent), "links")
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = components(links)
-    tested = remaining_pairs(prefixes, labels, percent).join(pairs, ["a", "b"], "left_anti")
+    tested = remaining_pairs(prefixes, labels, percent).join(pairs.hint("merge"), ["a", "b"], "left_anti")
     last = written(confirmed(estimated(tested, classes, percent), sets, percent), "links")
     if not last.isEmpty():
         labels = components(links.unionAll(last))
     named = classes.select("cls", F.struct("no_id", "id", "h").alias("first"))
-    linked = named.join(labels, named["cls"] == labels["node"]).select("cls", "first", "label")
+    linked = named.join(labels.hint("merge"), named["cls"] == labels["node"]).select("cls", "first", "label")
     least = linked.groupBy("label").agg(F.min("first").alias("least"))
-    of_class = linked.join(least, "label").select("cls", "least")
-    assigned = named.join(of_class, "cls", "left").select("cls", F.coalesce("least", "first").alias("least"))
-    return rows.select("id", "h", "n", "cls").join(assigned, "cls", "left")
+    of_class = linked.join(least.hint("merge"), "label").select("cls", "least")
+    assigned = named.join(of_class.hint("merge"), "cls", "left").select("cls", F.coalesce("least", "first").alias("least"))
+    return rows.select("id", "h", "n", "cls").join(assigned.hint("merge"), "cls", "left")
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -318,7 +340,7 @@ def deduplicated(docs: DataFrame, key: str, text: str, *, words: int = 5, percen
     kept = found.where(F.col("cls").isNull() | first).groupBy("id", "h").agg(F.count("*").alias("rows"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(F.struct(*names).alias("_row"), F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h"))
-    joined = packed.join(kept, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")))
+    joined = packed.join(kept.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")))
     single = joined.where("rows = 1").select("_row")
     if kept.where("rows > 1").isEmpty():
         return single.select("_row.*")

@@ -146,7 +146,9 @@ def fit(rows: DataFrame, settings: Settings) -> Model:
         at = changed["feature"].to_numpy()
         z[at] += changed["z"].to_numpy() / s.shards
         n[at] += changed["n"].to_numpy() / s.shards
-        state.unpersist()
+        # Frees the driver's copy too; the next round sends a new one.
+        state.destroy()
+        del changed, at
     weights = _weights(z, n, s)
     kept = np.flatnonzero(weights[:-1]).astype(np.int32)
     intercept = -z[-1] / ((s.beta + math.sqrt(n[-1])) / s.alpha + s.l2)
