@@ -260,7 +260,8 @@ def _sent(df: DataFrame, a_path: str, pattern: str, b_path: str):
 
 
 def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
-    small_batches(docs.sparkSession, size=4 << 20)
+    # Tokens and links of a batch take some hundred times its text.
+    small_batches(docs.sparkSession, size=1 << 20)
     return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
 
 
