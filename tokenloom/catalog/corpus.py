@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom import workflows
 from tokenloom.catalog.inputs import TOY_RANKS, documents, log_points, raw_records, runs, texts
 from tokenloom.functions import codecs, text
 from tokenloom.functions.sql import register_sql
 from tokenloom.operators import budgets, layout, stats
-from tokenloom.plans.ordered import BUCKET
 from tokenloom.session import scratch_path, written
 from tokenloom.sources import datasets, records
 
 CHUNK = 512
 BLOCK = 512
-PARTS = 8
 #: Text of a file; one that ends with a longer document holds that whole.
-FILE_BYTES = 4 << 20
+FILE_BYTES = 1 << 20
 N_BYTES = F.octet_length
 
 
@@ -30,6 +29,10 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return layout.byte_chunks(documents(spark, sf), CHUNK, ["doc_id"])
 
 
+def _octets(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.octet_chunks(documents(spark, sf), CHUNK, ["doc_id"])
+
+
 def _total(spark: SparkSession, sf: str) -> int:
     return documents(spark, sf).agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0]
 
@@ -50,23 +53,51 @@ def read_split(spark, sf):
     return both.select("doc_id", "config", "split", F.md5("text").alias("text_md5"))
 
 
+def _text_files(spark: SparkSession, sf: str, group: list[str], path: str) -> None:
+    """Documents in order as text files of ``FILE_BYTES`` below folders named by group and number.
+
+    Files within an order bucket are written where the offsets were made; only those that
+    straddle a bucket border are shuffled once more.
+    """
+    docs = documents(spark, sf).select("doc_id", *group, "text")
+    sized = docs.withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1)
+    placed = (layout.global_offsets(sized, ["doc_id"], "n", group=group, keep_bucket=True)
+              .withColumn("file", F.expr(f"start div {FILE_BYTES}")))
+    inner = (F.col("file") * FILE_BYTES >= F.col("start_lo")) & ((F.col("file") + 1) * FILE_BYTES <= F.col("start_hi"))
+    columns = [*group, "file", "doc_id", "text"]
+    inside = placed.where(inner).select(columns)
+    border = placed.where(~inner).select(columns).repartition(*group, "file")
+    (inside.unionByName(border).sortWithinPartitions(*group, "file", "doc_id").withColumn("file", F.format_string("%09d", "file"))
+     .select(*group, "file", "text").write.partitionBy(*group, "file").text(path))
+
+
 def read_text_files(spark, sf):
-    """Documents as files of some MB, each read back as one row; digests of the files of a part in a row."""
+    """Documents as files of one MB, each read back as one row."""
     path = scratch_path(spark, "files")
-    docs = documents(spark, sf).select("doc_id", "text")
-    last = docs.agg(F.max("doc_id")).first()[0]
-    if last is None:
-        return spark.createDataFrame([], "part bigint, chars bigint, text_md5 string")
-    starts = layout.global_offsets(docs.withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)) + 1),
-                                   ["doc_id"], "n", keep_bucket=True)
-    # A bucket is one task's, so files that end with it need no shuffle of the text beyond that of the offsets.
-    placed = starts.select("doc_id", "text", F.expr(f"doc_id * {PARTS} div {last + 1}").alias("part"),
-                           F.expr(f"start div {FILE_BYTES}").alias("file"), F.col(BUCKET).alias("piece"))
-    keys = ["part", "file", "piece"]
-    placed.sortWithinPartitions(*keys, "doc_id").select(*keys, "text").write.partitionBy(*keys).text(path)
-    read = records.read_text_files(spark, f"{path}/*/*/*/*.txt")
-    number = [F.regexp_extract("source_file", rf"{c}=(\d+)", 1).cast("bigint").alias(c) for c in keys]
-    return text.joined_digests(read.select(*number, "text"), "part", ["file", "piece"], PARTS)
+    _text_files(spark, sf, [], path)
+    read = records.read_text_files(spark, f"{path}/*/*.txt")
+    return read.select(F.regexp_extract("source_file", r"file=(\d+)", 1).cast("bigint").alias("file"),
+                       F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+def prepare_text_files(spark, sf):
+    """Text files of every language through the preparation, in order of their paths; chunks of the result."""
+    files, path = scratch_path(spark, "files"), scratch_path(spark, "prepared")
+    _text_files(spark, sf, ["lang"], files)
+    workflows.prepare_files(spark, f"{files}/*/*/*.txt", path, vocab_size=256, chunk_size=CHUNK)
+    chunks, _ = datasets.read_token_dataset(spark, path)
+    return chunks.select("chunk_id", "n", md5_ids("ids").alias("ids_md5"))
+
+
+def prepared_file_metadata(spark, sf):
+    """The metadata of the same preparation: a row per file."""
+    files, path = scratch_path(spark, "files"), scratch_path(spark, "prepared")
+    _text_files(spark, sf, ["lang"], files)
+    workflows.prepare_files(spark, f"{files}/*/*/*.txt", path, vocab_size=256, chunk_size=CHUNK)
+    found = spark.read.json(f"{path}/files")
+    return found.select(F.regexp_extract("source_file", r"lang=([^/]*)/", 1).alias("lang"),
+                        F.regexp_extract("source_file", r"file=(\d+)", 1).cast("bigint").alias("file"),
+                        "total_tokens", "total_chars", "vocab_size", "tokenizer")
 
 
 def token_dataset(spark, sf):
@@ -102,7 +133,7 @@ def dataset_size(spark, sf):
 
 def samples_json(spark, sf):
     path = scratch_path(spark, "samples")
-    found = layout.sample_records(_starts(spark, sf), _chunks(spark, sf), CHUNK, BLOCK)
+    found = layout.sample_records(_starts(spark, sf), _octets(spark, sf), CHUNK, BLOCK, column="octets")
     datasets.write_samples_json(found, path)
     back = spark.read.schema("token_ids array<int>, start_index bigint, text string").json(path)
     return back.select("start_index", F.array_join("token_ids", ",").alias("token_ids"),
@@ -184,6 +215,24 @@ def decode_bpe(spark, sf):
     return ids.select("doc_id", F.md5(codecs.decode_bpe(spark, "ids", TOY_RANKS)).alias("text_md5"))
 
 
+def _public_ranks(spark: SparkSession) -> dict[bytes, int]:
+    """The public byte-level vocabulary, read by Spark; only these queries need its package."""
+    import public_tokenizers
+
+    return codecs.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def encode_public_bpe(spark, sf):
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", _public_ranks(spark)).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))
+
+
+def decode_public_bpe(spark, sf):
+    ranks = _public_ranks(spark)
+    ids = texts(spark, sf).select("doc_id", codecs.encode_bpe(spark, "text", ranks).alias("ids"))
+    return ids.select("doc_id", F.md5(codecs.decode_bpe(spark, "ids", ranks)).alias("text_md5"))
+
+
 def encode_codepoints(spark, sf):
     ids = texts(spark, sf).select("doc_id", codecs.encode_codepoints("text").alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))
@@ -226,6 +275,17 @@ def token_stats(spark, sf):
     return stats.token_stats(stats.token_counts(documents(spark, sf), "text"))
 
 
+def approximate_distinct(spark, sf):
+    """Distinct pairs of neighbouring characters: sketches per source, joined per language and checked by the exact count."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))
+    docs = documents(spark, sf).where(F.length("text") > 1).select("lang", "source", pairs.alias("pairs"))
+    sketches = written(stats.distinct_sketches(docs, F.col("pairs"), ["lang", "source"]), "sketches")
+    found = stats.approximate_distinct(sketches, ["lang"])
+    exact = docs.select("lang", F.explode(F.array_distinct("pairs")).alias("p")).groupBy("lang").agg(F.countDistinct("p").alias("exact"))
+    near = F.abs(F.col("distinct_ids") - F.col("exact")) <= F.col("exact") * stats.SKETCH_ERROR
+    return found.join(exact, "lang").select("lang", "exact", near.alias("within_error"))
+
+
 def token_frequency(spark, sf):
     """Read, resolve, drop empty, encode, count: the whole preparation and inspection path."""
     docs = text.drop_empty_text(text.resolve_text(documents(spark, sf), text.PREPARER_FIELDS))
@@ -267,7 +327,7 @@ def sample_starts(spark, sf):
 
 
 def _windows(spark, sf):
-    return layout.gather_windows(_starts(spark, sf), _chunks(spark, sf), CHUNK, BLOCK)
+    return layout.gather_windows(_starts(spark, sf), _octets(spark, sf), CHUNK, BLOCK, "octets")
 
 
 def gather_windows(spark, sf):
@@ -281,12 +341,12 @@ def make_batches(spark, sf):
 
 
 def inspect_samples(spark, sf):
-    s = layout.inspect_samples(_starts(spark, sf), _chunks(spark, sf), CHUNK, BLOCK)
+    s = layout.inspect_samples(_starts(spark, sf), _octets(spark, sf), CHUNK, BLOCK, column="octets")
     return s.select("sample_id", "range_start", "range_end", "truncated", F.md5("text").alias("text_md5"))
 
 
 def sample_records(spark, sf):
-    s = layout.sample_records(_starts(spark, sf), _chunks(spark, sf), CHUNK, BLOCK)
+    s = layout.sample_records(_starts(spark, sf), _octets(spark, sf), CHUNK, BLOCK, column="octets")
     return s.select("sample_id", "start_index", F.array_join("token_ids", ",").alias("token_ids"))
 
 
@@ -304,6 +364,8 @@ def sql_functions(spark, sf):
 QUERIES = {
     "s1_read_split": read_split,
     "s2_read_text_files": read_text_files,
+    "s2_prepare_text_files": prepare_text_files,
+    "s6_file_metadata": prepared_file_metadata,
     "s4_s5_token_dataset": token_dataset,
     "s5_token_dataset_metadata": token_dataset_metadata,
     "s6_dataset_metadata": dataset_metadata,
@@ -322,6 +384,8 @@ QUERIES = {
     "k1_encode_bytes_builtin": encode_bytes_builtin,
     "k2_encode_bpe": encode_bpe,
     "k2_bpe_token_frequency": bpe_token_frequency,
+    "k2_encode_public_bpe": encode_public_bpe,
+    "k5_decode_public_bpe": decode_public_bpe,
     "k3_encode_codepoints": encode_codepoints,
     "k4_decode_bytes": decode_bytes,
     "k5_decode_bpe": decode_bpe,
@@ -331,6 +395,7 @@ QUERIES = {
     "a1_corpus_totals": corpus_totals,
     "a1_corpus_totals_rollup": corpus_totals_rollup,
     "a2_token_stats": token_stats,
+    "a2_approximate_distinct": approximate_distinct,
     "a3_token_frequency": token_frequency,
     "a4_progress_points": progress_points,
     "a5_throughput": throughput,

@@ -93,6 +93,13 @@ points AS (
 
 _TOTALS = """count(*) AS samples, sum(octet_length(encode(text)))::BIGINT AS tokens, sum(length(text))::BIGINT AS chars,
 round(sum(octet_length(encode(text))) / count(*), 6) AS avg_tokens"""
+def _files(group: str) -> str:
+    """Documents as lines of text files, numbered by the text before them in their group."""
+    return f"""files AS (SELECT lang, doc_id, regexp_replace(coalesce(text, '') || chr(10), '\\r\\n?', chr(10), 'g') AS t,
+        coalesce(sum(strlen(coalesce(text, '')) + 1) OVER ({group} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+          // 1048576 AS file FROM documents)"""
+
+
 _FREQUENCY = "counts AS (SELECT id AS token_id, count(*) AS n FROM (SELECT unnest({ids}) AS id FROM {source}) GROUP BY 1)"
 _BYTE_COUNTS = _FREQUENCY.format(ids=BYTES, source="documents")
 _ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), chr(10), '\n'), chr(9), '\t'), chr(13), '\r')"
@@ -103,10 +110,16 @@ _LABEL = (r"CASE WHEN token_id IN (9, 10, 13) OR token_id BETWEEN 32 AND 126 THE
 SQL = {
     "s1_read_split": """SELECT doc_id, lang AS config, CASE WHEN n_chars > 1000 THEN 'train' ELSE 'validation' END AS split,
         md5(text) AS text_md5 FROM documents""",
-    "s2_read_text_files": """SELECT part, length(t) AS chars, md5(t) AS text_md5
-        FROM (SELECT doc_id * 8 // (SELECT max(doc_id) + 1 FROM documents) AS part,
-                     string_agg(regexp_replace(text || chr(10), '\\r\\n?', chr(10), 'g'), '' ORDER BY doc_id) AS t
-              FROM documents GROUP BY 1)""",
+    "s2_read_text_files": f"""WITH {_files('')} SELECT file, length(t) AS chars, md5(t) AS text_md5
+        FROM (SELECT file, string_agg(t, '' ORDER BY doc_id) AS t FROM files GROUP BY 1)""",
+    "s2_prepare_text_files": f"""WITH {_files('PARTITION BY lang')},
+        placed AS (SELECT hex(encode(t)) AS h, coalesce(sum(strlen(t)) OVER (ORDER BY lang, doc_id ROWS BETWEEN UNBOUNDED PRECEDING
+          AND 1 PRECEDING), 0)::BIGINT AS start FROM files),
+        stream AS (SELECT start + unnest(range(length(h) // 2)) AS pos, unnest(regexp_extract_all(h, '..')) AS b FROM placed)
+        SELECT pos // 512 AS chunk_id, count(*) AS n, md5(string_agg(('0x' || b)::INT::VARCHAR, ',' ORDER BY pos)) AS ids_md5
+        FROM stream GROUP BY 1""",
+    "s6_file_metadata": f"""WITH {_files('PARTITION BY lang')} SELECT lang, file, sum(strlen(t))::BIGINT AS total_tokens,
+        sum(length(t))::BIGINT AS total_chars, 256 AS vocab_size, 'byte_level' AS tokenizer FROM files GROUP BY ALL""",
     "s7_dataset_size": """SELECT b AS bytes, round(b / 1048576, 6) AS mb
         FROM (SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS b FROM documents)""",
     "s4_s5_token_dataset": f"""WITH {STREAM} SELECT pos // 512 AS chunk_id, count(*) AS n,
@@ -143,6 +156,7 @@ SQL = {
         top AS (SELECT token_id, n, n / sum(n) OVER () * 100 AS pct FROM counts ORDER BY n DESC, token_id LIMIT 20)
         SELECT token_id, n, round(pct, 6) AS pct, left(CASE WHEN token_id < 128 THEN {_LABEL}
           WHEN token_id > 255 THEN {TOY_MERGES}[token_id - 255] ELSE chr(65533) END, 20) AS label FROM top""",
+    "k5_decode_public_bpe": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "k3_encode_codepoints": f"SELECT doc_id, length(text) AS n, {_md5(CODEPOINTS)} AS ids_md5 FROM documents",
     "k4_decode_bytes": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "k5_decode_bpe": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
@@ -157,6 +171,8 @@ SQL = {
     "a1_corpus_totals_rollup": f"SELECT lang, source, {_TOTALS} FROM documents GROUP BY ROLLUP (lang, source)",
     "a2_token_stats": f"""WITH {_BYTE_COUNTS} SELECT sum(n)::BIGINT AS total_tokens, min(token_id) AS min_id,
         max(token_id) AS max_id, count(*) AS distinct_ids FROM counts""",
+    "a2_approximate_distinct": """SELECT lang, count(DISTINCT p) AS exact, TRUE AS within_error FROM (
+        SELECT lang, unnest([text[i:i + 1] for i in range(1, length(text))]) AS p FROM documents WHERE length(text) > 1) GROUP BY lang""",
     "a3_token_frequency": f"""WITH {_BYTE_COUNTS} SELECT token_id, n, round(n / sum(n) OVER () * 100, 6) AS pct,
         '<token_' || token_id || '>' AS label FROM counts ORDER BY n DESC, token_id LIMIT 20""",
     "a4_progress_points": f"""WITH {_resolved(6)}, s AS (SELECT row_number() OVER (ORDER BY doc_id) AS rows_seen, text,

@@ -166,14 +166,33 @@ def append_samples(spark, sf):
                                            F.md5("generated").alias("generated_md5"), "display")
 
 
+#: Lines of one landed log file.
+FILE_LINES = 20_000
+
+
+def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Trainer lines numbered from 0: a point every 100 iterations has two of them."""
+    return train_lines(log_points(spark, sf)).withColumn("line_no", F.expr("2 * (line_no div 200 - 1) + line_no % 200"))
+
+
+def _log_files(lines: DataFrame, path: str, mode: str = "error") -> None:
+    """Lines as text files in order, of ``FILE_LINES`` lines each; the folders name run and part."""
+    parted = lines.withColumn("part", F.expr(f"line_no div {FILE_LINES}"))
+    (parted.repartition("run", "part").sortWithinPartitions("run", "part", "line_no")
+     .select("run", "part", "line").write.mode(mode).partitionBy("run", "part").text(path))
+
+
+def _named_by_folder(lines: DataFrame) -> DataFrame:
+    """Run and part from the path below the log folder."""
+    folder = r"^run=([^/]*)/part=(\d+)/"
+    return lines.withColumns({"part": F.regexp_extract("run", folder, 2).cast("bigint"), "run": F.regexp_extract("run", folder, 1)})
+
+
 def read_log(spark, sf):
-    """Lines written as text files are read back and numbered within each file."""
+    """Lines written as text files are read back, named by their folders and numbered within each file."""
     path = scratch_path(spark, "logs")
-    lines = train_lines(log_points(spark, sf))
-    (lines.repartitionByRange("run", "line_no").sortWithinPartitions("run", "line_no")
-     .select("line").write.text(path))
-    back = logs.read_log(spark, path)
-    return back.groupBy("line").agg(F.count("*").alias("times"))
+    _log_files(_numbered_lines(spark, sf), path)
+    return _named_by_folder(logs.read_log(spark, path)).select("run", "part", "line_no", "line")
 
 
 def read_telemetry(spark, sf):
@@ -331,12 +350,12 @@ def run_liveness(spark, sf):
 
 # Streams ---------------------------------------------------------------------------
 
-def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all files present, into Parquet in the shared folder."""
+def _drained(stream: DataFrame, mode: str = "append", path: str | None = None, state: str | None = None) -> DataFrame:
+    """Run a stream over all that is present, into Parquet in the shared folder; it resumes from a given state."""
     spark = stream.sparkSession
-    path = scratch_path(spark, "stream")
+    path = path or scratch_path(spark, "stream")
     query = (stream.writeStream.format("parquet").outputMode(mode)
-             .option("checkpointLocation", scratch_path(spark, "stream-state"))
+             .option("checkpointLocation", state or scratch_path(spark, "stream-state"))
              .trigger(availableNow=True).start(path))
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -349,10 +368,13 @@ def _landed(df: DataFrame, label: str) -> str:
 
 
 def stream_log_points(spark, sf):
-    path = scratch_path(spark, "live-logs")
-    train_lines(log_points(spark, sf)).select("line").write.text(path)
-    found = _drained(stream_logs.stream_log_points(spark, path))
-    return found.select("iteration", "total", "loss", "ppl", "lr", "tok_per_s")
+    """Logs that arrive in two instalments, followed by one stream that is stopped and started again."""
+    lines = written(_numbered_lines(spark, sf), "lines")
+    path, out, state = (scratch_path(spark, label) for label in ("live-logs", "points", "stream-state"))
+    for turn in (0, 1):
+        _log_files(lines.where(F.expr(f"line_no div {FILE_LINES} % 2 = {turn}")), path, "append")
+        found = _drained(stream_logs.stream_log_points(spark, path), path=out, state=state)
+    return _named_by_folder(found).select("run", "part", "position", "iteration", "total", "loss", "ppl", "lr", "tok_per_s")
 
 
 def _gpu_stream(spark, sf):
@@ -376,13 +398,17 @@ def _rounded_windows(w: DataFrame) -> DataFrame:
 
 
 def stream_early_stopping(spark, sf):
+    """Points dealt over files without any order, in three micro-batches; every point is waited for."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     points = log_points(spark, sf).select("run", "iteration", "loss")
-    stream = spark.readStream.schema(points.schema).parquet(_landed(points, "points"))
-    e = _drained(stream_stop.stream_early_stopping(stream))
+    files = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = points.repartition(files, F.xxhash64("iteration", F.lit(1)))
+    arriving = (spark.readStream.schema(points.schema).option("maxFilesPerTrigger", -(-files // 3))
+                .parquet(_landed(dealt, "points")))
+    e = _drained(stream_stop.stream_early_stopping(arriving, arrival=stream_stop.Arrival(log_interval=100, first=100)))
     return e.select("run", "iteration", F.round("recent_avg", 6).alias("recent_avg"), "improved",
-                    F.round("best_loss", 6).alias("best_loss"), "best_iteration", "counter", "stopped")
+                    F.round("best_loss", 6).alias("best_loss"), "best_iteration", "counter", "stopped", "late_points")
 
 
 def stream_token_totals(spark, sf):

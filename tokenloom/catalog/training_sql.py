@@ -168,7 +168,8 @@ SQL = {
         UNION ALL SELECT run, 'train/k', iteration, k::DOUBLE FROM points""",
     "s9_append_samples": f"""WITH {PAIRS} SELECT 'sft' AS run, conv_id * 100 + turn AS step, md5(instruction) AS prompt_md5,
         md5(left(output, 512)) AS generated_md5, left(output, 256) || CASE WHEN length(output) > 256 THEN '...' ELSE '' END AS display FROM pairs""",
-    "s10_read_log": f"WITH {POINTS}, {LINES} SELECT line, count(*) AS times FROM train_lines GROUP BY 1",
+    "s10_read_log": f"""WITH {POINTS}, {LINES}, placed AS (SELECT run, 2 * (line_no // 200 - 1) + line_no % 200 AS i, line FROM train_lines)
+        SELECT run, i // 20000 AS part, i % 20000 AS line_no, line FROM placed""",
     "s11_read_telemetry": f"WITH {GPU} SELECT event_id, gpu_util, mem_used, mem_total, temp, power FROM gpu",
     "l1_parse_train_lines": f"WITH {POINTS} SELECT run, {_TRAIN_PARSED}",
     "l2_parse_monitor_lines": f"""WITH {POINTS} SELECT run, iteration, total, loss,
@@ -252,10 +253,14 @@ SQL = {
     "g5_run_liveness": f"""WITH {GPU}, m AS (SELECT max(ts) AS now FROM gpu)
         SELECT run, CASE WHEN (epoch_us(any_value(now)) - epoch_us(max(ts))) / 1e6 <= 600 THEN 'TRAINING' ELSE 'STOPPED' END AS status
         FROM gpu, m GROUP BY run""",
-    "r1_stream_log_points": f"WITH {POINTS} SELECT {_TRAIN_PARSED}",
+    "r1_stream_log_points": f"""WITH {POINTS}, {LINES}, placed AS (SELECT run, line_no, part,
+          (sum(strlen(line) + 1) OVER (PARTITION BY run, part ORDER BY line_no) - strlen(line) - 1)::BIGINT AS position
+          FROM (SELECT *, (2 * (line_no // 200 - 1) + line_no % 200) // 20000 AS part FROM train_lines))
+        SELECT run, part, position, {_TRAIN_PARSED} JOIN (SELECT run, line_no // 2 AS line_no, part, position FROM placed
+          WHERE line_no % 2 = 0) USING (run, line_no)""",
     "r2_batch_telemetry": _gpu_windows(),
     "r2_stream_telemetry": _gpu_windows(
         "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM gpu)"),
-    "r3_stream_early_stopping": _STOP_ROWS,
+    "r3_stream_early_stopping": _STOP_ROWS.replace("counter, stopped FROM outcome", "counter, stopped, 0 AS late_points FROM outcome"),
     "r4_stream_token_totals": f"SELECT lang, {_TOTALS} FROM documents GROUP BY lang",
 }

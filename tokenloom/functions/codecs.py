@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Mapping
+import itertools
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +118,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
+    """The same file read by Spark, from any storage that it knows."""
+    rows = (spark.read.text(path).where(F.length(F.trim("value")) > 0)
+            .select(F.split(F.trim("value"), " ").alias("p"))
+            .select(F.unbase64(F.col("p")[0]).alias("token"), F.col("p")[1].cast("int").alias("rank")).limit(MAX_VOCABULARY + 1))
+    return _checked({bytes(r["token"]): r["rank"] for r in rows.collect()})
+
+
 def _checked(ranks: Mapping[bytes, int]) -> dict[bytes, int]:
     if not ranks:
         raise ValueError("a BPE vocabulary is required; there is no silent byte fallback")
@@ -131,44 +142,70 @@ def encode_bpe(spark: SparkSession, text: Column | str, ranks: Mapping[bytes, in
     repeat heavily, so a join on pieces would meet hot keys; encoding inside the batch
     needs no shuffle at all.
     """
-    shared = spark.sparkContext.broadcast(_checked(ranks))
+    checked = _checked(ranks)
+    shared = spark.sparkContext.broadcast(checked)
+    digest = hashlib.sha256(repr((pattern, sorted(checked.items()))).encode()).hexdigest()
 
     def encode(texts: pa.Array) -> pa.Array:
-        pieces = _pieces(shared.value, pattern)
-        parts = [_NO_IDS if t is None else pieces.ids(t) for t in texts.to_pylist()]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        if sizes.sum() > np.iinfo(np.int32).max:
+        sizes, ids = _pieces(digest, shared, pattern).batch(texts.to_pylist())
+        if len(ids) > np.iinfo(np.int32).max:
             raise ValueError("a batch has too many ids; lower spark.sql.execution.arrow.maxBytesPerBatch")
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         offsets = pa.array(bounds, mask=np.append(_null_mask(texts), False) if texts.null_count else None)
-        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([_NO_IDS, *parts]).astype(np.int32)))
+        return pa.ListArray.from_arrays(offsets, pa.array(ids))
 
     return F.arrow_udf(encode, "array<int>")(text)
 
 
-_NO_IDS = np.empty(0, np.int32)
-_KNOWN: dict[tuple[int, str], _Pieces] = {}
+#: Merged pieces of this Python process, for one vocabulary at a time.
+_KNOWN: dict[str, _Pieces] = {}
 
 
 class _Pieces:
-    """Splits texts by the pattern and merges each distinct piece once."""
+    """Splits texts by the pattern and merges each distinct piece once.
+
+    Merged pieces are numbered, and their ids lie one after the other in one array, from
+    which a batch takes the ids of all its pieces at once. The table is emptied before a
+    batch that finds it full.
+    """
 
     LIMIT = 500_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
-        self.merged: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        for piece in self.split.findall(text):
-            found = self.merged.get(piece)
-            if found is None:
-                if len(self.merged) >= self.LIMIT:
-                    self.merged.clear()
-                found = self.merged[piece] = self._merge(piece.encode())
-            out += found
-        return np.array(out, np.int32)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.start, self.length = np.empty(1 << 12, np.int32), np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64)
+        self.used = 0
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        for piece in pieces:
+            merged = self._merge(piece.encode())
+            at, end = len(self.number), self.used + len(merged)
+            while end > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            if at == len(self.start):
+                self.start, self.length = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.length))
+            self.ids[self.used:end] = merged
+            self.start[at], self.length[at] = self.used, len(merged)
+            self.used, self.number[piece] = end, at
+
+    def batch(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of every text, and all ids."""
+        if len(self.number) >= self.LIMIT:
+            self._empty()
+        found = [[] if t is None else self.split.findall(t) for t in texts]
+        pieces = list(itertools.chain.from_iterable(found))
+        self._learn(dict.fromkeys(p for p in pieces if p not in self.number))
+        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        lengths = self.length[numbers]
+        upto = np.cumsum(lengths)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.ids[np.repeat(self.start[numbers] - upto + lengths, lengths) + np.arange(total)]
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.diff(np.concatenate([[0], upto])[stops], prepend=0), ids
 
     def _merge(self, piece: bytes) -> list[int]:
         """Join the neighbours whose token has the lowest rank, leftmost first, while there are any."""
@@ -202,12 +239,12 @@ class _Pieces:
         return [self.ranks[piece[i:end[i]]] for i in range(n) if alive[i]]
 
 
-def _pieces(ranks: dict[bytes, int], pattern: str) -> _Pieces:
-    """One table of merged pieces per worker and broadcast vocabulary."""
-    key = (id(ranks), pattern)
-    if key not in _KNOWN:
-        _KNOWN[key] = _Pieces(ranks, pattern)
-    return _KNOWN[key]
+def _pieces(digest: str, shared: Broadcast, pattern: str) -> _Pieces:
+    """The table of merged pieces of this worker; another vocabulary takes its place."""
+    if digest not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[digest] = _Pieces(shared.value, pattern)
+    return _KNOWN[digest]
 
 
 def decode_bpe(spark: SparkSession, ids: Column | str, ranks: Mapping[bytes, int]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import budget_unit
-from tokenloom.plans.ordered import row_index, running_sums
+from tokenloom.plans.ordered import key_tuple, row_index, running_sums
 
 # Up to this many rows a top-k merge in one task is cheaper than numbering the table.
 TOP_K_ROWS = 10_000
@@ -31,15 +31,27 @@ def take_budget(df: DataFrame, key: Sequence[str], max_size: int | None,
 
 def take_samples(df: DataFrame, key: Sequence[str], max_samples: int | None = None,
                  column: str = "text") -> DataFrame:
-    """The first ``max_samples`` non-empty rows in key order; ``None`` or 0 keeps all."""
+    """The first ``max_samples`` non-empty rows in key order; ``None`` or 0 keeps all.
+
+    Keys alone decide: the last one that is taken is found first, and becomes a filter. Of rows
+    that share it any are taken.
+    """
     kept = df.where(F.length(column) > 0)
     if not max_samples:
         return kept
+    keys = kept.select(*key)
     if max_samples <= TOP_K_ROWS:
-        return kept.orderBy(*key).limit(max_samples)
-    numbered = running_sums(kept, key, {"_i": F.lit(1).cast("bigint")}, keys=df,
-                            below=("_i", max_samples))
-    return numbered.where(F.col("_i") < max_samples).drop("_i")
+        top = keys.orderBy(*key).limit(max_samples)
+    else:
+        numbered = running_sums(keys, key, {"_i": F.lit(1).cast("bigint")}, keys=df.select(*key), below=("_i", max_samples))
+        top = numbered.where(F.col("_i") < max_samples)
+    at = key_tuple(df, key)
+    last = top.groupBy(at.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).limit(1)
+    found = last.select(F.to_json("k"), "n").first()
+    if found is None:
+        return kept
+    border = F.from_json(F.lit(found[0]), last.schema["k"].dataType)
+    return kept.where(at < border).unionAll(kept.where(at == border).limit(found[1]))
 
 
 def progress_points(df: DataFrame, key: Sequence[str], n_tokens: Column,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from tokenloom.plans.ordered import BUCKET, running_sums
 LCG_MULTIPLIER, LCG_INCREMENT = 1103515245, 12345
 SAMPLE_CHARS = 500
 RECORD_IDS = 100
+#: Up to so many chunks the scan is told which ones are wanted, in so many ranges.
+FEW_CHUNKS, RANGES = 2_000, 32
 
 
 def global_offsets(df: DataFrame, key: Sequence[str], n_col: str, out: str = "start",
@@ -23,12 +27,16 @@ def global_offsets(df: DataFrame, key: Sequence[str], n_col: str, out: str = "st
     return running_sums(df, key, {out: F.col(n_col).cast("bigint")}, **options)
 
 
+def octet_chunks(docs: DataFrame, chunk_size: int, key: Sequence[str], text: str = "text") -> DataFrame:
+    """Chunks ``(chunk_id, octets)`` of the UTF-8 bytes of all texts in order."""
+    octets = docs.select(*key, F.col(text).cast("binary").alias("octets"))
+    return chunk_layout(octets, chunk_size, key, "octets")
+
+
 def byte_chunks(docs: DataFrame, chunk_size: int, key: Sequence[str], text: str = "text",
                 vocab_size: int = 256) -> DataFrame:
     """Chunks of byte-level ids. UTF-8 bytes are cut and shuffled; ids exist only at the end."""
-    octets = docs.select(*key, F.col(text).cast("binary").alias("octets"))
-    return (chunk_layout(octets, chunk_size, key, "octets")
-            .select("chunk_id", encode_bytes("octets", vocab_size).alias("ids")))
+    return octet_chunks(docs, chunk_size, key, text).select("chunk_id", encode_bytes("octets", vocab_size).alias("ids"))
 
 
 def chunk_layout(docs: DataFrame, chunk_size: int, key: Sequence[str], column: str = "ids") -> DataFrame:
@@ -94,7 +102,9 @@ def _joined_octets() -> Column:
 
 
 def stream_length(chunks: DataFrame) -> int:
-    return chunks.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
+    """Tokens of all chunks. Stored chunks have a column ``n``, so that no ids are read for it."""
+    n = F.col("n") if "n" in chunks.columns else F.size("ids")
+    return chunks.agg(F.sum(n.cast("bigint")).alias("n")).first()["n"] or 0
 
 
 def repeatable_start(sample_id: Column, room: int) -> Column:
@@ -120,34 +130,56 @@ def sample_starts(spark: SparkSession, n: int, total: int, block: int, seed: int
     return ids.withColumn("start", start.cast("bigint"))
 
 
-def gather_tokens(starts: DataFrame, chunks: DataFrame, chunk_size: int, length: int) -> DataFrame:
+def _only_touched(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For few windows the chunks between their chunk numbers, as a filter that reaches the scan.
+
+    Stored chunks are sorted by number, so row groups without a wanted one are not read. Close
+    numbers share a range; there are at most ``RANGES`` of them.
+    """
+    ids = sorted(r[0] for r in wanted.select("chunk_id").distinct().limit(FEW_CHUNKS + 1).collect())
+    if len(ids) > FEW_CHUNKS:
+        return chunks
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i] - ids[i - 1], reverse=True)[:RANGES - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    inside = [F.col("chunk_id").between(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:]) if a < b]
+    return chunks.where(reduce(or_, inside, F.lit(False)))
+
+
+def gather_tokens(starts: DataFrame, chunks: DataFrame, chunk_size: int, length: int, column: str = "ids",
+                  vocab_size: int = 256) -> DataFrame:
     """``length`` tokens from each start, by an equi-join on chunk id.
 
     A window no longer than a chunk plus one token touches at most two chunks. Only its
-    own part of a chunk is carried into the second shuffle. A chunk that is missing, or
-    shorter than the window needs, is an error.
+    own part of a chunk is carried into the second shuffle, by sample. A chunk that is
+    missing, or shorter than the window needs, is an error. A ``column`` of bytes is carried
+    as bytes, and turned into byte-level ids at the end.
     """
     if length > chunk_size + 1:
         raise ValueError("chunks must be at least as long as the window")
     first, last = F.expr(f"start div {chunk_size}"), F.expr(f"(start + {length - 1}) div {chunk_size}")
     wanted = starts.select("sample_id", "start", F.explode(F.sequence(first, last)).alias("chunk_id"))
+    chunks = _only_touched(chunks.select("chunk_id", column), wanted)
+    binary = dict(chunks.dtypes)[column] == "binary"
+    take = F.substring if binary else F.slice
     begin = F.greatest(F.col("start") - F.col("chunk_id") * chunk_size, F.lit(0))
     end = F.least(F.col("start") + length - F.col("chunk_id") * chunk_size, F.lit(chunk_size))
     part = F.struct(F.col("chunk_id").alias("c"),
-                    F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
-    whole = (wanted.join(chunks, "chunk_id")
-             .select("sample_id", "start", part.alias("part"))
-             .groupBy("sample_id", "start").agg(*_assembled())
-             .select("sample_id", "start", _joined().alias("ids")))
-    found = starts.select("sample_id", "start").join(whole.drop("start"), "sample_id", "left")
+                    take(F.col(column), (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
+    pieces = wanted.join(chunks, "chunk_id").select("sample_id", "start", part.alias("part"))
+    # The starts themselves go along, so that a window without any piece is noticed.
+    every = pieces.unionByName(starts.select("sample_id", "start"), allowMissingColumns=True)
+    whole = (every.groupBy("sample_id", "start").agg(*_assembled())
+             .select("sample_id", "start", (_joined_octets() if binary else _joined()).alias("whole")))
     short = F.raise_error(F.format_string("sample %d lacks tokens of its window", "sample_id"))
-    return found.select("sample_id", "start", F.when(F.size(F.coalesce("ids", F.array().cast("array<int>"))) == length,
-                                                     F.col("ids")).otherwise(short.cast("array<int>")).alias("ids"))
+    size = F.octet_length("whole") if binary else F.size("whole")
+    checked = whole.select("sample_id", "start", F.when(size == length, F.col("whole")).otherwise(
+        short.cast("binary" if binary else "array<int>")).alias("ids"))
+    return checked.withColumn("ids", encode_bytes("ids", vocab_size)) if binary else checked
 
 
-def gather_windows(starts: DataFrame, chunks: DataFrame, chunk_size: int, block: int) -> DataFrame:
+def gather_windows(starts: DataFrame, chunks: DataFrame, chunk_size: int, block: int, column: str = "ids") -> DataFrame:
     """Inputs ``x`` and next-token targets ``y`` of ``block`` tokens for each start."""
-    both = gather_tokens(starts, chunks, chunk_size, block + 1)
+    both = gather_tokens(starts, chunks, chunk_size, block + 1, column)
     return both.select("sample_id", "start", F.slice("ids", 1, block).alias("x"),
                        F.slice("ids", 2, block).alias("y"))
 
@@ -163,9 +195,9 @@ def make_batches(windows: DataFrame, batch_size: int, grad_accum: int = 1) -> Da
 
 
 def inspect_samples(starts: DataFrame, chunks: DataFrame, chunk_size: int, length: int = 512,
-                    decode: Callable[[str], Column] = decode_bytes) -> DataFrame:
+                    decode: Callable[[str], Column] = decode_bytes, column: str = "ids") -> DataFrame:
     """Sampled windows as text: the first 500 characters and whether more followed."""
-    return (gather_tokens(starts, chunks, chunk_size, length)
+    return (gather_tokens(starts, chunks, chunk_size, length, column)
             .select("sample_id", F.col("start").alias("range_start"),
                     (F.col("start") + length).alias("range_end"), decode("ids").alias("_text"))
             .select("sample_id", "range_start", "range_end",
@@ -174,9 +206,9 @@ def inspect_samples(starts: DataFrame, chunks: DataFrame, chunk_size: int, lengt
 
 
 def sample_records(starts: DataFrame, chunks: DataFrame, chunk_size: int, length: int = 512,
-                   decode: Callable[[str], Column] = decode_bytes) -> DataFrame:
+                   decode: Callable[[str], Column] = decode_bytes, column: str = "ids") -> DataFrame:
     """Sample records: the first 100 ids, their text and the start index."""
-    shown = gather_tokens(starts, chunks, chunk_size, length).withColumn(
+    shown = gather_tokens(starts, chunks, chunk_size, length, column).withColumn(
         "token_ids", F.slice("ids", 1, RECORD_IDS))
     return shown.select("sample_id", "token_ids", F.col("start").alias("start_index"),
                         decode("token_ids").alias("text"))

@@ -13,6 +13,10 @@ from tokenloom.functions.codecs import token_label
 from tokenloom.plans.joins import lookup_join
 
 
+#: Bits of a sketch's register number, and the relative error that its estimate keeps.
+SKETCH_BITS, SKETCH_ERROR = 12, 0.05
+
+
 def corpus_totals(df: DataFrame, n_tokens: Column, n_chars: Column | None = None,
                   by: Sequence[str] = (), rollup: bool = False) -> DataFrame:
     """Samples, tokens, characters and mean tokens per sample."""
@@ -69,6 +73,21 @@ def token_stats(counts: DataFrame) -> DataFrame:
                       F.max("token_id").alias("max_id"), F.count("*").alias("distinct_ids"))
 
 
+def distinct_sketches(df: DataFrame, ids: Column, by: Sequence[str] = ()) -> DataFrame:
+    """A mergeable sketch of the distinct values of an array column, per group or file.
+
+    Sketches of 2**12 registers: their estimate is within 5 % (three standard errors), and exact up to
+    some hundred values. They are stored beside a corpus and joined with those of corpora that come later.
+    """
+    values = df.select(*by, F.explode(F.array_distinct(ids)).alias("_value"))
+    return values.groupBy(*by).agg(F.hll_sketch_agg("_value", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def approximate_distinct(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The number of distinct values that sketches have seen together."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_ids"))
+
+
 def token_frequency(counts: DataFrame, k: int = 20, text: Column | None = None) -> DataFrame:
     """The ``k`` most frequent ids with their share; equal counts go to the smaller id.
 

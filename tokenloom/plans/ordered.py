@@ -54,7 +54,8 @@ def _plain_key(df: DataFrame, key: str) -> Column:
     return F.col(key)
 
 
-def _key_tuple(df: DataFrame, order: Sequence[str]) -> Column:
+def key_tuple(df: DataFrame, order: Sequence[str]) -> Column:
+    """The keys as one value that compares as the order does."""
     return F.struct(*[_plain_key(df, k).alias(f"k{i}") for i, k in enumerate(order)])
 
 
@@ -65,7 +66,7 @@ def splitters(df: DataFrame, order: Sequence[str], buckets: int) -> tuple[Column
     several parts. Every row has the same chance to be sampled; the sample is bounded by the
     number of buckets, not by the table.
     """
-    keys = df.select(_key_tuple(df, order).alias("k"))
+    keys = df.select(key_tuple(df, order).alias("k"))
     rows = keys.count()
     wanted = SAMPLED * buckets
     sample = keys if rows <= wanted else keys.sample(fraction=wanted / rows, seed=7)
@@ -101,7 +102,7 @@ def with_buckets(df: DataFrame, order: str | Sequence[str], buckets: int | None
         df = df.withColumn(TIE, F.xxhash64(*df.columns))
         order = [*order, TIE]
         bounds, found, _ = splitters(df, order, n)
-    return df.withColumn(BUCKET, _place(_key_tuple(df, order), bounds, found) if found else F.lit(0))
+    return df.withColumn(BUCKET, _place(key_tuple(df, order), bounds, found) if found else F.lit(0))
 
 
 def running_sums(

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tokenloom.functions.codecs import tokenizer_label
 
 
+#: Row groups of stored chunks: what a reader of one window reads at least.
+ROW_GROUP_BYTES = 8 << 20
+
+
 def dataset_metadata(docs: DataFrame, n_tokens: Column, name: str, config: str | None = None,
                      split: str = "train", vocab_size: int = 50257, kind: str = "bpe") -> DataFrame:
     """One row describing a prepared split."""
@@ -29,16 +33,23 @@ def file_metadata(files: DataFrame, n_tokens: Column, vocab_size: int = 50257,
                         F.lit(vocab_size).alias("vocab_size"), tokenizer_label(kind).alias("tokenizer"))
 
 
+def write_file_metadata(metadata: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The five-field form of a corpus of text files: one JSON line per file, in order of the files."""
+    metadata.repartitionByRange("source_file").sortWithinPartitions("source_file").write.mode(mode).option(
+        "ignoreNullFields", False).json(f"{path}/files")
+
+
 def write_token_dataset(chunks: DataFrame, metadata: DataFrame | None, path: str,
                         mode: str = "errorifexists", chunk_size: int | None = None) -> None:
     """Chunk table as Parquet, metadata as readable JSON next to it.
 
     Chunks are stored in order of their number, so that readers of a few windows skip most
-    of them. ``chunk_size`` becomes part of the metadata.
+    of them, with their number of tokens ``n`` beside the ids, so that sizes are known without
+    reading these. ``chunk_size`` becomes part of the metadata.
     """
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
-     .write.mode(mode).parquet(f"{path}/tokens"))
+    (chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").withColumn("n", F.size("ids"))
+     .write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/tokens"))
     if metadata is not None:
         if chunk_size is not None:
             metadata = metadata.withColumn("chunk_size", F.lit(chunk_size))
@@ -69,9 +80,9 @@ def stored_chunk_size(chunks: DataFrame, metadata: DataFrame | None, given: int
         raise ValueError("the corpus does not record its chunk size; name it")
     if given is not None and given != size:
         raise ValueError(f"the corpus has chunks of {size} tokens, not {given}")
+    n = F.col("n") if "n" in chunks.columns else F.size("ids")
     found = chunks.agg(F.max("chunk_id").alias("last"), F.count("*").alias("n"),
-                       F.max(F.when(F.col("chunk_id") == 0, F.size("ids"))).alias("first"),
-                       F.max(F.size("ids")).alias("longest")).first()
+                       F.max(F.when(F.col("chunk_id") == 0, n)).alias("first"), F.max(n).alias("longest")).first()
     if found["n"] and (found["longest"] > size or (found["last"] > 0 and found["first"] != size)):
         raise ValueError(f"the chunks are not of {size} tokens")
     return size

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.plans.ordered import row_index
@@ -13,22 +17,40 @@ GPU_FIELDS = ("gpu_util", "mem_used", "mem_total", "temp", "power")
 GPU_SEPARATOR = ", "
 
 
+def _run_of(path: str) -> Column:
+    """The run of a line: the path of its file below ``path``, without the extension.
+
+    ``path`` may be a folder, a pattern or a file; a file's run is its name.
+    """
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "", path).rstrip("/")
+    if not root.startswith("/"):
+        root = os.path.abspath(root)
+    fixed = list(itertools.takewhile(lambda part: not re.search(r"[*?\[{]", part), root.split("/")))
+    folder = "/".join(fixed) + "/"
+    # The metadata writes a path as a URI.
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    whole = F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    below = F.when(F.startswith(whole, F.lit(folder)), F.substring(whole, len(folder) + 1, 2**31 - 1)).otherwise(
+        F.regexp_extract(whole, r"([^/]*)$", 1))
+    return F.regexp_replace(below, r"\.[^./]*$", "")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``(run, line_no, line)`` of one log file per run, in file order.
 
-    A large file is read in several blocks. Lines are ordered by block offset and then by
-    their position in the block, so numbering needs no task that sees a whole file. A
-    missing path gives an empty table.
+    Files in folders below are read too; a run is its path there without the extension, so logs
+    of one name in different folders are different runs. A large file is read in several blocks.
+    Lines are ordered by block offset and then by their position in the block, so numbering needs
+    no task that sees a whole file. A missing path gives an empty table.
     """
     try:
-        lines = spark.read.text(path)
+        lines = spark.read.option("recursiveFileLookup", "true").text(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], "run string, line_no bigint, line string")
         raise
     placed = lines.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("run"),
-        F.col("_metadata.file_path").alias("_file"),
+        _run_of(path).alias("run"), F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
     return (row_index(placed, ["_row"], "line_no", ["_file"], bucket=F.col("_block"))

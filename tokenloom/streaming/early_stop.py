@@ -1,7 +1,8 @@
-"""Early stopping as keyed state over a stream of log points."""
+"""Early stopping as keyed state over a stream of log points that may arrive in any order."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
@@ -11,54 +12,150 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokenloom.operators.early_stop import EVALUATION, StopRule
 
-STATE = ("losses array<double>, last_iteration bigint, best double, best_at bigint, "
-         "counter int, stopped boolean")
+STATE = ("losses array<double>, last_iteration bigint, furthest bigint, best double, best_at bigint, "
+         "counter int, stopped boolean, late bigint")
+STREAMED = EVALUATION + ", late_points bigint"
 
 
-def _stopper(rule: StopRule) -> StatefulProcessor:
-    """The state machine of one run: last losses, best mean, counter and stop flag.
+@dataclass(frozen=True)
+class Arrival:
+    """How long a run waits for points that are still missing.
+
+    Where points are logged every ``log_interval`` iterations from ``first`` on, a point is walked as
+    soon as all before it have been. Without a known interval it is walked at the end of its
+    micro-batch, or, with a ``horizon``, once a point so many iterations further has arrived. The
+    horizon also ends the wait for a regular point that is missing (None: never), and so does a time
+    of ``idle_ms`` without new points of the run (None: never; such timers need a query that keeps
+    running, as an ``availableNow`` one would wait for them without end). A point that arrives behind
+    one that was walked is late: it is counted, not walked.
+    """
+
+    log_interval: int | None = None
+    first: int = 0
+    horizon: int | None = None
+    idle_ms: int | None = None
+
+
+def _stopper(rule: StopRule, arrival: Arrival, report_late: bool) -> StatefulProcessor:
+    """The state machine of one run: last losses, best mean, counter, stop flag and waiting points.
 
     The class is local so that it travels by value: the process that prepares a stateful
     query on the driver does not see files shipped to the workers.
     """
     every, patience, limit, min_delta = rule.checkpoint_interval, rule.patience, rule.limit, rule.min_delta
+    interval, first, horizon, idle = arrival.log_interval, arrival.first, arrival.horizon, arrival.idle_ms
     state_schema = STATE
-    names = [c.split()[0] for c in EVALUATION.split(", ")]
+    names = [c.split()[0] for c in STREAMED.split(", ")]
 
     class Stopper(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.state = handle.getValueState("stop", state_schema)
+            #: Points that wait for earlier ones: iteration to loss. They are in the state store, not in memory.
+            self.waiting = handle.getMapState("waiting", "iteration bigint", "loss double")
 
-        def handleInputRows(self, key, rows, timerValues):
-            losses, seen, best, best_at, counter, stopped = (
-                self.state.get() if self.state.exists() else ([], -1, float("inf"), None, 0, False))
-            losses = list(losses)
-            out = []
-            arrived = pd.concat(list(rows)).sort_values("iteration")
-            for at, loss in zip(arrived["iteration"].tolist(), arrived["loss"].tolist()):
-                if stopped or at <= seen:
-                    continue
-                # Checkpoints between two logged points see the losses before the second one.
-                due = [] if seen < 0 else list(range((seen // every + 1) * every, at, every))
-                for checkpoint in [*due, at]:
-                    if checkpoint == at:
-                        losses, seen = [*losses, loss][-patience:], at
-                        if at % every:
-                            continue
-                    if len(losses) < patience:
+        def _load(self) -> None:
+            (self.losses, self.seen, self.furthest, self.best, self.best_at, self.counter, self.stopped, self.late) = (
+                self.state.get() if self.state.exists() else ([], -1, -1, float("inf"), None, 0, False, 0))
+            self.losses = list(self.losses)
+
+        def _save(self) -> None:
+            self.state.update((self.losses, self.seen, self.furthest, self.best, self.best_at, self.counter, self.stopped, self.late))
+
+        def _next(self) -> int:
+            return first if self.seen < 0 else self.seen + interval
+
+        def _due(self, at: int) -> bool:
+            """No regular point is missing before this one, or the wait for it is over."""
+            if interval is not None and at <= self._next():
+                return True
+            return self.furthest - at >= horizon if horizon is not None else interval is None
+
+        def _walk(self, run, at: int, loss, out: list) -> None:
+            # Checkpoints between two logged points see the losses before the second one.
+            due = [] if self.seen < 0 else list(range((self.seen // every + 1) * every, at, every))
+            for checkpoint in [*due, at]:
+                if checkpoint == at:
+                    self.losses, self.seen = [*self.losses, loss][-patience:], at
+                    if at % every:
                         continue
-                    # Plain left-to-right addition, as a window sum adds.
-                    mean = reduce(add, losses) / patience
-                    improved = mean < best - min_delta
-                    best, best_at, counter = (mean, checkpoint, 0) if improved else (best, best_at, counter + 1)
-                    stopped = counter >= limit
-                    out.append((key[0], checkpoint, mean, improved, best, best_at, counter, stopped))
-                    if stopped:
-                        break
-            self.state.update((losses, seen, best, best_at, counter, stopped))
+                if len(self.losses) < patience or any(x is None for x in self.losses):
+                    continue
+                # Plain left-to-right addition, as a window sum adds.
+                mean = reduce(add, self.losses) / patience
+                improved = mean < self.best - min_delta
+                self.best, self.best_at, self.counter = (
+                    (mean, checkpoint, 0) if improved else (self.best, self.best_at, self.counter + 1))
+                self.stopped = self.counter >= limit
+                out.append((run, checkpoint, mean, improved, self.best, self.best_at, self.counter, self.stopped, self.late))
+                if self.stopped:
+                    self.waiting.clear()
+                    return
+
+        def _release(self, run, keys: set, out: list, all_: bool = False) -> None:
+            """Walk waiting points in order as far as they are due."""
+            for at in sorted(keys):
+                if self.stopped or not (all_ or at <= self.seen or self._due(at)):
+                    return
+                loss = self.waiting.getValue((at,))[0]
+                self.waiting.removeKey((at,))
+                keys.discard(at)
+                if at <= self.seen:
+                    self._count_late(run, at, out)
+                else:
+                    self._walk(run, at, loss, out)
+
+        def _count_late(self, run, at: int, out: list) -> None:
+            self.late += 1
+            if report_late:
+                out.append((run, at, None, None, None, None, None, None, self.late))
+
+        def _frame(self, out: list) -> pd.DataFrame:
             frame = pd.DataFrame(out, columns=names)
-            frame["best_iteration"] = frame["best_iteration"].astype("Int64")
-            yield frame
+            return frame.astype({"best_iteration": "Int64", "counter": "Int32", "improved": "boolean", "stopped": "boolean"})
+
+        def handleInputRows(self, key, rows, timerValues):
+            self._load()
+            run, out = key[0], []
+            # Numbers only; the losses stay in the state store.
+            keys = {k[0] for k in self.waiting.keys()} if self.waiting.exists() else set()
+            for batch in rows:
+                ready = batch.dropna(subset=["iteration"]).sort_values("iteration", kind="stable")
+                for at, loss in zip(map(int, ready["iteration"].tolist()), ready["loss"].tolist()):
+                    if self.stopped:
+                        break
+                    self.furthest = max(self.furthest, at)
+                    if at <= self.seen or at in keys:
+                        self._count_late(run, at, out)
+                    elif interval is not None and at <= self._next():
+                        # The next regular point needs no place in the state.
+                        self._walk(run, at, loss, out)
+                    else:
+                        self.waiting.updateValue((at,), (loss,))
+                        keys.add(at)
+                if interval is not None:
+                    self._release(run, keys, out)
+                if out:
+                    yield self._frame(out)
+                    out = []
+            self._release(run, keys, out)
+            if out:
+                yield self._frame(out)
+            self._save()
+            if idle is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                if keys and not self.stopped:
+                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self._load()
+            out: list = []
+            if self.waiting.exists():
+                self._release(key[0], {k[0] for k in self.waiting.keys()}, out, all_=True)
+            self._save()
+            if out:
+                yield self._frame(out)
 
         def close(self) -> None:
             pass
@@ -66,14 +163,17 @@ def _stopper(rule: StopRule) -> StatefulProcessor:
     return Stopper()
 
 
-def stream_early_stopping(points: DataFrame, rule: StopRule = StopRule()) -> DataFrame:
-    """Evaluations of every run as its points arrive.
+def stream_early_stopping(points: DataFrame, rule: StopRule = StopRule(), arrival: Arrival = Arrival(),
+                          report_late: bool = False) -> DataFrame:
+    """Evaluations of every run as its points arrive, with ``late_points``: late points so far.
 
-    A run's state is ``patience`` losses and four values. Within a micro-batch points are
-    put into iteration order, so the source's file limit bounds what one key holds;
-    points at or before the last processed iteration are ignored. Needs the RocksDB state
-    store.
+    A run's state is ``patience`` losses, some numbers and the points that wait for earlier ones,
+    which are kept in the state store by iteration; the rows of a micro-batch are taken one Arrow
+    batch after the other. A point whose iteration was walked, or waits already, is late.
+    With ``report_late`` every late point is a row of its own too, with its iteration and without
+    an evaluation. Points without an iteration are ignored, as are all after a stop. Needs the
+    RocksDB state store.
     """
     return (points.select("run", "iteration", "loss").groupBy("run")
-            .transformWithStateInPandas(statefulProcessor=_stopper(rule), outputStructType=EVALUATION,
-                                        outputMode="Append", timeMode="None"))
+            .transformWithStateInPandas(statefulProcessor=_stopper(rule, arrival, report_late), outputStructType=STREAMED,
+                                        outputMode="Append", timeMode="None" if arrival.idle_ms is None else "ProcessingTime"))

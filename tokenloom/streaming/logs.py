@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tokenloom.operators.runlog import parse_points
+from tokenloom.streaming.tail import BLOCK_BYTES, stream_lines
 
 REFRESH = "10 seconds"
 
 
-def stream_log_points(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Points of both grammars from log files as they land, one run per file name.
+def stream_log_points(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Points of both grammars from logs as they grow, one run per file path.
 
-    The parse is stateless, so nothing is shuffled. An empty folder yields nothing until
-    the first file arrives.
+    ``position`` is the byte where a point's line starts; it orders the points of a run. A line
+    is parsed once it is complete. The parse is stateless, so nothing is shuffled. An empty or
+    missing folder yields nothing until the first file arrives.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    named = lines.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("run"),
-        F.lit(None).cast("bigint").alias("line_no"), F.col("value").alias("line"))
-    return parse_points(named).drop("line_no")
+    lines = stream_lines(spark, path, block_bytes).withColumnRenamed("position", "line_no")
+    return parse_points(lines.select("run", "line_no", "line")).withColumnRenamed("line_no", "position")

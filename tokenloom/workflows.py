@@ -13,6 +13,7 @@ from tokenloom.operators import budgets, layout, runlog, stats
 from tokenloom.operators.early_stop import StopRule, early_stopping
 from tokenloom.session import written
 from tokenloom.sources import datasets, logs
+from tokenloom.sources.records import read_text_files
 
 CHUNK_SIZE = 2048
 
@@ -44,6 +45,24 @@ def prepare(records: DataFrame, key: Sequence[str], path: str, name: str, config
     datasets.write_token_dataset(chunks, metadata, path, chunk_size=chunk_size)
 
 
+def prepare_files(spark: SparkSession, files: str, path: str, vocab_size: int = 256,
+                  ranks: Mapping[bytes, int] | None = None, chunk_size: int = CHUNK_SIZE,
+                  max_chars: int | None = None) -> None:
+    """Tokenize text files, lay them out in order of their paths and store them with a line of metadata each.
+
+    Bytes that are no UTF-8 become replacement characters, line ends become line feeds.
+    """
+    docs = read_text_files(spark, files, max_chars)
+    if ranks is None:
+        chunks, n_tokens, kind = layout.byte_chunks(docs, chunk_size, ["source_file"], vocab_size=vocab_size), F.octet_length("text"), "byte"
+    else:
+        docs = _tokenized(spark, docs, vocab_size, ranks, None)
+        chunks, n_tokens, kind = layout.chunk_layout(docs, chunk_size, ["source_file"]), F.size("ids"), "bpe"
+    metadata = datasets.dataset_metadata(docs, n_tokens, files, vocab_size=vocab_size, kind=kind)
+    datasets.write_token_dataset(chunks, metadata, path, chunk_size=chunk_size)
+    datasets.write_file_metadata(datasets.file_metadata(docs, n_tokens, vocab_size, kind), path)
+
+
 def _tokenized(spark: SparkSession, docs: DataFrame, vocab_size: int, ranks: Mapping[bytes, int] | None,
                eos_id: int | None) -> DataFrame:
     """Documents with their ids, stored once: the layout needs their lengths and their values."""
