@@ -15,14 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import fits
 from ..session import written
 from .words import WORD
 
 SWEEPS = 40
 TOLERANCE = 1e-9
+#: Sweeps of one job.
+STEP = 5
+#: Up to so many cells are swept in one task, without shuffles between the margins.
+CELLS_OF_A_TASK = 100_000
 #: Share of the tokens whose cells may stay below their tempered targets, so that the rest is not thinned for them.
 SPARE = 0.01
 
@@ -63,8 +68,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEP
     """Cells with ``share`` fitted to all targets. Each target table has its margin and ``target``.
 
     Targets of values without tokens are left out and the others scaled up to one; cells whose value
-    has no target get none. If targets contradict each other the last sweep stands. Each sweep is a
-    stored table of the cells, which are far fewer than documents.
+    has no target get none. If targets contradict each other the last sweep stands. Every few sweeps
+    make a stored table of the cells, which are far fewer than documents.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     current = written(cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(total)), "cells")
@@ -75,24 +80,32 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEP
         whole = kept.agg(F.sum("target")).first()[0]
         fitted[m] = written(kept.select(m, (F.col("target") / F.lit(whole)).alias("target")), "targets")
     columns = current.columns
-    for _ in range(sweeps):
-        away = []
-        for m in targets:
-            sums = current.groupBy(m).agg(F.sum("share").alias("_found"))
-            goal = fitted[m].select(F.col(m).alias("_goal_of"), F.col("target").alias("_goal"))
-            scale = sums.join(goal, F.col(m).eqNullSafe(F.col("_goal_of")), "left").select(
-                F.col(m).alias("_value"), F.coalesce("_goal", F.lit(0.0)).alias("_goal"), "_found").select(
-                "_value", F.when(F.col("_found") > 0, F.col("_goal") / F.col("_found")).otherwise(0.0).alias("_scale"),
-                F.abs(F.col("_goal") - F.col("_found")).alias(f"_away_{m}"))
-            current = current.join(scale, F.col(m).eqNullSafe(F.col("_value"))).withColumn(
-                "share", F.col("share") * F.col("_scale")).drop("_value", "_scale")
-            away.append(F.max(f"_away_{m}"))
-        current = written(current, "sweep")
-        worst = current.agg(F.greatest(*away, F.lit(0.0)).alias("worst")).first()["worst"]
-        current = current.select(*columns)
-        if worst is None or worst <= tolerance:
+    # Goals are joined once, by a merge: a broadcast for each of many small joins adds up on the driver.
+    for i, m in enumerate(targets):
+        goal = fitted[m].select(F.col(m).alias("_value"), F.col("target").alias("_goal"))
+        current = current.join(goal.hint("merge"), F.col(m).eqNullSafe(F.col("_value")), "left").select(
+            *current.columns, F.coalesce("_goal", F.lit(0.0)).alias(f"_goal{i}"))
+    current = written(current, "cells")
+    done, together = 0, fits(current, CELLS_OF_A_TASK)
+    while done < sweeps:
+        # Some sweeps are one job; each leaves its shares and how far its sums were from the targets.
+        several, swept = min(STEP, sweeps - done), current.coalesce(1) if together else current
+        for k in range(several):
+            away = F.lit(0.0)
+            for i, m in enumerate(targets):
+                found, goal = F.sum("share").over(Window.partitionBy(m)), F.col(f"_goal{i}")
+                swept = swept.withColumns({"share": F.when(found > 0, F.col("share") * goal / found).otherwise(0.0),
+                                           f"_away{k}": F.greatest(away, F.abs(goal - found))})
+                away = F.col(f"_away{k}")
+            swept = swept.withColumn(f"_share{k}", F.col("share"))
+        stored = written(swept, "sweeps")
+        worst = stored.agg(*[F.max(f"_away{k}") for k in range(several)]).first()
+        last = next((k for k, w in enumerate(worst) if w is None or w <= tolerance), several - 1)
+        current = stored.withColumn("share", F.col(f"_share{last}")).select(*current.columns)
+        done += several
+        if worst[last] is None or worst[last] <= tolerance:
             break
-    return current
+    return current.select(*columns)
 
 
 def keep_rates(raked: DataFrame, spare: float = 0.0) -> DataFrame:

@@ -111,10 +111,10 @@ sweep AS (
   SELECT n + 1, source, lang, topic, tokens, share, target_source, target_lang, target_topic, away, max(away) OVER () FROM ({step})),
 raked AS (SELECT *, share / tokens AS ratio FROM sweep WHERE n = (SELECT max(n) FROM sweep)),
 counted AS (SELECT ratio, sum(tokens) OVER (ORDER BY ratio) AS upto FROM raked WHERE ratio > 0),
-place AS (SELECT (sum(tokens) - 1)::DOUBLE * (1.0::DOUBLE - {spare}) AS at FROM raked WHERE ratio > 0),
-ends AS (SELECT at, (SELECT min(ratio) FROM counted WHERE upto > floor(at)) AS low,
-                (SELECT min(ratio) FROM counted WHERE upto > ceil(at)) AS high FROM place),
-most AS (SELECT CASE WHEN low = high THEN low ELSE (ceil(at) - at) * low + (at - floor(at)) * high END AS top FROM ends),
+place AS (SELECT (sum(tokens) - 1)::DOUBLE * (1.0::DOUBLE - {spare}) AS spot FROM raked WHERE ratio > 0),
+ends AS (SELECT spot, (SELECT min(ratio) FROM counted WHERE upto > floor(spot)) AS low,
+                (SELECT min(ratio) FROM counted WHERE upto > ceil(spot)) AS high FROM place),
+most AS (SELECT CASE WHEN low = high THEN low ELSE (ceil(spot) - spot) * low + (spot - floor(spot)) * high END AS top FROM ends),
 rates AS (SELECT source, lang, topic, least(ratio / top, 1.0) AS rate FROM raked, most)
 SELECT doc_id, docs.source, docs.lang, docs.topic, tokens AS n_tokens,
        round(CASE WHEN tokens = 0 THEN 1.0 ELSE coalesce(rate, 0.0) END, 6) AS rate,
@@ -241,12 +241,12 @@ windows AS (
   SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS words
   FROM items),
 places AS (
-  SELECT doc_id, width, unnest(range(1, len(w) - width + 2)) AS at,
+  SELECT doc_id, width, unnest(range(1, len(w) - width + 2)) AS spot,
          unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS words
   FROM lowered, (SELECT DISTINCT width FROM items) WHERE len(w) >= width),
-found AS (SELECT doc_id, item_id, at, width FROM places JOIN windows USING (width, words)),
+found AS (SELECT doc_id, item_id, spot, width FROM places JOIN windows USING (width, words)),
 hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (
-           SELECT doc_id, unnest(range(at, at + width)) AS place FROM (SELECT DISTINCT doc_id, at, width FROM found)) GROUP BY doc_id),
+           SELECT doc_id, unnest(range(spot, spot + width)) AS place FROM (SELECT DISTINCT doc_id, spot, width FROM found)) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
           FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
