@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -63,7 +64,25 @@ def test_hard_rows(hard):
 def test_a_hot_key_is_cut_into_buckets(spark):
     rows = spark.range(600).select(F.when(F.col("id") < 400, 5).when(F.col("id") < 500, F.col("id")).alias("key"),
                                    F.concat(F.lit("text "), F.col("id")).alias("text"))
-    placed = merkle._with_buckets(rows.withColumn("hash", F.xxhash64("text")), "key", "hash", 16)
+    placed = merkle.with_buckets(rows.withColumn("hash", F.xxhash64("text")), ["key", "hash"], 16)
     most = placed.groupBy("_bucket").count().agg(F.max("count")).first()[0]
     assert most < 60
     assert merkle.fingerprints_with_edits(rows, "key", "text").count() == 600
+
+
+def test_close_keys_of_sixty_bits_and_text_keys(spark):
+    """Keys that share one double, and keys that are no numbers."""
+    for key, kind in ((lambda i: 2**60 + i, "long"), (lambda i: f"k{i:05d}", "string")):
+        rows = [(key(i), f"text {i} " + "word " * (i % 9)) for i in range(1500)]
+        found = merkle.fingerprints_with_edits(spark.createDataFrame(rows, f"key {kind}, text string").repartition(5), "key", "text")
+        assert sorted((r.key, r.n_chars, r.edited_sha256) for r in found.collect()) == brute(rows)
+
+
+def test_an_inserted_character_moves_no_later_block(spark):
+    """One paragraph of Chinese characters, the same with one more at its start, and another text."""
+    rnd = random.Random(4)
+    text, other = ("".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(3000)) for _ in range(2))
+    row = spark.createDataFrame([(text, "新" + text, other)], "a string, b string, c string").select(
+        *[merkle.phrases(merkle.tree(F.col(c))).alias(c) for c in "abc"]).select(
+        merkle.likeness(F.col("a"), F.col("b")).alias("near"), merkle.likeness(F.col("a"), F.col("c")).alias("far"), F.size("a").alias("n")).first()
+    assert row.near > 0.95 and row.far < 0.05 and row.n > 50

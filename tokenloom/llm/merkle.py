@@ -4,26 +4,30 @@ A section ends after a blank line, a paragraph after a line end; both keep their
 parts of a text joined are the text and equal roots mean equal texts. A paragraph's digest is
 the SHA-256 of its bytes, a section's that of its paragraphs' digests, the root's that of the
 sections'. Comparing digests from the root down leads to the paragraphs that were edited.
-Phrases, cut where a word ends in one of a few letters, carry 24-bit digests; an edit changes
-the phrases that it touches and no others, so shared phrases measure how much two texts have in
-common even when every paragraph differs. Built-in functions only.
+Phrases, cut where a word ends in one of a few letters or, in text without such ends, behind pairs
+of characters whose hash says so, carry 40-bit digests; an edit changes the phrases that it touches
+and no others, in any script, so shared phrases measure how much two texts have in common even
+when every paragraph differs. Built-in functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import MAX_BUCKETS, with_buckets
+
 SECTION = r"(?<=\n\n)(?=[^\n])"
 PARAGRAPH = r"(?<=\n)"
 #: Phrase ends in long paragraphs, and in those shorter than ``SHORT`` characters.
 PHRASE = r"(?<=[^\p{L}\p{N}\s][ \t]|s[ \t])(?=[^ \t])"
 FINE = r"(?<=[^\p{L}\p{N}\s][ \t]|[sdnrtyeéhl][ \t])(?=[^ \t])"
-#: A phrase without such an end is cut into blocks.
-BLOCK = r"(?s).{1,48}"
 SHORT = 200
-_SUBS = 64
+#: A phrase of more characters is cut behind every pair of them whose hash has its low bits clear.
+LONGEST, CUT_BITS = 96, 4
+#: Stands between the blocks of such a phrase; where a text has this character itself, it cuts too.
+_MARK = "\u0001"
+DIGEST_BITS = 40
 
 
 def _joined_digest(nodes: Column) -> Column:
@@ -33,10 +37,20 @@ def _joined_digest(nodes: Column) -> Column:
 def _phrases(paragraph: Column) -> Column:
     pieces = F.when(F.char_length(paragraph) < SHORT, F.split(paragraph, FINE, -1)).otherwise(
         F.split(paragraph, PHRASE, -1))
-    blocks = F.transform(pieces, lambda p: F.when(F.char_length(p) <= 96, F.array(p)).otherwise(
-        F.regexp_extract_all(p, F.lit(BLOCK), F.lit(0))))
+    blocks = F.transform(pieces, lambda p: F.when(F.char_length(p) <= LONGEST, F.array(p)).otherwise(_blocks(p)))
     return F.transform(F.filter(F.flatten(blocks), lambda p: p != ""),
-                       lambda p: F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFF)).cast("int"))
+                       lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << DIGEST_BITS) - 1)))
+
+
+def _blocks(phrase: Column) -> Column:
+    """Blocks whose borders depend on the two characters before them alone, so they move with the text."""
+    def marked(chars: Column) -> Column:
+        ends = F.transform(chars, lambda c, i: F.when(
+            F.xxhash64(F.get(chars, i - 1), c).bitwiseAND(F.lit((1 << CUT_BITS) - 1)) == 0, F.concat(c, F.lit(_MARK))).otherwise(c))
+        return F.split(F.array_join(ends, ""), _MARK, -1)
+
+    # The characters are made once and then looked up by their place.
+    return F.transform(F.array(F.split(phrase, "")), marked)[0]
 
 
 def tree(text: Column) -> Column:
@@ -56,10 +70,10 @@ def tree(text: Column) -> Column:
 def fingerprint(of: Column) -> Column:
     """The tree as a string: root; ``/`` and each section's paragraphs: ``;``, digest, ``:``, phrases.
 
-    The root is written in full, a paragraph with 8 hexadecimal digits, a phrase with 6.
+    The root is written in full, a paragraph with 8 hexadecimal digits, a phrase with 10.
     """
     def paragraph(p: Column) -> Column:
-        phrases = F.transform(p["phrases"], lambda h: F.lpad(F.lower(F.hex(h.cast("bigint"))), 6, "0"))
+        phrases = F.transform(p["phrases"], lambda h: F.lpad(F.lower(F.hex(h)), DIGEST_BITS // 4, "0"))
         return F.concat(F.lit(";"), F.substring(p["digest"], 1, 8), F.lit(":"), F.array_join(phrases, ""))
 
     sections = F.transform(of["sections"], lambda s: F.array_join(F.transform(s["paragraphs"], paragraph), ""))
@@ -107,35 +121,20 @@ def edited_paragraphs(before: Column, after: Column) -> Column:
     return F.when(before["digest"] == after["digest"], F.slice(branches, 1, 0)).otherwise(branches)
 
 
-def _with_buckets(df: DataFrame, key: str, hash_: str, parts: int) -> DataFrame:
-    """Add a number that rises with (key, hash). Bounds are quantiles of the key, taken once.
-
-    A key that is several quantiles at once is hot, as null may be; its rows are cut by hash.
-    """
-    as_double = F.col(key).cast("double")
-    bounds = df.select(as_double.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)
-    hot = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    place = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep") if bounds else None
-    sub = F.when(as_double.isNull() | as_double.isin(hot), F.shiftright(F.col(hash_), 58) + _SUBS // 2).otherwise(_SUBS)
-    placed = place.transform(df.withColumn("_k", as_double)) if place else df.withColumn("_b", F.lit(0.0))
-    return placed.withColumn("_bucket", (F.when(F.col(key).isNull(), -1).otherwise(F.col("_b")) * (_SUBS + 1) + sub)
-                             .cast("bigint")).drop("_k", "_b")
-
-
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Every document with the phrases and the text of the next one in ascending order of the key.
 
     Null keys come first; rows with one key are in order of their text's hash; after the last comes
-    the first. Keys are numbers. Each text is shuffled once, to a bucket of neighbouring keys; the
-    first row of a bucket is copied to the end of the bucket before it.
+    the first. Keys are of any type that can be sorted, and are compared as they are. Each text is
+    shuffled once, to a bucket of neighbouring keys; the first row of a bucket is copied to the end of
+    the bucket before it.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    placed = _with_buckets(rows.withColumn("hash", F.xxhash64("text")), "key", "hash", parts)
+    placed = with_buckets(rows.withColumn("hash", F.xxhash64("text")), ["key", "hash"], parts)
     firsts = placed.groupBy("_bucket").agg(F.min(F.struct("key", "hash")).alias("first"))
-    # One row per bucket: at most 65 for each quantile, whatever the table's size.
+    # One row per bucket, whatever the table's size.
     ring = Window.orderBy("_bucket")
     last = F.last("_bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     borders = firsts.select("_bucket", "first", F.coalesce(F.lag("_bucket").over(ring), last).alias("_before"))
