@@ -115,6 +115,26 @@ def test_prompt_suite_reports_errors(spark):
     assert got["b"] == got["c"] == (None, "empty prompt") and got["d"] == ("on", None)
 
 
+def test_a_failing_prompt_leaves_the_others_alone(spark, monkeypatch):
+    monkeypatch.setattr(generate, "LONGEST_PROMPT", 20)
+    suite = spark.createDataFrame([("a", "the", 5), ("b", "the", None), ("c", "the", -2), ("d", "t" * 21, 5)],
+                                  "name string, prompt string, max_tokens int")
+    got = {r["name"]: (r["output"], r["error"]) for r in
+           generate.run_prompt_suite(suite, setup_model(spark, 2), stop_id=None).collect()}
+    assert len(got["a"][0]) == 8 and got["a"][1] is None
+    assert [got[k] for k in "bcd"] == [(None, "no token limit"), (None, "negative token limit: -2"), (None, "prompt too long")]
+
+
+def test_a_step_moves_no_model(spark):
+    """Beyond the broadcast limit the bucketed model is read in place: no exchange of all its rows."""
+    from tokenloom.session import bucketed
+
+    model = bucketed(setup_model(spark, 2), "model", "context")
+    needed = model.join(spark.range(50).selectExpr("id as context").hint("merge"), "context", "left_semi")
+    plan = needed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 TURNS = [(1, 0, "system"), (1, 1, "user"), (1, 2, "assistant"), (1, 3, "user"), (1, 4, "user"), (1, 5, "assistant"),
          (1, 6, "user"), (2, 0, "assistant"), (2, 1, "user"), (3, 0, "user"), (3, 9, "assistant")]
 

@@ -125,7 +125,8 @@ def _model(spark, sf, temperature, top_k):
 
 def continuations(spark, sf):
     return _model(spark, sf, 0.8, 40).select(
-        "context", F.array_join("tokens", ",").alias("tokens"), F.size("cum").alias("n"))
+        "context", F.array_join("tokens", ",").alias("tokens"),
+        F.array_join(F.transform("cum", lambda c: F.floor(c * 1e6 + 0.5).cast("string")), ",").alias("cum_millionths"))
 
 
 def generated(spark, sf):
@@ -140,7 +141,8 @@ def prompt_suite(spark, sf):
     items = table(spark, sf, "benchmark").select(
         F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("name"),
         F.when(F.col("item_id") % 10 == 3, "").otherwise(F.col("text")).alias("prompt"),
-        (F.lit(100) + F.col("item_id") % 3 * 50).cast("int").alias("max_tokens"))
+        F.when(F.col("item_id") % 10 == 7, -F.col("item_id")).when(F.col("item_id") % 10 != 8, F.lit(100) + F.col("item_id") % 3 * 50)
+        .cast("int").alias("max_tokens"))
     # Byte 46 is the full stop: with byte-level ids it takes the newline id's part.
     done = generate.run_prompt_suite(items, _model(spark, sf, 0.7, 40), seed=7, stop_id=46)
     return done.select("name", F.md5("output").alias("output_md5"), "error")

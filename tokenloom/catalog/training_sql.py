@@ -149,21 +149,23 @@ SQL = {
         kept AS (SELECT * FROM l QUALIFY rank() OVER (PARTITION BY prompt_id ORDER BY z DESC) <= 40),
         raised AS (SELECT *, exp(z - max(z) OVER (PARTITION BY prompt_id)) AS e FROM kept)
         SELECT prompt_id, token_id, round(e / sum(e) OVER (PARTITION BY prompt_id), 8) AS prob FROM raised""",
-    "m5_continuations": f"""WITH {_model(0.8, 40)} SELECT context, array_to_string(tokens, ',') AS tokens, len(cum) AS n FROM model""",
+    "m5_continuations": f"""WITH {_model(0.8, 40)} SELECT context, array_to_string(tokens, ',') AS tokens,
+        array_to_string([floor(c * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT for c in cum], ',') AS cum_millionths FROM model""",
     "m5_generate": f"""WITH RECURSIVE {_model(0.8, 40)}, {_generation(
         "SELECT item_id AS prompt_id, ('0x' || right(hex(encode(text)), 2))::INT AS context, 64 AS max_new FROM benchmark", -5)}
         SELECT prompt_id, octet_length(encode(text)) AS n_prompt, array_to_string(produced, ',') AS produced
         FROM done JOIN benchmark ON item_id = prompt_id""",
     "m6_prompt_suite": f"""WITH RECURSIVE {_model(0.7, 40)}, {_generation(
         "SELECT 'item_' || item_id AS prompt_id, ('0x' || right(hex(encode(text)), 2))::INT AS context, "
-        "100 + item_id % 3 * 50 AS max_new FROM benchmark WHERE item_id % 10 <> 3", 46)},
-        joined AS (SELECT 'item_' || item_id AS name, item_id % 10 = 3 AS blank,
+        "100 + item_id % 3 * 50 AS max_new FROM benchmark WHERE item_id % 10 NOT IN (3, 7, 8)", 46)},
+        joined AS (SELECT 'item_' || item_id AS name, item_id, item_id % 10 IN (3, 7, 8) AS blank,
           hex(encode(text)) || array_to_string([printf('%02X', i) for i in produced], '') AS h
           FROM benchmark LEFT JOIN done ON prompt_id = 'item_' || item_id),
         cut AS (SELECT *, regexp_extract(h, '([CD].)$') AS tail_part FROM joined)
         SELECT name, CASE WHEN NOT blank THEN md5(decode(unhex(left(h, length(h) - length(tail_part))))
             || CASE WHEN tail_part <> '' THEN '�' ELSE '' END) END AS output_md5,
-          CASE WHEN blank THEN 'empty prompt' END AS error FROM cut""",
+          CASE item_id % 10 WHEN 3 THEN 'empty prompt' WHEN 7 THEN 'negative token limit: -' || item_id WHEN 8 THEN 'no token limit' END AS error
+        FROM cut""",
     "s8_append_metrics": f"""WITH {POINTS} SELECT run, 'train/loss' AS tag, iteration AS step, loss AS value FROM points
         UNION ALL SELECT run, 'train/k', iteration, k::DOUBLE FROM points""",
     "s9_append_samples": f"""WITH {PAIRS} SELECT 'sft' AS run, conv_id * 100 + turn AS step, md5(instruction) AS prompt_md5,

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from tokenloom.functions.codecs import decode_bytes, encode_bytes
 from tokenloom.operators.budgets import crop_context
 from tokenloom.plans.joins import fits, salted_join
-from tokenloom.session import pinned, written
+from tokenloom.session import bucketed, scratch_path, written
 
 # Fixed value: the newline id of the GPT-2 vocabulary, which ends a test completion.
 NEWLINE_ID = 198
 BACKOFF = -1
+#: Bytes of a prompt whose ids still fit one row (four bytes each).
+LONGEST_PROMPT = 256 << 20
 BROADCAST_CANDIDATES = 2_000_000
-STEPS_PER_CHECKPOINT = 8
 
 
 def continuations(counts: DataFrame, temperature: float = 1.0, top_k: int | None = None) -> DataFrame:
@@ -66,8 +67,8 @@ def generate(prompts: DataFrame, model: DataFrame, n: int = 2, vocab: int = 256,
 
     The context is always the last ``n - 1`` ids. A stop id ends a prompt and is not
     emitted. Within ``max_candidates`` entries the model is broadcast and all steps of a
-    prompt run in one task; beyond it every step is one join of all prompts with the
-    model, with a reliable checkpoint every few steps. Both give the same ids.
+    prompt run in one task; beyond it every step is one join of the prompts that still go on with
+    the contexts they are in. Both give the same ids. Prompt ids are distinct.
     """
     if model.where(F.col("context") == BACKOFF).isEmpty():
         raise ValueError("the model is empty: it has no distribution for unseen contexts")
@@ -116,30 +117,51 @@ def _in_tasks(state: DataFrame, model: DataFrame, n: int, vocab: int, seed: int,
 
 def _by_joins(state: DataFrame, model: DataFrame, n: int, vocab: int, seed: int,
               stop_id: int | None) -> DataFrame:
-    model = pinned(model)
-    unseen = (model.where(F.col("context") == BACKOFF)
-              .select(F.col("context").alias("_unseen"), F.col("tokens").alias("_bt"), F.col("cum").alias("_bc")))
-    longest = state.agg(F.max("max_new")).first()[0] or 0
-    state = state.withColumns({"produced": F.array().cast("array<int>"), "live": F.lit(True)})
-    for step in range(1, longest + 1):
-        at = state.withColumn("context", context_code(F.concat("ids", "produced"), n, vocab))
-        found = salted_join(at, model, ["context"])
-        missed = F.when(F.col("tokens").isNull(), F.lit(BACKOFF).cast("bigint"))
+    """One step at a time. What moves is a number for the context of each prompt that is still going on.
+
+    The model is stored bucketed by context and stays where it is: a step picks the contexts that its
+    prompts are in, and only those are copied for the salted join. The ids that a step draws go to a
+    table of their own; the prompts meet them at the end.
+    """
+    spark = state.sparkSession
+    state = written(state, "prompts")
+    model = bucketed(model, "model", "context")
+    unseen = written(model.where(F.col("context") == BACKOFF), "unseen")
+    path, span = scratch_path(spark, "drawn"), vocab ** max(n - 2, 0)
+    kept = crop_context("ids", n - 1) if n > 1 else F.array().cast("array<int>")
+    # The last ids as one number, and how many they are: the contexts of a short prompt are not full yet.
+    live = state.where("max_new > 0").select("prompt_id", "max_new", F.size(kept).alias("have"), F.aggregate(
+        kept, F.lit(0).cast("bigint"), lambda code, i: code * vocab + i).alias("code"))
+    kind = f"prompt_id {state.schema['prompt_id'].dataType.simpleString()}, step int, token int"
+    spark.createDataFrame([], kind).write.parquet(path)
+    step = 0
+    while True:
+        step += 1
+        at = live.withColumn("context", F.when(F.col("have") >= n - 1, F.col("code")).otherwise(F.lit(BACKOFF).cast("bigint")))
+        needed = model.join(at.select("context").distinct(), "context", "left_semi")
+        found = salted_join(at, needed, ["context"])
         # One row, at most one entry per vocabulary id.
-        both = found.withColumn("_unseen", missed).join(F.broadcast(unseen), ["_unseen"], "left")
+        other = unseen.select(F.lit(True).alias("_missed"), F.col("tokens").alias("_bt"), F.col("cum").alias("_bc"))
+        both = found.withColumn("_missed", F.col("tokens").isNull()).join(F.broadcast(other), ["_missed"], "left")
         drawn = (both.withColumns({"_t": F.coalesce("tokens", "_bt"), "_c": F.coalesce("cum", "_bc"),
                                    "_u": draw(seed, "prompt_id", F.lit(step))})
                  .withColumn("_place", F.size(F.filter("_c", lambda c: c < F.col("_u"))))
-                 .withColumn("_token", F.get("_t", F.least(F.col("_place"), F.size("_t") - 1))))
-        stops = F.lit(False) if stop_id is None else F.col("_token") == stop_id
-        live = F.col("live") & (F.lit(step) <= F.col("max_new")) & ~stops
-        state = drawn.select(
-            "prompt_id", "ids", "max_new",
-            F.when(live, F.concat("produced", F.array("_token"))).otherwise(F.col("produced")).alias("produced"),
-            live.alias("live"))
-        if step % STEPS_PER_CHECKPOINT == 0:
-            state = pinned(state)
-    return state.select("prompt_id", "ids", "produced")
+                 .select("prompt_id", "max_new", "have", "code",
+                         F.get("_t", F.least(F.col("_place"), F.size("_t") - 1)).cast("int").alias("token")))
+        if stop_id is not None:
+            drawn = drawn.where(F.col("token") != stop_id)
+        # Stored before anything depends on it, so that a lost executor cannot change a step.
+        drawn = written(drawn, "step")
+        drawn.select("prompt_id", F.lit(step).alias("step"), "token").write.mode("append").parquet(path)
+        following = (F.col("code") % span) * vocab + F.col("token") if n > 1 else F.lit(0).cast("bigint")
+        live = drawn.where(F.col("max_new") > step).select(
+            "prompt_id", "max_new", F.least(F.col("have") + 1, F.lit(max(n - 1, 0))).alias("have"), following.alias("code"))
+        if live.isEmpty():
+            break
+    steps = spark.read.schema(kind).parquet(path)
+    ids = steps.groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("step", "token")))["token"].alias("produced"))
+    return state.join(ids.withColumnRenamed("prompt_id", "_id"), F.col("prompt_id").eqNullSafe(F.col("_id")), "left").select(
+        "prompt_id", "ids", F.coalesce("produced", F.array().cast("array<int>")).alias("produced"))
 
 
 def completed_text(df: DataFrame) -> DataFrame:
@@ -151,10 +173,15 @@ def run_prompt_suite(suite: DataFrame, model: DataFrame, n: int = 2, vocab: int
                      stop_id: int | None = NEWLINE_ID) -> DataFrame:
     """Complete named prompts ``(name, prompt, max_tokens)``; a failing one reports its error.
 
-    A prompt without any token cannot be continued. The draws of a prompt follow from its name,
+    A prompt fails if it has no token to continue, if its limit is missing or negative, or if it is
+    so long that its ids would not fit a row. The others are completed all the same. The draws of a prompt follow from its name,
     text and limit, so equal rows get equal texts; a null name is a name of its own.
     """
-    usable = F.coalesce(F.length("prompt") > 0, F.lit(False))
+    error = (F.when(F.coalesce(F.length("prompt"), F.lit(0)) == 0, F.lit("empty prompt"))
+             .when(F.col("max_tokens").isNull(), F.lit("no token limit"))
+             .when(F.col("max_tokens") < 0, F.concat(F.lit("negative token limit: "), F.col("max_tokens")))
+             .when(F.octet_length("prompt") > LONGEST_PROMPT, F.lit("prompt too long")))
+    usable = error.isNull()
     entry = suite.select("name", "prompt", "max_tokens", F.to_json(F.struct("name", "prompt", "max_tokens")).alias("_entry"))
     repeated = entry.groupBy("name").agg(F.count_distinct("_entry").alias("_n"))
     # A name that stands for one prompt seeds its draws alone.
@@ -167,5 +194,4 @@ def run_prompt_suite(suite: DataFrame, model: DataFrame, n: int = 2, vocab: int
         "prompt_id", "max_new", encode_bytes("prompt", vocab).alias("ids"))
     done = completed_text(generate(prompts, model, n, vocab, seed=seed, stop_id=stop_id))
     texts = done.select(F.col("prompt_id").alias("_id"), F.col("text").alias("output"))
-    error = F.when(~usable, F.lit("empty prompt"))
     return keyed.join(texts, "_id", "left").select("name", "prompt", "output", error.alias("error"))

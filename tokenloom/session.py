@@ -66,6 +66,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, *columns: str) -> DataFrame:
+    """Store below the shared folder as a table bucketed and sorted by columns.
+
+    A join on those columns reads its buckets where the other side's rows are sent, so the table
+    itself is never shuffled.
+    """
+    spark = df.sparkSession
+    name = f"tokenloom_{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(parts, *columns).write.format("parquet").option("path", scratch_path(spark, label))
+     .bucketBy(parts, *columns).sortBy(*columns).saveAsTable(name))
+    return spark.table(name)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the Python workers this package, as ``--py-files`` would on a cluster."""
     context = spark.sparkContext
