@@ -139,7 +139,7 @@ TURNS = [(1, 0, "system"), (1, 1, "user"), (1, 2, "assistant"), (1, 3, "user"),
          (1, 6, "user"), (2, 0, "assistant"), (2, 1, "user"), (3, 0, "user"), (3, 9, "assistant")]
 
 
-@pytest.mark.parametrize("size", [1, 2, 1000])
+@pytest.mark.parametrize("size", [1, 100, 100_000])
 def test_pairs(spark, size):
     df = spark.createDataFrame([(*t, f"{t[0]}-{t[1]}") for t in TURNS],
                                "conv_id long, turn long, role string, text string").repartition(4)

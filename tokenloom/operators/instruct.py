@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.plans.ordered import (SEGMENT_ROWS, own_rows, reach_partition, reach_windows, row_index)
+from tokenloom.plans.ordered import row_index
+from tokenloom.session import written
 
 # The prompt template, the label of ignored positions, the length limit.
 PREAMBLE = ("Below is an instruction that describes a task. "
@@ -16,17 +17,31 @@ PREAMBLE = ("Below is an instruction that describes a task. "
 INSTRUCTION_MARK, INPUT_MARK, RESPONSE_MARK = "### Instruction:\n", "### Input:\n", "### Response:\n"
 IGNORED_LABEL = -100
 MAX_LENGTH = 1024
+#: Texts of one conversation that a task's window may hold, and what a turn takes besides its text.
+GROUP_BYTES, ROW_BYTES = 64 << 20, 32
 
 
-def pair_turns(turns: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
-    """Each user turn that an assistant turn follows directly, as instruction and output."""
-    laid = reach_windows(turns.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn"],
-                         after=1, size=size)
-    following = Window.partitionBy(*reach_partition(["conv_id"])).orderBy("turn")
-    paired = laid.withColumns({"_role": F.lead("role").over(following),
-                               "output": F.lead("text").over(following)})
-    return (own_rows(paired).where((F.col("role") == "user") & (F.col("_role") == "assistant"))
-            .select("conv_id", "turn", F.col("text").alias("instruction"), "output"))
+def pair_turns(turns: DataFrame, size: int = GROUP_BYTES) -> DataFrame:
+    """Each user turn that an assistant turn follows directly, as instruction and output.
+
+    While the texts of every conversation together are within ``size`` bytes, a conversation is
+    one task's window. Beyond it turns are numbered, and a user turn is joined with the assistant
+    turn of the next number, so that no task holds more of a conversation than its own pairs.
+    """
+    rows = turns.select("conv_id", "turn", "role", "text")
+    held = rows.groupBy("conv_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + ROW_BYTES).alias("held"))
+    if (held.agg(F.max("held")).first()[0] or 0) <= size:
+        following = Window.partitionBy("conv_id").orderBy("turn")
+        paired = rows.withColumns({"_role": F.lead("role").over(following), "output": F.lead("text").over(following)})
+        return (paired.where((F.col("role") == "user") & (F.col("_role") == "assistant"))
+                .select("conv_id", "turn", F.col("text").alias("instruction"), "output"))
+    # Numbered without the texts of other roles, and stored, as both sides of the join read it.
+    spoken = F.when(F.col("role").isin("user", "assistant"), F.col("text"))
+    numbered = written(row_index(rows.withColumn("text", spoken), ["turn"], "_i", ["conv_id"]), "turns")
+    users = numbered.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("instruction"), (F.col("_i") + 1).alias("_next"))
+    replies = numbered.where("role = 'assistant'").select(F.col("conv_id").alias("_conv"), "_i", F.col("text").alias("output"))
+    return (users.join(replies, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_next") == F.col("_i")))
+            .select("conv_id", "turn", "instruction", "output"))
 
 
 def prompt_text(instruction: str = "instruction", extra: str | None = None) -> Column:
