@@ -60,3 +60,58 @@ def test_hard_rows(hard, marked):
     by = {r.doc_id: r.tree for r in scored.collect()}
     assert by[1] == by[2] == by[4] and all(0 <= s <= 1 for s in by.values())
     assert toxicity.score(hard.limit(0), "text", model).count() == 0
+
+
+def plain_ftrl(rows, s):
+    """The learner coordinate by coordinate, with dictionaries; shards start alike and their changes are averaged."""
+    import math
+
+    counts = [sum(1 for r in rows if r["label"] == y) for y in (0, 1)]
+    importance = [math.sqrt(len(rows) / (2 * c)) for c in counts]
+    z, n = {}, {}
+    for _ in range(s.rounds):
+        moved_z, moved_n = {}, {}
+        for shard in range(s.shards):
+            own_z, own_n = dict(z), dict(n)
+            for r in sorted((r for r in rows if r["shard"] == shard), key=lambda r: (r["turn"], r["id"])):
+                keys = [*toxicity.features(bytes(r["text"]), s.bits).tolist(), "intercept"]
+                weights = []
+                for k in keys:
+                    zi, ni = own_z.get(k, 0.0), own_n.get(k, 0.0)
+                    rate = (s.beta + math.sqrt(ni)) / s.alpha + s.l2
+                    small = k != "intercept" and abs(zi) <= s.l1
+                    pull = 0.0 if k == "intercept" else math.copysign(s.l1, zi)
+                    weights.append(0.0 if small else -(zi - pull) / rate)
+                p = 1 / (1 + math.exp(-sum(weights)))
+                g = (p - r["label"]) * importance[r["label"]]
+                for k, w in zip(keys, weights):
+                    ni = own_n.get(k, 0.0)
+                    own_z[k] = own_z.get(k, 0.0) + g - (math.sqrt(ni + g * g) - math.sqrt(ni)) / s.alpha * w
+                    own_n[k] = ni + g * g
+            for k in own_n:
+                moved_z[k] = moved_z.get(k, 0.0) + own_z[k] - z.get(k, 0.0)
+                moved_n[k] = moved_n.get(k, 0.0) + own_n[k] - n.get(k, 0.0)
+        for k in moved_n:
+            z[k] = z.get(k, 0.0) + moved_z[k] / s.shards
+            n[k] = n.get(k, 0.0) + moved_n[k] / s.shards
+    out = {}
+    for k in z:
+        if k == "intercept":
+            out[k] = -z[k] / ((s.beta + math.sqrt(n[k])) / s.alpha + s.l2)
+        elif abs(z[k]) > s.l1:
+            out[k] = -(z[k] - math.copysign(s.l1, z[k])) / ((s.beta + math.sqrt(n[k])) / s.alpha + s.l2)
+    return out
+
+
+def test_weights_equal_a_plain_learner(spark):
+    settings = toxicity.Settings(bits=10, shards=2, rounds=2, l1=0.5)
+    bad, good = "vile slur hate filth".split(), "garden bread river lamp".split()
+    rows = [(i, " ".join((bad if i % 3 == 0 else good)[(i * 5 + j * j) % 4] for j in range(6))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    train = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", folds=5, held_out=0, settings=settings).cache()
+    model = toxicity.fit(train, settings)
+    want = plain_ftrl([r.asDict() for r in train.collect()], settings)
+    assert abs(model.intercept - want.pop("intercept")) < 1e-6
+    assert sorted(model.index.tolist()) == sorted(want) and len(want) > 10
+    assert all(abs(w - want[i]) < 1e-5 for i, w in zip(model.index.tolist(), model.weight.tolist()))
