@@ -143,14 +143,17 @@ def test_bpe_equals_a_reference_encoder(spark):
 
 
 def test_text_files_grow_in_number_with_the_text(spark, tmp_path, monkeypatch):
-    """One outlying id puts all other documents into the first part, yet no file is large."""
+    """One outlying id, yet no file is large, and every file has its own digest."""
     rows = [(i, f"text {i} " * 20 + ("\r" if i % 3 else "")) for i in range(300)] + [(10**9, "far")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     seen, read = [], records.read_text_files
     monkeypatch.setattr(records, "read_text_files", lambda *a: seen.append(read(*a)) or seen[-1])
-    monkeypatch.setattr(corpus, "FILE_BYTES", 2000, raising=False)
-    got = {r.part: (r.chars, r.text_md5) for r in corpus.read_text_files(spark, str(tmp_path)).collect()}
-    parts = {0: "".join(t.rstrip("\r") + "\n" for _, t in rows[:-1]), 7: "far\n"}
-    assert got == {p: (len(t), hashlib.md5(t.encode()).hexdigest()) for p, t in parts.items()}
+    monkeypatch.setattr(corpus, "FILE_BYTES", 2000)
+    got = {r.file: (r.chars, r.text_md5) for r in corpus.read_text_files(spark, str(tmp_path)).collect()}
+    files, start = {}, 0
+    for _, text in rows:
+        files[start // 2000] = files.get(start // 2000, "") + text.rstrip("\r") + "\n"
+        start += len(text) + 1
+    assert got == {f: (len(t), hashlib.md5(t.encode()).hexdigest()) for f, t in files.items()}
     sizes = [len(r.text) for r in seen[0].collect()]
-    assert len(sizes) > len(parts[0]) // 2500 and max(sizes) < 2500
+    assert len(sizes) == len(files) > start // 2500 and max(sizes) < 2500
