@@ -103,3 +103,40 @@ def rows_text(rows, key):
 def test_every_word_of_a_long_shingle_counts():
     one, other = (shingle_set(f"a b c d e f g {last}".encode(), 8) for last in "hi")
     assert len(one) == len(other) == 1 and one[0] != other[0]
+
+
+def test_a_shared_passage_makes_no_pairs(spark):
+    """Texts of one 90-word passage and 12 words of their own link with nothing, and meet nowhere."""
+    passage = " ".join(f"p{i}" for i in range(90))
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(12)) + " " + passage) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = near_dedup.class_table(near_dedup.sketched(docs, "doc_id", "text", 4)).cache()
+    sets = near_dedup.full_sets(docs, "doc_id", "text", 4, classes, classes.select("cls"))
+    lists = near_dedup.prefix_lists(sets, 80).cache()
+    none = spark.createDataFrame([], "node binary, label binary")
+    assert lists.count() >= 150 * 5
+    assert lists.where("place * 180 <= n * 20").count() == 0
+    assert near_dedup.remaining_pairs(lists, none, 80).count() == 0
+    found = near_dedup.near_duplicates(docs, "doc_id", "text", words=4).collect()
+    assert all(r.kept for r in found) and len(found) == 150
+
+
+def test_sets_of_different_sizes_meet_in_hot_lists(spark):
+    """Prefix lists alone, without hubs or sketches, find every link between groups."""
+    draw = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(family(draw, base, 40, 3) + family(draw, base[:52], 40, 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = near_dedup.class_table(near_dedup.sketched(docs, "doc_id", "text", 4)).cache()
+    sets = near_dedup.full_sets(docs, "doc_id", "text", 4, classes, classes.select("cls")).cache()
+    none = spark.createDataFrame([], "node binary, label binary")
+    pairs = near_dedup.confirmed(near_dedup.remaining_pairs(near_dedup.prefix_lists(sets, 80), none, 80), sets, 80)
+    got = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in pairs.collect()}
+    held = {bytes(r.cls): np.frombuffer(bytes(r.shingles), np.uint64) for r in sets.collect()}
+    want = set()
+    for a in held:
+        for b in held:
+            same = len(np.intersect1d(held[a], held[b], assume_unique=True))
+            if a < b and 100 * same >= 80 * (len(held[a]) + len(held[b]) - same):
+                want.add((a, b))
+    assert got == want and want
