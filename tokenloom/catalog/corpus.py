@@ -277,11 +277,15 @@ def token_stats(spark, sf):
 
 def approximate_distinct(spark, sf):
     """Distinct pairs of neighbouring characters: sketches per source, joined per language and checked by the exact count."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))
-    docs = documents(spark, sf).where(F.length("text") > 1).select("lang", "source", pairs.alias("pairs"))
+    # Characters are cut once: a substring at every place would walk the text from its start each time.
+    chars = F.split("text", "")
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b))
+    spread = records.spread_few_files(documents(spark, sf).select("doc_id", "lang", "source", "text"), "doc_id")
+    docs = written(spread.where(F.length("text") > 1).select("lang", "source", F.array_distinct(pairs).alias("pairs")), "pairs")
     sketches = written(stats.distinct_sketches(docs, F.col("pairs"), ["lang", "source"]), "sketches")
     found = stats.approximate_distinct(sketches, ["lang"])
-    exact = docs.select("lang", F.explode(F.array_distinct("pairs")).alias("p")).groupBy("lang").agg(F.countDistinct("p").alias("exact"))
+    exact = docs.select("lang", F.explode("pairs").alias("p")).groupBy("lang").agg(F.countDistinct("p").alias("exact"))
     near = F.abs(F.col("distinct_ids") - F.col("exact")) <= F.col("exact") * stats.SKETCH_ERROR
     return found.join(exact, "lang").select("lang", "exact", near.alias("within_error"))
 
