@@ -13,3 +13,28 @@ def test_distinct_pairs_of_a_long_text_take_linear_time(spark, tmp_path):
     got = {r.lang: (r.exact, r.within_error) for r in corpus.approximate_distinct(spark, str(tmp_path)).collect()}
     assert got == {"en": (len({*zip(text, text[1:]), ("a", "b")}), True), "de": (1, True)}
     assert time.time() - began < 30
+
+
+def test_documents_keep_their_order_in_text_files(spark, tmp_path, monkeypatch, request):
+    """The writer sorts by folders; the order of documents within a file was lost."""
+    rows = [(i, "ab"[i % 5 > 0], None if i % 97 == 0 else f"{i} é\r\n" * (i % 90)) for i in range(6_000)]
+    (spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    monkeypatch.setattr(corpus, "FILE_BYTES", 1 << 17)
+
+    def files(rows):
+        found, start = {}, 0
+        for _, _, text in rows:
+            found[start >> 17] = found.get(start >> 17, "") + (text or "").replace("\r\n", "\n") + "\n"
+            start += len((text or "").encode()) + 1
+        return found
+
+    # Small tables would end in one task, where the order stays by chance.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    got = {r.file: r.text_md5 for r in corpus.read_text_files(spark, str(tmp_path)).collect()}
+    assert got == {f: hashlib.md5(t.encode()).hexdigest() for f, t in files(rows).items()}
+    stream = "".join(t for lang in "ab" for _, t in sorted(files([r for r in rows if r[1] == lang]).items())).encode()
+    chunks = {r.chunk_id: r.ids_md5 for r in corpus.prepare_text_files(spark, str(tmp_path)).collect()}
+    want = [stream[i:i + corpus.CHUNK] for i in range(0, len(stream), corpus.CHUNK)]
+    assert chunks == {i: hashlib.md5(",".join(map(str, w)).encode()).hexdigest() for i, w in enumerate(want)}

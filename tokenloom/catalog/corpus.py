@@ -56,19 +56,15 @@ def read_split(spark, sf):
 def _text_files(spark: SparkSession, sf: str, group: list[str], path: str) -> None:
     """Documents in order as text files of ``FILE_BYTES`` below folders named by group and number.
 
-    Files within an order bucket are written where the offsets were made; only those that
-    straddle a bucket border are shuffled once more.
+    A file is one row when it is written. Its documents are ordered in that row, because the
+    writer sorts rows by its folders and keeps no other order.
     """
-    docs = documents(spark, sf).select("doc_id", *group, "text")
-    sized = docs.withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1)
-    placed = (layout.global_offsets(sized, ["doc_id"], "n", group=group, keep_bucket=True)
-              .withColumn("file", F.expr(f"start div {FILE_BYTES}")))
-    inner = (F.col("file") * FILE_BYTES >= F.col("start_lo")) & ((F.col("file") + 1) * FILE_BYTES <= F.col("start_hi"))
-    columns = [*group, "file", "doc_id", "text"]
-    inside = placed.where(inner).select(columns)
-    border = placed.where(~inner).select(columns).repartition(*group, "file")
-    (inside.unionByName(border).sortWithinPartitions(*group, "file", "doc_id").withColumn("file", F.format_string("%09d", "file"))
-     .select(*group, "file", "text").write.partitionBy(*group, "file").text(path))
+    docs = documents(spark, sf).select("doc_id", *group, F.coalesce("text", F.lit("")).alias("text"))
+    sized = docs.withColumn("n", F.octet_length("text").cast("bigint") + 1)
+    placed = layout.global_offsets(sized, ["doc_id"], "n", group=group).withColumn("file", F.expr(f"start div {FILE_BYTES}"))
+    lines = F.sort_array(F.collect_list(F.struct("start", "text")))["text"]
+    (placed.groupBy(*group, "file").agg(F.array_join(lines, "\n").alias("text"))
+     .withColumn("file", F.format_string("%09d", "file")).write.partitionBy(*group, "file").text(path))
 
 
 def read_text_files(spark, sf):
