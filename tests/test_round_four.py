@@ -1,7 +1,14 @@
 import hashlib
+import random
 import time
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from tokenloom.catalog import corpus
+from tokenloom.functions import codecs
+from tokenloom.operators import ngrams
 
 
 def test_distinct_pairs_of_a_long_text_take_linear_time(spark, tmp_path):
@@ -38,3 +45,36 @@ def test_documents_keep_their_order_in_text_files(spark, tmp_path, monkeypatch,
     chunks = {r.chunk_id: r.ids_md5 for r in corpus.prepare_text_files(spark, str(tmp_path)).collect()}
     want = [stream[i:i + corpus.CHUNK] for i in range(0, len(stream), corpus.CHUNK)]
     assert chunks == {i: hashlib.md5(",".join(map(str, w)).encode()).hexdigest() for i, w in enumerate(want)}
+
+
+def test_memory_of_ngrams_does_not_follow_the_batch():
+    """Numbers and rows of all n-grams of a batch took dozens of times its text."""
+    values = pa.array(["ab" * 4_000_000, None, "", "cd" * 4_000_000])
+    tracemalloc.start()
+    try:
+        found = sum(len(codes) for codes, _ in ngrams._codes(values, 2, 256))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 2 * (8_000_000 - 1) and peak < 80 << 20
+
+
+def test_parts_of_a_batch_give_what_the_batch_gives(monkeypatch):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abé 1.\n") for _ in range(rnd.choice([0, 1, 2, 30, 700]))) for _ in range(200)] + [None]
+    text, lists = pa.array([None, *texts])[1:], pa.array([None, *[t and list(t.encode()) for t in texts]], pa.list_(pa.int32()))[1:]
+    want = [(code, i) for i, t in enumerate(texts) for code in
+            [a * 65536 + b * 256 + c for a, b, c in zip(*[(t or "").encode()[j:] for j in range(3)])]]
+    table = codecs._Pieces({bytes([b]): b for b in range(256)} | {b"ab": 256, b" a": 257}, codecs.GPT2_PATTERN)
+    sizes, ids = table.batch(texts)
+    for part in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(codecs, "PART", part)
+        monkeypatch.setattr(ngrams, "PART", part)
+        monkeypatch.setattr(codecs._Pieces, "RUN", max(part // 4, 1))
+        for values in (text, lists):
+            assert [(int(c), int(r)) for cs, rs in ngrams._codes(values, 3, 256) for c, r in zip(cs, rs)] == want
+            runs = list(codecs.row_parts(values))
+            assert [x for run in runs for x in run.to_pylist()] == values.to_pylist()
+            assert all(len(run) == 1 or sum(len(x.encode() if isinstance(x, str) else x) for x in run.to_pylist() if x) <= part for run in runs)
+        got = [table.batch(run.to_pylist()) for run in codecs.row_parts(text)]
+        assert np.array_equal(np.concatenate([g[0] for g in got]), sizes) and np.array_equal(np.concatenate([g[1] for g in got]), ids)

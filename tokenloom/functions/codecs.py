@@ -6,10 +6,12 @@ import base64
 import hashlib
 import heapq
 import itertools
-from collections.abc import Iterable, Mapping, Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
@@ -20,6 +22,20 @@ TOKENIZER_LABELS = {"bpe": "tiktoken_gpt2", "byte": "byte_level"}
 LABEL_WIDTH = 20
 GPT2_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY = 1_000_000
+#: Bytes of text, or ids, that a function works on at a time, however many a batch holds.
+PART = 1 << 20
+
+
+def row_parts(values: pa.Array) -> Iterator[pa.Array]:
+    """A batch of texts or lists in runs of rows of up to ``PART`` bytes or ids; a longer row is a run of its own."""
+    sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(values):
+        limit = (ends[at - 1] if at else 0) + PART
+        stop = max(int(np.searchsorted(ends, limit, "right")), at + 1)
+        yield values.slice(at, stop - at)
+        at = stop
 
 
 def encode_bytes(text: Column | str, vocab_size: int = 256) -> Column:
@@ -147,7 +163,15 @@ def encode_bpe(spark: SparkSession, text: Column | str, ranks: Mapping[bytes, in
     digest = hashlib.sha256(repr((pattern, sorted(checked.items()))).encode()).hexdigest()
 
     def encode(texts: pa.Array) -> pa.Array:
-        sizes, ids = _pieces(digest, shared, pattern).batch(texts.to_pylist())
+        table = _pieces(digest, shared, pattern)
+        done = deque(table.batch(run.to_pylist()) for run in row_parts(texts))
+        sizes = np.concatenate([s for s, _ in done]) if done else np.empty(0, np.int32)
+        ids, at = np.empty(int(sizes.sum()), np.int32), 0
+        while done:
+            # Each run is freed as it is copied, so that the ids are held once.
+            run = done.popleft()[1]
+            ids[at:at + len(run)] = run
+            at += len(run)
         if len(ids) > np.iinfo(np.int32).max:
             raise ValueError("a batch has too many ids; lower spark.sql.execution.arrow.maxBytesPerBatch")
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -165,11 +189,13 @@ class _Pieces:
     """Splits texts by the pattern and merges each distinct piece once.
 
     Merged pieces are numbered, and their ids lie one after the other in one array, from
-    which a batch takes the ids of all its pieces at once. The table is emptied before a
-    batch that finds it full.
+    which a run of pieces takes its ids at once. The table is emptied before a run that finds it
+    full, of pieces or of ids.
     """
 
-    LIMIT = 500_000
+    LIMIT, MOST_IDS = 500_000, 4_000_000
+    #: Pieces of one run; longer texts are encoded run by run.
+    RUN = 200_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
@@ -192,18 +218,25 @@ class _Pieces:
             self.start[at], self.length[at] = self.used, len(merged)
             self.used, self.number[piece] = end, at
 
-    def batch(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of every text, and all ids."""
-        if len(self.number) >= self.LIMIT:
+    def _ids(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids up to every piece, and all ids."""
+        if len(self.number) >= self.LIMIT or self.used >= self.MOST_IDS:
             self._empty()
-        found = [[] if t is None else self.split.findall(t) for t in texts]
-        pieces = list(itertools.chain.from_iterable(found))
         self._learn(dict.fromkeys(p for p in pieces if p not in self.number))
         numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         lengths = self.length[numbers]
         upto = np.cumsum(lengths)
         total = int(upto[-1]) if len(upto) else 0
-        ids = self.ids[np.repeat(self.start[numbers] - upto + lengths, lengths) + np.arange(total)]
+        return upto, self.ids[np.repeat(self.start[numbers] - upto + lengths, lengths) + np.arange(total)]
+
+    def batch(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of every text, and all ids."""
+        if len(texts) == 1 and texts[0] is not None and len(texts[0]) > PART // 4:
+            found = (m.group() for m in self.split.finditer(texts[0]))
+            ids = np.concatenate([self._ids(run)[1] for run in iter(lambda: list(itertools.islice(found, self.RUN)), [])])
+            return np.array([len(ids)]), ids
+        found = [[] if t is None else self.split.findall(t) for t in texts]
+        upto, ids = self._ids(list(itertools.chain.from_iterable(found)))
         stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         return np.diff(np.concatenate([[0], upto])[stops], prepend=0), ids
 
@@ -257,7 +290,7 @@ def decode_bpe(spark: SparkSession, ids: Column | str, ranks: Mapping[bytes, int
     shared = spark.sparkContext.broadcast(
         pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary()))
 
-    def decode(batch: pa.Array) -> pa.Array:
+    def decode_run(batch: pa.Array) -> pa.Array:
         flat = batch.flatten().to_numpy(zero_copy_only=False)
         table = shared.value
         inside = not len(flat) or (flat.min() >= 0 and flat.max() < len(table))
@@ -269,6 +302,9 @@ def decode_bpe(spark: SparkSession, ids: Column | str, ranks: Mapping[bytes, int
         at = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)
         return _utf8_rows(batch, tokens.buffers()[2], at[_row_bounds(batch)])
 
+    def decode(batch: pa.Array) -> pa.Array:
+        return pa.concat_arrays([decode_run(run) for run in row_parts(batch)] or [pa.array([], pa.string())])
+
     return F.arrow_udf(decode, "string")(ids)
 
 

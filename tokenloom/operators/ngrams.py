@@ -10,35 +10,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.functions.codecs import PART, row_parts
 from tokenloom.plans.joins import BROADCAST_ROWS, fits, lookup_join
 
 DENSE_CODES = 1 << 20
 
 
-def _codes(values: pa.Array, n: int, vocab: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of a batch that stay inside one row: their numbers and their rows.
+def _codes(values: pa.Array, n: int, vocab: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """n-grams of a batch that stay inside one row: their numbers and their rows, up to ``PART`` at a time.
 
     An n-gram is the base-``vocab`` number of its ids; the last digit is the target.
     """
-    if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
+    is_text = pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
+    if is_text:
         raw = values.cast(pa.large_binary())
         bounds = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
         data = raw.buffers()[2]
         flat = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data else np.empty(0, np.uint8)
-        flat = np.minimum(flat, vocab - 1)
-        sizes = np.diff(bounds)
+        ends = bounds[1:] - bounds[0]
     else:
         flat = values.flatten().to_numpy(zero_copy_only=False)
-        sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    span = len(flat) - n + 1
-    if span <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    code = np.zeros(span, np.int64)
-    for j in range(n):
-        code = code * vocab + flat[j:j + span]
-    inside = rows[:span] == rows[n - 1:]
-    return code[inside], rows[:span][inside]
+        ends = np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    for begin in range(0, len(flat) - n + 1, PART):
+        span = min(PART, len(flat) - n + 1 - begin)
+        ids = flat[begin:begin + span + n - 1]
+        ids = np.minimum(ids, vocab - 1) if is_text else ids
+        # The rows that these ids lie in; ids of one row have the same number.
+        first, last = np.searchsorted(ends, [begin, begin + len(ids) - 1], "right")
+        inner = np.clip(ends[first:last + 1] - begin, 0, len(ids))
+        rows = np.repeat(np.arange(first, last + 1), np.diff(inner, prepend=0))
+        code = np.zeros(span, np.int64)
+        for j in range(n):
+            code = code * vocab + ids[j:j + span]
+        inside = rows[:span] == rows[n - 1:]
+        yield code[inside], rows[:span][inside]
 
 
 def _check(n: int, vocab: int) -> None:
@@ -49,17 +54,18 @@ def _check(n: int, vocab: int) -> None:
 def fit_ngrams(df: DataFrame, column: str, n: int = 2, vocab: int = 256) -> DataFrame:
     """Counts ``(context, token_id, n)`` of each id after each ``n - 1`` ids.
 
-    Every task counts its Arrow batches before anything is shuffled. ``column`` is an
+    Every task counts its Arrow batches, a part at a time, before anything is shuffled. ``column`` is an
     array of ids, or a text read as byte-level ids.
     """
     _check(n, vocab)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, times = np.unique(_codes(batch.column(0), n, vocab)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seen // vocab), pa.array((seen % vocab).astype(np.int32)), pa.array(times)],
-                ["context", "token_id", "n"])
+            for codes, _ in _codes(batch.column(0), n, vocab):
+                seen, times = np.unique(codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seen // vocab), pa.array((seen % vocab).astype(np.int32)), pa.array(times)],
+                    ["context", "token_id", "n"])
 
     partial = df.select(column).mapInArrow(count, "context bigint, token_id int, n bigint")
     return partial.groupBy("context", "token_id").agg(F.sum("n").alias("n"))
@@ -71,19 +77,29 @@ def row_ngrams(df: DataFrame, key: str, column: str, n: int = 2, vocab: int = 25
     schema = T.StructType([df.schema[key], *T.StructType.fromDDL(
         "context bigint, token_id int, n bigint").fields])
 
+    def counted(keys: pa.Array, run: pa.Array) -> Iterator[pa.RecordBatch]:
+        found = list(_codes(run, n, vocab))
+        if not found:
+            return
+        codes, rows = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.lexsort((codes, rows))
+        codes, rows = codes[order], rows[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(codes)))
+        yield pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(rows[at])), pa.array(codes[at] // vocab),
+             pa.array((codes[at] % vocab).astype(np.int32)), pa.array(times)],
+            [key, "context", "token_id", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, rows = _codes(batch.column(1), n, vocab)
-            order = np.lexsort((codes, rows))
-            codes, rows = codes[order], rows[order]
-            new = np.ones(len(codes), bool)
-            new[1:] = (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(codes)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows[at])), pa.array(codes[at] // vocab),
-                 pa.array((codes[at] % vocab).astype(np.int32)), pa.array(times)],
-                [key, "context", "token_id", "n"])
+            at = 0
+            # Whole rows at a time, so that a row has each of its n-grams once.
+            for run in row_parts(batch.column(1)):
+                yield from counted(batch.column(0).slice(at, len(run)), run)
+                at += len(run)
 
     return df.select(key, column).mapInArrow(count, schema)
 
@@ -141,12 +157,13 @@ def _scored_in_tasks(df: DataFrame, key: str, column: str, counts: DataFrame, n:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = losses(np.arange(vocab ** n)) if dense else None
         for batch in batches:
-            wanted, rows = _codes(batch.column(1), n, vocab)
-            pairs = np.bincount(rows, minlength=len(batch))
-            nll = np.bincount(rows, weights=table[wanted] if dense else losses(wanted), minlength=len(batch))
+            pairs, nll = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            for wanted, rows in _codes(batch.column(1), n, vocab):
+                pairs += np.bincount(rows, minlength=len(batch))
+                nll += np.bincount(rows, weights=table[wanted] if dense else losses(wanted), minlength=len(batch))
             kept = np.flatnonzero(pairs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept)), pa.array(pairs[kept].astype(np.int64)),
+                [batch.column(0).take(pa.array(kept)), pa.array(pairs[kept]),
                  pa.array(nll[kept] / pairs[kept])], [key, "n_pairs", "loss"])
 
     return df.select(key, column).mapInArrow(score, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.codecs import token_label
+from tokenloom.functions.codecs import PART, token_label
 from tokenloom.plans.joins import lookup_join
 
 
@@ -41,12 +41,10 @@ def token_counts(df: DataFrame, column: str, vocab_size: int = 256) -> DataFrame
         totals = np.zeros(0, np.int64)
         for batch in batches:
             values = batch.column(0)
-            if is_text:
-                ids = np.minimum(_octets(values), vocab_size - 1)
-            else:
-                ids = values.flatten().to_numpy(zero_copy_only=False)
-            if len(ids):
-                found = np.bincount(ids)
+            flat = _octets(values) if is_text else values.flatten().to_numpy(zero_copy_only=False)
+            for at in range(0, len(flat), PART):
+                ids = flat[at:at + PART]
+                found = np.bincount(np.minimum(ids, vocab_size - 1) if is_text else ids)
                 width = max(len(found), len(totals))
                 totals = np.pad(totals, (0, width - len(totals)))
                 totals[:len(found)] += found
