@@ -30,8 +30,8 @@ class StopRule:
 
 def rolling_loss(points: DataFrame, width: int, size: int = SEGMENT_ROWS) -> DataFrame:
     """Mean of the last ``width`` logged losses, null until that many exist."""
-    laid = reach_windows(points.select("run", "iteration", "loss"), ["run"], ["iteration"],
-                         before=width - 1, size=size)
+    stored = written(points.select("run", "iteration", "loss"), "points")
+    laid = reach_windows(stored, ["run"], ["iteration"], before=width - 1, size=size)
     return own_rows(_with_mean(laid, width)).select("run", "iteration", "loss", "recent_avg")
 
 
@@ -47,8 +47,9 @@ def evaluations(points: DataFrame, rule: StopRule = StopRule(), size: int = SEGM
 
     A checkpoint that falls between two logged points uses the losses logged before it.
     """
-    laid = reach_windows(points.select("run", "iteration", "loss"), ["run"], ["iteration"],
-                         before=rule.patience - 1, after=1, size=size)
+    # Stored, because counting, numbering and the window each read the points, whatever made them.
+    stored = written(points.select("run", "iteration", "loss"), "points")
+    laid = reach_windows(stored, ["run"], ["iteration"], before=rule.patience - 1, after=1, size=size)
     following = F.lead("iteration").over(Window.partitionBy(*reach_partition(["run"])).orderBy("iteration"))
     each = F.lit(rule.checkpoint_interval).cast("bigint")
     rows = (own_rows(_with_mean(laid, rule.patience).withColumn("_next", following))

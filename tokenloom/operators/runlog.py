@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.numeric import format_duration, perplexity
 from tokenloom.plans.ordered import SEGMENT_ROWS, own_rows, reach_partition, reach_windows
+from tokenloom.session import written
 
 # What the trainer prints, what the monitor looks for, and the glyphs and
 # window lengths of the monitor.
@@ -118,8 +119,9 @@ def current_status(points: DataFrame, order: str = "line_no") -> DataFrame:
 
 def loss_change(points: DataFrame, order: str = "line_no", size: int = SEGMENT_ROWS) -> DataFrame:
     """Difference to the previous point; the trend is up only for a positive difference."""
-    laid = reach_windows(points.select("run", order, "iteration", "loss"), ["run"], [order],
-                         before=1, size=size)
+    # Stored, because counting, numbering and the window each read the points, whatever made them.
+    stored = written(points.select(*dict.fromkeys(["run", order, "iteration", "loss"])), "points")
+    laid = reach_windows(stored, ["run"], [order], before=1, size=size)
     previous = F.lag("loss").over(Window.partitionBy(*reach_partition(["run"])).orderBy(order))
     changed = own_rows(laid.withColumn("change", F.col("loss") - previous))
     return (changed.where(F.col("change").isNotNull())
