@@ -5,10 +5,11 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tokenloom.catalog import corpus
 from tokenloom.functions import codecs
-from tokenloom.operators import ngrams
+from tokenloom.operators import early_stop, ngrams, runlog
 
 
 def test_distinct_pairs_of_a_long_text_take_linear_time(spark, tmp_path):
@@ -78,3 +79,14 @@ def test_parts_of_a_batch_give_what_the_batch_gives(monkeypatch):
             assert all(len(run) == 1 or sum(len(x.encode() if isinstance(x, str) else x) for x in run.to_pylist() if x) <= part for run in runs)
         got = [table.batch(run.to_pylist()) for run in codecs.row_parts(text)]
         assert np.array_equal(np.concatenate([g[0] for g in got]), sizes) and np.array_equal(np.concatenate([g[1] for g in got]), ids)
+
+
+def test_points_are_made_once(spark):
+    """Counting, numbering and the window each made them anew; now all read the stored ones."""
+    points = spark.range(300).select(F.lit("r").alias("run"), F.col("id").alias("line_no"), (F.col("id") * 500).alias("iteration"),
+                                     (F.col("id") * F.col("id")).cast("double").alias("loss"))
+    changes = runlog.loss_change(points, size=100)
+    assert {r.line_no: r.change for r in changes.collect()} == {i: 2.0 * i - 1 for i in range(1, 300)}
+    found = early_stop.evaluations(points, size=100)
+    assert len(found.collect()) == 291
+    assert all(df.inputFiles() and all("/points-" in f for f in df.inputFiles()) for df in (changes, found))
