@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tokenloom.catalog import corpus
 from tokenloom.functions import codecs
-from tokenloom.operators import early_stop, ngrams, runlog
+from tokenloom.operators import early_stop, layout, ngrams, runlog
+from tokenloom.sources import datasets
 
 
 def test_distinct_pairs_of_a_long_text_take_linear_time(spark, tmp_path):
@@ -90,3 +91,39 @@ def test_points_are_made_once(spark):
     found = early_stop.evaluations(points, size=100)
     assert len(found.collect()) == 291
     assert all(df.inputFiles() and all("/points-" in f for f in df.inputFiles()) for df in (changes, found))
+
+
+def test_a_long_document_is_cut_in_linear_time(spark):
+    """Each of its chunks copied the whole document: 16 MB took 32,768 copies of 16 MB."""
+    text = "".join(chr(97 + i * i % 23) for i in range(1 << 20)) * 16
+    docs = spark.createDataFrame([(1, "xé"), (2, text), (3, None), (4, "y")], "doc_id long, text string")
+    began = time.time()
+    got = {r.chunk_id: bytes(r.octets) for r in layout.octet_chunks(docs, 512, ["doc_id"]).collect()}
+    stream = f"xé{text}y".encode()
+    assert got == {i // 512: stream[i:i + 512] for i in range(0, len(stream), 512)}
+    assert time.time() - began < 25
+
+
+def test_chunks_are_made_once_and_stored_in_order(spark, tmp_path):
+    """A sample of the chunk numbers made all chunks, and their ids, a second time."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def seen(octets):
+        made.add(1)
+        return octets
+
+    chunks = spark.range(1000).repartition(3).select(
+        "id", seen(F.encode(F.format_string("%08d", "id"), "UTF-8")).alias("octets")).withColumnRenamed("id", "chunk_id")
+    docs = spark.createDataFrame([(8000 - 3, "x")], "n long, text string")
+    meta = datasets.dataset_metadata(docs, F.col("n"), "numbers", kind="byte")
+    datasets.write_token_dataset(chunks, meta, str(tmp_path / "c"), chunk_size=8, ids=codecs.encode_bytes("octets"))
+    assert made.value == 1000
+    back, noted = datasets.read_token_dataset(spark, str(tmp_path / "c"))
+    assert (noted.first()["total_tokens"], noted.first()["chunk_size"]) == (7997, 8)
+    files = {}
+    for r in back.select("*", F.input_file_name().alias("f")).collect():
+        assert bytes(r.ids) == b"%08d" % r.chunk_id and r.n == 8
+        files.setdefault(r.f, []).append(r.chunk_id)
+    parts = sorted(files.values())
+    assert len(parts) == 4 and [i for p in parts for i in p] == list(range(1000))

@@ -99,7 +99,7 @@ def prepared_file_metadata(spark, sf):
 def token_dataset(spark, sf):
     path = scratch_path(spark, "tokens")
     meta = datasets.dataset_metadata(documents(spark, sf), F.octet_length("text"), "documents", kind="byte")
-    datasets.write_token_dataset(_chunks(spark, sf), meta, path, chunk_size=CHUNK)
+    datasets.write_token_dataset(_octets(spark, sf), meta, path, chunk_size=CHUNK, ids=codecs.encode_bytes("octets"))
     chunks, meta = datasets.read_token_dataset(spark, path)
     datasets.stored_chunk_size(chunks, meta)
     return chunks.select("chunk_id", F.size("ids").alias("n"), md5_ids("ids").alias("ids_md5"))

@@ -74,18 +74,20 @@ def _fragments(placed: DataFrame, size: int, column: str, binary: bool,
     start, n = F.col("_at"), F.col("_n")
     take = F.substring if binary else F.slice
 
-    def cut(chunk: Column) -> Column:
+    def cut(chunk: Column, whole: Column) -> Column:
         begin = F.greatest(chunk * size - start, F.lit(0))
         end = F.least((chunk + 1) * size - start, n)
-        piece = take(F.col(column), (begin + 1).cast("int"), (end - begin).cast("int"))
+        piece = take(whole, (begin + 1).cast("int"), (end - begin).cast("int"))
         return F.struct(chunk.alias("chunk_id"),
                         F.struct((start + begin - chunk * size).cast("int").alias("off"),
                                  piece.alias("piece")).alias("part"))
 
     # The pieces are cut before the explode, which would otherwise copy the whole
-    # document into each of its rows.
+    # document into each of its rows. As an array's element the document is read from its row
+    # once; as a column it would be copied for each piece, in time with the square of its length.
     chunks = F.filter(F.sequence("_first", "_last"), wanted)
-    pieces = placed.select(BUCKET, F.explode(F.transform(chunks, cut)).alias("f"))
+    cuts = F.flatten(F.transform(F.array(column), lambda whole: F.transform(chunks, lambda c: cut(c, whole))))
+    pieces = placed.select(BUCKET, F.explode(cuts).alias("f"))
     return pieces.select(BUCKET, "f.chunk_id", "f.part")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.codecs import tokenizer_label
+from tokenloom.session import written
 
 
 #: Row groups of stored chunks: what a reader of one window reads at least.
@@ -34,22 +35,33 @@ def file_metadata(files: DataFrame, n_tokens: Column, vocab_size: int = 50257,
 
 
 def write_file_metadata(metadata: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The five-field form of a corpus of text files: one JSON line per file, in order of the files."""
-    metadata.repartitionByRange("source_file").sortWithinPartitions("source_file").write.mode(mode).option(
+    """The five-field form of a corpus of text files: one JSON line per file, in order of the files.
+
+    The rows are stored before they are ordered, which would make them a second time for its sample.
+    """
+    written(metadata, "file-metadata").repartitionByRange("source_file").sortWithinPartitions("source_file").write.mode(mode).option(
         "ignoreNullFields", False).json(f"{path}/files")
 
 
 def write_token_dataset(chunks: DataFrame, metadata: DataFrame | None, path: str,
-                        mode: str = "errorifexists", chunk_size: int | None = None) -> None:
+                        mode: str = "errorifexists", chunk_size: int | None = None, ids: Column | None = None) -> None:
     """Chunk table as Parquet, metadata as readable JSON next to it.
 
     Chunks are stored in order of their number, so that readers of a few windows skip most
     of them, with their number of tokens ``n`` beside the ids, so that sizes are known without
-    reading these. ``chunk_size`` becomes part of the metadata.
+    reading these. ``chunk_size`` becomes part of the metadata. With it and the metadata's number of
+    tokens the place of a chunk is known; otherwise the chunks are made a second time for a sample.
+    ``ids`` makes the ids of chunks that hold something smaller, as bytes, once they are in order.
     """
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").withColumn("n", F.size("ids"))
-     .write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/tokens"))
+    metadata = None if metadata is None else written(metadata, "metadata")
+    if metadata is not None and chunk_size is not None:
+        last = max(metadata.first()["total_tokens"] - 1, 0) // chunk_size
+        dealt = chunks.repartitionById(parts, F.expr(f"cast(least(chunk_id * {parts} div {last + 1}, {parts - 1}) as int)"))
+    else:
+        dealt = chunks.repartitionByRange(parts, "chunk_id")
+    (dealt.sortWithinPartitions("chunk_id").select("chunk_id", (F.col("ids") if ids is None else ids).alias("ids"))
+     .withColumn("n", F.size("ids")).write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/tokens"))
     if metadata is not None:
         if chunk_size is not None:
             metadata = metadata.withColumn("chunk_size", F.lit(chunk_size))

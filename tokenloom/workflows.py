@@ -36,13 +36,14 @@ def prepare(records: DataFrame, key: Sequence[str], path: str, name: str, config
     if max_size is not None or max_samples:
         # The layout and the metadata both read the selection, so it is made once.
         docs = written(docs, "selected")
+    ids = None
     if kind == "byte" and eos_id is None:
-        chunks, n_tokens = layout.byte_chunks(docs, chunk_size, key, vocab_size=vocab_size), F.octet_length("text")
+        chunks, n_tokens, ids = layout.octet_chunks(docs, chunk_size, key), F.octet_length("text"), encode_bytes("octets", vocab_size)
     else:
         docs = _tokenized(spark, docs, vocab_size, ranks, eos_id)
         chunks, n_tokens = layout.chunk_layout(docs, chunk_size, key), F.size("ids")
     metadata = datasets.dataset_metadata(docs, n_tokens, name, config, split, vocab_size, kind)
-    datasets.write_token_dataset(chunks, metadata, path, chunk_size=chunk_size)
+    datasets.write_token_dataset(chunks, metadata, path, chunk_size=chunk_size, ids=ids)
 
 
 def prepare_files(spark: SparkSession, files: str, path: str, vocab_size: int = 256,
@@ -50,16 +51,19 @@ def prepare_files(spark: SparkSession, files: str, path: str, vocab_size: int =
                   max_chars: int | None = None) -> None:
     """Tokenize text files, lay them out in order of their paths and store them with a line of metadata each.
 
-    Bytes that are no UTF-8 become replacement characters, line ends become line feeds.
+    Bytes that are no UTF-8 become replacement characters, line ends become line feeds. The texts are
+    stored after that, because the layout and the metadata read them several times.
     """
-    docs = read_text_files(spark, files, max_chars)
+    docs, ids = read_text_files(spark, files, max_chars), None
     if ranks is None:
-        chunks, n_tokens, kind = layout.byte_chunks(docs, chunk_size, ["source_file"], vocab_size=vocab_size), F.octet_length("text"), "byte"
+        docs = written(docs, "texts")
+        chunks, n_tokens, kind = layout.octet_chunks(docs, chunk_size, ["source_file"]), F.octet_length("text"), "byte"
+        ids = encode_bytes("octets", vocab_size)
     else:
         docs = _tokenized(spark, docs, vocab_size, ranks, None)
         chunks, n_tokens, kind = layout.chunk_layout(docs, chunk_size, ["source_file"]), F.size("ids"), "bpe"
     metadata = datasets.dataset_metadata(docs, n_tokens, files, vocab_size=vocab_size, kind=kind)
-    datasets.write_token_dataset(chunks, metadata, path, chunk_size=chunk_size)
+    datasets.write_token_dataset(chunks, metadata, path, chunk_size=chunk_size, ids=ids)
     datasets.write_file_metadata(datasets.file_metadata(docs, n_tokens, vocab_size, kind), path)
 
 
