@@ -127,3 +127,20 @@ def test_chunks_are_made_once_and_stored_in_order(spark, tmp_path):
         files.setdefault(r.f, []).append(r.chunk_id)
     parts = sorted(files.values())
     assert len(parts) == 4 and [i for p in parts for i in p] == list(range(1000))
+
+
+def test_batches_of_registered_queries_are_bounded_in_bytes(spark, request):
+    """Batches were bounded in rows only: 10,000 texts and their ids were in a worker at once, whatever their length."""
+    import __spark_entry__
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    request.addfinalizer(lambda: spark.conf.set(setting, before))
+    spark.conf.set(setting, "256m")
+
+    def query(session, _):
+        texts = session.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+        return texts.select(F.arrow_udf(lambda a: pa.array([a.nbytes] * len(a)), "long")("text").alias("n"))
+
+    sizes = [r.n for r in __spark_entry__._registered(query)(spark, "").collect()]
+    assert len(sizes) == 40 and max(sizes) < 6 << 20

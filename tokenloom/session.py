@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Setting and size of an Arrow batch. By rows alone a batch, and each worker that turns it into ids, grows with the texts.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def build_session(master: str | None = None, app: str = "tokenloom", **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; ``conf`` overrides any of them."""
@@ -20,6 +23,7 @@ def build_session(master: str | None = None, app: str = "tokenloom", **conf: str
         "spark.sql.session.timeZone": "UTC",
         # One row can be a whole file, so an Arrow batch holds few of them.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        BATCH_SETTING: str(BATCH_BYTES),
         **conf,
     }
     builder = SparkSession.builder.appName(app)
