@@ -4,6 +4,7 @@ import time
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tokenloom.catalog import corpus
 from tokenloom.functions import codecs
 from tokenloom.operators import early_stop, layout, ngrams, runlog
 from tokenloom.sources import datasets
+from tokenloom.streaming import early_stop as stream_stop
 
 
 def test_distinct_pairs_of_a_long_text_take_linear_time(spark, tmp_path):
@@ -144,3 +146,77 @@ def test_batches_of_registered_queries_are_bounded_in_bytes(spark, request):
 
     sizes = [r.n for r in __spark_entry__._registered(query)(spark, "").collect()]
     assert len(sizes) == 40 and max(sizes) < 6 << 20
+
+
+class _Store:
+    """A value and a map of the state store, which count the calls to the map."""
+
+    def __init__(self):
+        self.value, self.entries, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return _Entries(self)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Entries:
+    def __init__(self, store):
+        self.store = store
+
+    def exists(self):
+        return bool(self.store.entries)
+
+    def keys(self):
+        return iter(list(self.store.entries))
+
+    def getValue(self, key):
+        self.store.calls += 1
+        return self.store.entries[key]
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.store.entries[key] = value
+
+    def removeKey(self, key):
+        self.store.calls += 1
+        del self.store.entries[key]
+
+    def clear(self):
+        self.store.entries.clear()
+
+
+def test_waiting_points_take_few_calls_to_the_state_store():
+    """Each waiting point took three calls, and every Arrow batch sorted all that waited."""
+    rnd = random.Random(4)
+    points = [(100 * (i + 1), rnd.random()) for i in range(30_000)]
+
+    def walked(turns):
+        store, found = _Store(), []
+        for turn in turns:
+            stopper = stream_stop._stopper(early_stop.StopRule(limit=10**6), stream_stop.Arrival(log_interval=100, first=100), False)
+            stopper.init(store)
+            frames = [pd.DataFrame(turn[i:i + 1000], columns=["iteration", "loss"]) for i in range(0, len(turn), 1000)]
+            found += [row for frame in stopper.handleInputRows(("a",), iter(frames), None) for row in frame.itertuples(index=False)]
+        return store, found
+
+    def plain(found):
+        return [tuple(row)[:-1] for row in found]
+
+    store, want = walked([points])
+    assert len(want) == 5_999 and store.calls == 0
+    mixed = rnd.sample(points, len(points))
+    again = mixed[15_000]
+    store, got = walked([mixed[:10_000], [*mixed[10_000:20_000], again], mixed[20_000:]])
+    assert plain(got) == plain(want)
+    assert store.calls < 60 and not store.entries and store.value[-1] == 1
