@@ -82,3 +82,29 @@ def test_one_odd_document_does_not_thin_the_rest(spark):
         kept.append(sum(r._rate for r in every if r.source != "odd") / len(rows))
     assert every[-1]._rate == 1.0 and every[-1].source == "odd"
     assert abs(kept[0] - kept[1]) < 0.005
+
+
+def test_a_mixture_takes_few_jobs(spark):
+    """Each job's plans stay in the driver's memory for a while; tempered targets need neither jobs of a margin nor joins."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"),
+                                   *[(F.col("id") % k).cast("string").alias(m) for m, k in (("a", 2), ("b", 3), ("c", 5))])
+    context = spark.sparkContext
+    context.setJobGroup("few-jobs", "mixture")
+    try:
+        mixing.mix(docs, "doc_id", {m: F.col(m) for m in "abc"}, mixing.word_count(F.col("text")), 0.9)
+        assert len(context.statusTracker().getJobIdsForGroup("few-jobs")) <= 15
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_power_makes_the_targets_of_the_found_shares(spark):
+    rows = [(s, g, (i * 37 + j * 11) % 23 + 1) for i, s in enumerate(["a", None, "c"]) for j, g in enumerate([1, 2, None, 4])]
+    cells = spark.createDataFrame([*rows, ("d", 1, 0)], "source string, lang int, tokens long")
+    tables = {}
+    for i, m in enumerate(("source", "lang")):
+        lifted = {v: sum(r[2] for r in rows if r[i] == v) ** 0.5 for v in {r[i] for r in rows}}
+        tables[m] = spark.createDataFrame([(v, x / sum(lifted.values())) for v, x in lifted.items()],
+                                          f"{m} {cells.schema[m].dataType.simpleString()}, target double")
+    got, want = ({(r.source, r.lang): r.share for r in mixing.rake(cells, wanted).collect()}
+                 for wanted in (dict.fromkeys(tables, 0.5), tables))
+    assert len(got) == 12 and got == pytest.approx(want)

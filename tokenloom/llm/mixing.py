@@ -18,7 +18,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.joins import fits
 from ..session import written
 from .words import WORD
 
@@ -50,43 +49,40 @@ def topic(text: Column) -> Column:
             .when(count >= 2000, "long").otherwise("prose"))
 
 
-def tempered_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """Targets for one margin: its found shares raised to a power below one, which lifts small ones."""
-    sums = cells.groupBy(margin).agg(F.sum("tokens").alias("found")).where("found > 0")
-    lifted = sums.select(margin, F.pow(F.col("found").cast("double"), F.lit(power)).alias("weight"))
-    total = lifted.agg(F.sum("weight")).first()[0]
-    return lifted.select(margin, (F.col("weight") / F.lit(total)).alias("target"))
-
-
 def token_cells(docs: DataFrame, margins: Mapping[str, Column], tokens: Column) -> DataFrame:
     """Documents and tokens of every combination that occurs. Null is a value of its own."""
     return (docs.select(*[c.alias(m) for m, c in margins.items()], tokens.alias("tokens"))
             .groupBy(*margins).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with ``share`` fitted to all targets. Each target table has its margin and ``target``.
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame | float], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with ``share`` fitted to all targets, for each margin a table or a power.
 
-    Targets of values without tokens are left out and the others scaled up to one; cells whose value
-    has no target get none. If targets contradict each other the last sweep stands. Every few sweeps
-    make a stored table of the cells, which are far fewer than documents.
+    A table has its margin and ``target``. A power below one makes the targets of the found shares,
+    and lifts small ones. Targets of values without tokens are left out and the others scaled up to
+    one; cells whose value has no target get none. If targets contradict each other the last sweep
+    stands. Every few sweeps make a stored table of the cells, which are far fewer than documents.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    current = written(cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(total)), "cells")
-    fitted = {}
-    for m, table in targets.items():
-        present = current.select(F.col(m).alias("_p")).distinct()
-        kept = table.join(present, F.col(m).eqNullSafe(F.col("_p")), "left_semi")
-        whole = kept.agg(F.sum("target")).first()[0]
-        fitted[m] = written(kept.select(m, (F.col("target") / F.lit(whole)).alias("target")), "targets")
-    columns = current.columns
+    filled, columns = cells.where("tokens > 0"), [*cells.columns, "share"]
+    number, total = filled.agg(F.count("*"), F.sum("tokens")).first()
+    together = number <= CELLS_OF_A_TASK
     # Goals are joined once, by a merge: a broadcast for each of many small joins adds up on the driver.
-    for i, m in enumerate(targets):
-        goal = fitted[m].select(F.col(m).alias("_value"), F.col("target").alias("_goal"))
-        current = current.join(goal.hint("merge"), F.col(m).eqNullSafe(F.col("_value")), "left").select(
-            *current.columns, F.coalesce("_goal", F.lit(0.0)).alias(f"_goal{i}"))
-    current = written(current, "cells")
-    done, together = 0, fits(current, CELLS_OF_A_TASK)
+    for i, (m, wanted) in enumerate(targets.items()):
+        if isinstance(wanted, DataFrame):
+            goal = wanted.select(F.col(m).alias("_value"), F.col("target").alias("_goal"))
+            filled = filled.join(goal.hint("merge"), F.col(m).eqNullSafe(F.col("_value")), "left").select(
+                *filled.columns, F.coalesce("_goal", F.lit(0.0)).alias(f"_goal{i}"))
+    filled = filled.coalesce(1) if together else filled
+    for i, (m, wanted) in enumerate(targets.items()):
+        filled = filled.withColumn(f"_found{i}", F.sum("tokens").over(Window.partitionBy(m)))
+        if not isinstance(wanted, DataFrame):
+            filled = filled.withColumn(f"_goal{i}", F.pow(F.col(f"_found{i}").cast("double"), F.lit(wanted)))
+    filled = written(filled, "cells")
+    # The cells of a value carry its goal together, each its part of the value's tokens.
+    whole = filled.agg(*[F.sum(F.col(f"_goal{i}") * F.col("tokens") / F.col(f"_found{i}")) for i in range(len(targets))]).first()
+    current = filled.select(*cells.columns, (F.col("tokens") / F.lit(float(total or 0))).alias("share"),
+                            *[(F.col(f"_goal{i}") / F.lit(w) if w else F.lit(0.0)).alias(f"_goal{i}") for i, w in enumerate(whole)])
+    done = 0
     while done < sweeps:
         # Some sweeps are one job; each leaves its shares and how far its sums were from the targets.
         several, swept = min(STEP, sweeps - done), current.coalesce(1) if together else current
@@ -145,7 +141,7 @@ def mix(docs: DataFrame, key: str, margins: Mapping[str, Column], tokens: Column
     if isinstance(targets, Mapping):
         wanted = {n: targets[m].select(F.col(m).alias(n), "target") for n, m in zip(names, margins)}
     else:
-        wanted = {n: tempered_targets(cells, n, targets) for n in names}
+        wanted = dict.fromkeys(names, targets)
     if spare is None:
         spare = 0.0 if isinstance(targets, Mapping) else SPARE
     rates = keep_rates(rake(cells, wanted), spare).select(*[F.col(n).alias(f"c_{n}") for n in names], "rate")
