@@ -140,3 +140,35 @@ def test_sets_of_different_sizes_meet_in_hot_lists(spark):
             if a < b and 100 * same >= 80 * (len(held[a]) + len(held[b]) - same):
                 want.add((a, b))
     assert got == want and want
+
+
+def test_groups_join_without_walking_old_links(spark, monkeypatch):
+    """Links between groups change the labels of all their members; nodes without a label take part."""
+    kind, node = "a binary, b binary", lambda x: x.encode()
+    labels = near_dedup.components(spark.createDataFrame([(node(a), node(b)) for a, b in ("fe", "ed", "dc", "mn", "no", "xy")], kind))
+    assert {(bytes(r.node), bytes(r.label)) for r in labels.collect()} == {
+        (node(a), node(b)) for a, b in ("cc", "dc", "ec", "fc", "mm", "nm", "om", "xx", "yx")}
+    walked = []
+    monkeypatch.setattr(near_dedup, "components", lambda links, run=near_dedup.components: walked.append(links.count()) or run(links))
+    more = spark.createDataFrame([(node(a), node(b)) for a, b in ("cm", "mk", "pq")], "la binary, lb binary")
+    joined = near_dedup.joined_groups(labels, more)
+    assert sort((bytes(r.node), bytes(r.label)) for r in joined.collect()) == sort(
+        (node(a), node(b)) for a, b in ("cc", "dc", "ec", "fc", "mc", "nc", "oc", "kc", "xx", "yx", "pp", "qp"))
+    assert walked == [3]
+
+
+def test_few_tables_are_read_at_once(spark, monkeypatch):
+    """Every table and shuffle that starts with a job takes memory of the driver."""
+    read = []
+
+    def stored(df, *where):
+        read.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return run(df, *where)
+
+    run = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", stored)
+    monkeypatch.setattr(near_dedup, "LIST", 3)
+    draw = random.Random(6)
+    texts = family(draw, [f"b{i}" for i in range(70)], 40, 8) + family(draw, [f"c{i}" for i in range(40)], 20, 6)
+    near_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    assert max(read) <= 6

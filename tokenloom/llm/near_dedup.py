@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
+from ..session import scratch_path, written, written_to
 from .words import shingle_set, small_batches
 
 SKETCH = 48
@@ -158,7 +158,7 @@ def remaining_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFr
 
     Of two sets that link, the smaller one (n shingles) shares at least ``2t / (1 + t) * n`` of them,
     so they first meet within its index prefix. Sizes differ by a factor of at most ``1 / t``, so they
-    are in one block of a logarithmic scale or in neighbouring ones.
+    are in one block of a logarithmic scale or in neighbouring ones. ``la`` and ``lb`` are the two groups.
     """
     grouped = (lists.join(labels.hint("merge"), lists["cls"] == labels["node"], "left")
                .select("cls", "n", "place", "list", F.coalesce("label", "cls").alias("label")))
@@ -169,19 +169,18 @@ def remaining_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFr
     block = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9)))
     mixed = written(grouped.join(main.hint("merge"), "list").select(
         "list", "cls", "n", "place", "label", (F.col("label") == F.col("main")).alias("in_main"), block.alias("block")), "mixed")
+    # Members of the main group meet the others only, the others meet both.
+    sides = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     index = mixed.where(F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)).select(
-        "list", "block", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"),
-        F.col("label").alias("la"), F.col("in_main").alias("ma"))
-    probe = mixed.select("list", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), F.col("cls").alias("b"),
-                         F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("label").alias("lb"), F.col("in_main").alias("mb"))
-
-    def met(i: DataFrame, p: DataFrame) -> DataFrame:
-        # A shuffle in any case: no side is collected, and a hot list is split by adaptive execution.
-        return (i.join(p.hint("merge"), ["list", "block"])
-                .where((F.col("na") <= F.col("nb")) & (F.col("la") != F.col("lb")) & _meet_early("na", "ia", "nb", "ib", percent))
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-
-    return met(index.where("NOT ma"), probe).unionAll(met(index.where("ma"), probe.where("NOT mb"))).distinct()
+        "list", "block", F.explode(sides).alias("side"), F.col("cls").alias("a"), F.col("n").alias("na"),
+        F.col("place").alias("ia"), F.col("label").alias("la"))
+    probe = mixed.select("list", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), F.col("in_main").alias("side"),
+                         F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("label").alias("lb"))
+    # A shuffle in any case: no side is collected, and a hot list is split by adaptive execution.
+    return (index.join(probe.hint("merge"), ["list", "block", "side"])
+            .where((F.col("na") <= F.col("nb")) & (F.col("la") != F.col("lb")) & _meet_early("na", "ia", "nb", "ib", percent))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                    F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct())
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,8 +195,11 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidates with the estimate of their union sketch, without those far below the threshold."""
-    share = percent / 100
+    """Candidates with the estimate of their union sketch, without those far below the threshold.
+
+    Further columns of ``pairs`` stay.
+    """
+    share, width = percent / 100, len(pairs.columns)
     least = share - DEVIATIONS * math.sqrt(share * (1 - share) / SKETCH)
 
     def padded(column: pa.ListArray) -> np.ndarray:
@@ -208,14 +210,14 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = estimates(padded(batch.column(2)), padded(batch.column(3)))
-            kept = batch.select([0, 1]).append_column("estimate", pa.array(found))
+            found = estimates(padded(batch.column(width)), padded(batch.column(width + 1)))
+            kept = batch.select(range(width)).append_column("estimate", pa.array(found))
             yield kept.filter(pa.array(found >= least))
 
     left = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a binary, b binary, estimate double")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(*pairs.columns, "sa", "sb")
+    return both.mapInArrow(run, T.StructType([*both.schema.fields[:width], T.StructField("estimate", T.DoubleType())]))
 
 
 def full_sets(docs: DataFrame, key: str, text: str, size: int, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -236,7 +238,9 @@ def full_sets(docs: DataFrame, key: str, text: str, size: int, classes: DataFram
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
+    """Pairs whose full sets reach the similarity. Further columns of ``pairs`` stay."""
+    width = len(pairs.columns)
+
     def linked(x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         same = len(np.intersect1d(a, b, assume_unique=True))
@@ -244,34 +248,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
+            found = [linked(x, y) for x, y in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())]
+            yield batch.select(range(width)).filter(pa.array(found, pa.bool_()))
 
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a binary, b binary")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(*pairs.columns, "sa", "sb")
+    return both.mapInArrow(run, T.StructType(both.schema.fields[:width]))
 
 
 def components(links: DataFrame) -> DataFrame:
     """The smallest node reachable from every linked node.
 
     Every round takes the smallest label around a node and then the label's own label, so the
-    rounds grow with the logarithm of the longest chain. Each round is a stored table.
+    rounds grow with the logarithm of the longest chain. Each round is a stored table. An edge of
+    every node to itself brings its own label to it, so a round reads the edges and the labels once.
     """
-    edges = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(
-        links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    ends = F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x in "ab" for y in "ab"])
+    edges = written(links.select(F.inline(ends)).distinct(), "edges")
+    labels = written(edges.groupBy("node").agg(F.min("other").alias("label")), "labels")
     while True:
-        around = (edges.join(labels.select(F.col("node").alias("other"), "label").hint("merge"), "other")
-                  .groupBy("node").agg(F.min("label").alias("near")))
-        nearer = labels.join(around.hint("merge"), "node").select("node", "label", F.least("label", "near").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("label").alias("next"))
-        labels = written(nearer.join(jump.hint("merge"), "near").select(
-            "node", F.least("near", "next").alias("label"), (F.least("near", "next") != F.col("label")).alias("moved")),
-            "labels")
+        own = F.min(F.when(F.col("e.node") == F.col("e.other"), F.col("l.label")))
+        nearer = (edges.alias("e").join(labels.hint("merge").alias("l"), F.col("e.other") == F.col("l.node"))
+                  .groupBy("e.node").agg(own.alias("own"), F.min("l.label").alias("near")))
+        least = F.least("r.near", "l.label")
+        labels = written(nearer.alias("r").join(labels.hint("merge").alias("l"), F.col("r.near") == F.col("l.node")).select(
+            "r.node", least.alias("label"), (least != F.col("r.own")).alias("moved")), "labels")
         if labels.where("moved").isEmpty():
             return labels.select("node", "label")
+        labels = labels.select("node", "label")
+
+
+def joined_groups(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` between the groups ``la`` and ``lb``; only the links are walked.
+
+    A node without a label is a group of its own until a link names it.
+    """
+    roots = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    found = labels.alias("l").join(roots.hint("merge").alias("r"), F.col("l.label") == F.col("r.node"), "left").select(
+        "l.node", F.coalesce("r.label", "l.label").alias("label"))
+    alone = roots.alias("r").join(labels.hint("merge").alias("l"), F.col("r.node") == F.col("l.node"), "left_anti")
+    return written(found.unionAll(alone.select("node", "label")), "labels")
 
 
 def grouped(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -282,30 +299,32 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, percent: int) -> D
     classes = written(class_table(rows), "classes")
     lists = written(inverted_lists(classes), "lists")
     hot = hot_classes(lists)
-    cold = written(estimated(cold_pairs(lists, percent), classes, percent), "pairs")
-    nodes = cold.select(F.col("a").alias("cls")).unionAll(cold.select("b")).unionAll(hot).distinct()
+    stored = scratch_path(docs.sparkSession, "pairs")
+    cold = written_to(estimated(cold_pairs(lists, percent), classes, percent), f"{stored}/cold")
+    nodes = cold.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(hot).distinct()
     sets = written(full_sets(docs, key, text, words, classes, nodes), "sets")
     prefixes = written(prefix_lists(sets.join(hot.hint("merge"), "cls", "left_semi"), percent), "prefixes")
     hubs = hub_pairs(prefixes, percent).join(cold.hint("merge"), ["a", "b"], "left_anti")
-    pairs = cold.unionAll(written(estimated(hubs, classes, percent), "pairs"))
+    pairs = written_to(estimated(hubs, classes, percent), f"{stored}/hubs", f"{stored}/cold")
     # The best candidate of every class first: they join most of a group, and pairs inside a group need no proof.
-    sides = pairs.select("a", "b", "estimate", F.col("a").alias("node")).unionAll(
-        pairs.select("a", "b", "estimate", F.col("b")))
-    best = sides.groupBy("node").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-    links = written(confirmed(best, sets, percent), "links")
-    labels = components(links)
+    sides = pairs.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("node"))
+    best = written(sides.groupBy("node").agg(F.max(F.struct("estimate", "a", "b")).alias("best"))
+                   .select("best.a", "best.b").distinct(), "best")
+    labels = components(written(confirmed(best, sets, percent), "links"))
     left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    apart = (pairs.join(best.hint("merge"), ["a", "b"], "left_anti").join(left.hint("merge"), "a", "left").join(right.hint("merge"), "b", "left")
-             .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
+    # Candidates and proofs are jobs of their own: tables and shuffles that start at once add up on the driver.
+    apart = written(pairs.join(best.hint("merge"), ["a", "b"], "left_anti").join(left.hint("merge"), "a", "left")
+                    .join(right.hint("merge"), "b", "left")
+                    .select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la != lb"), "apart")
     more = written(confirmed(apart, sets, percent), "links")
     if not more.isEmpty():
-        links = links.unionAll(more)
-        labels = components(links)
-    tested = remaining_pairs(prefixes, labels, percent).join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    last = written(confirmed(estimated(tested, classes, percent), sets, percent), "links")
-    if not last.isEmpty():
-        labels = components(links.unionAll(last))
+        labels = joined_groups(labels, more)
+    tested = written(remaining_pairs(prefixes, labels, percent).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "tested")
+    if not tested.isEmpty():
+        last = written(confirmed(estimated(tested, classes, percent).drop("estimate"), sets, percent), "links")
+        if not last.isEmpty():
+            labels = joined_groups(labels, last)
     named = classes.select("cls", F.struct("no_id", "id", "h").alias("first"))
     linked = named.join(labels.hint("merge"), named["cls"] == labels["node"]).select("cls", "first", "label")
     least = linked.groupBy("label").agg(F.min("first").alias("least"))

@@ -65,9 +65,13 @@ def pinned(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Store as Parquet below the shared folder and read back (keeps column pruning)."""
-    path = scratch_path(df.sparkSession, label)
+    return written_to(df, scratch_path(df.sparkSession, label))
+
+
+def written_to(df: DataFrame, path: str, *beside: str) -> DataFrame:
+    """Store as Parquet at ``path`` and read back as one table, with the tables of equal columns at ``beside``."""
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path, *beside)
 
 
 def bucketed(df: DataFrame, label: str, *columns: str) -> DataFrame:
